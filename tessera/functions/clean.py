@@ -92,9 +92,10 @@ def replace_contractions(c, include_tail: bool = True) -> Column:   # P8
 
 
 def basic_cleaning(c, stopwords: Iterable[str] = R.BASIC_STOPWORDS) -> Column:   # P9
-    toks = F.filter(F.split(F.lower(_col(c)), r"\s+"), lambda x: x != F.lit(""))
-    stops = F.array(*[F.lit(w) for w in stopwords])
-    return F.array_join(F.filter(toks, lambda x: ~F.array_contains(stops, x)), " ")
+    from .tokens import whitespace_split
+    toks = whitespace_split(F.lower(_col(c)))
+    stops = list(stopwords)
+    return F.array_join(F.filter(toks, lambda x: ~x.isin(stops)), " ")
 
 
 def wordlist_clean(c) -> Column:                  # P10 (first composition)

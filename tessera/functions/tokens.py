@@ -22,9 +22,14 @@ def words(c) -> Column:                           # T2
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD), 0)
 
 
+# Python's str.split() whitespace set, spelled so Java and RE2 read it the same way.
+PY_SPACE = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
+
+
 def whitespace_split(c) -> Column:
     """Python ``str.split()``: whitespace runs, no empty tokens."""
-    return F.filter(F.split(_col(c), r"\s+"), lambda x: x != F.lit(""))
+    return F.filter(F.split(_col(c), PY_SPACE), lambda x: x != F.lit(""))
 
 
 def keras_words(c, filters: str = R.KERAS_FILTERS, lower: bool = True) -> Column:
@@ -41,16 +46,21 @@ def vectorizer_words(c, lower: bool = True) -> Column:
 
 
 def ngrams(tokens, n: int, sep: str | None = " ") -> Column:   # T3
-    """Word n-grams in order; joined with ``sep`` (or arrays when sep is None)."""
+    """Word n-grams in order; joined with ``sep`` (or arrays when sep is None).
+
+    Built from ``n`` shifted slices zipped together, so the token array is never
+    referenced inside a lambda (Catalyst does not share sub-expressions there, and a
+    token expression inside the lambda would be recomputed for every n-gram).
+    """
     tok = _col(tokens)
     if n == 1:
         return tok if sep is not None else F.transform(tok, lambda x: F.array(x))
-    def gram(i):
-        s = F.slice(tok, i + 1, n)
-        return F.array_join(s, sep) if sep is not None else s
-    body = F.transform(F.sequence(F.lit(0), F.size(tok) - n), gram)
-    empty = F.array().cast("array<string>") if sep is not None else F.array().cast("array<array<string>>")
-    return F.when(F.size(tok) >= n, body).otherwise(empty)
+    m = F.greatest(F.size(tok) - n + 1, F.lit(0))
+    zipped = F.arrays_zip(*[F.slice(tok, k + 1, m) for k in range(n)])
+    fields = [str(k) for k in range(n)]
+    if sep is None:
+        return F.transform(zipped, lambda s: F.array(*[s[f] for f in fields]))
+    return F.transform(zipped, lambda s: F.concat_ws(sep, *[s[f] for f in fields]))
 
 
 def ngram_range(tokens, n_min: int, n_max: int, sep: str = " ") -> Column:
@@ -62,23 +72,28 @@ def skipgrams(tokens, n: int, k: int, seed: int, row_key) -> Column:   # T4
     """``k`` n-grams sampled without replacement (seeded, order kept).  Positions are
     ranked by xxhash64(seed, key, pos); fewer than k n-grams -> all of them (Q5)."""
     grams = ngrams(tokens, n)
-    keyed = F.transform(
-        F.sequence(F.lit(0), F.size(grams) - 1),
-        lambda i: F.struct(F.xxhash64(F.lit(seed), _col(row_key), i).alias("h"), i.alias("i")))
-    picked = F.array_sort(F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s["i"]))
-    return F.when(F.size(grams) > 0, F.transform(picked, lambda i: F.element_at(grams, i + 1))) \
-        .otherwise(F.array().cast("array<string>"))
+    key = _col(row_key)
+    keyed = F.transform(grams, lambda g, i: F.struct(
+        F.xxhash64(F.lit(seed), key, i).alias("h"), i.alias("i"), g.alias("g")))
+    picked = F.slice(F.array_sort(keyed), 1, k)
+    by_pos = F.array_sort(F.transform(picked, lambda s: F.struct(s["i"].alias("i"), s["g"].alias("g"))))
+    return F.transform(by_pos, lambda s: s["g"])
 
 
 def chargrams(c, n: int = 3) -> Column:           # T5 (honours n, quirk Q6)
-    s = _col(c)
-    body = F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))
-    return F.when(F.length(s) >= n, body).otherwise(F.array().cast("array<string>"))
+    """Character n-grams, overlapping, in order.
+
+    One regex pass: a zero-width look-ahead captures the next ``n`` code points at
+    every position (linear in the text; indexing with ``substring`` per position
+    would rescan the string from its start each time).
+    """
+    return F.regexp_extract_all(_col(c), F.lit("(?s)(?=(.{%d}))" % n), 1)
 
 
 def remove_stops(tokens, stopwords: Iterable[str] = R.ENGLISH_STOPWORDS) -> Column:   # T6
-    stops = F.array(*[F.lit(w) for w in stopwords])
-    return F.filter(_col(tokens), lambda x: ~F.array_contains(stops, x))
+    stops = list(dict.fromkeys(stopwords))
+    # IN over a literal list becomes a hash-set test (InSet) once optimized
+    return F.filter(_col(tokens), lambda x: ~x.isin(stops))
 
 
 def chop(tokens, n: int) -> Column:               # T8

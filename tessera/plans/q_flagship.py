@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from .catalog import register
 from .flagship import target_encoding_auc
+from .sqlfrag import ws_split
 
 FLAGSHIP_SQL = r"""
 WITH c AS (
@@ -23,7 +24,7 @@ WITH c AS (
   FROM stats st JOIN pri p USING (label)
 ), scored AS (
   SELECT l.label, l.y, coalesce(e.e, p.prior) AS score,
-         len(list_filter(regexp_split_to_array(l.t, '\s+'), lambda x: x <> '')) AS nw
+         len(__WS__) AS nw
   FROM lng l LEFT JOIN enc e USING (label, source) LEFT JOIN pri p USING (label)
   WHERE l.y IS NOT NULL
 ), per AS (
@@ -43,4 +44,6 @@ SELECT a.label, CAST(a.p AS BIGINT) AS n_pos, CAST(a.q AS BIGINT) AS n_neg,
 FROM auc a JOIN (SELECT label, avg(nw) AS avg_nw FROM scored GROUP BY label) w USING (label)
 """
 
+FLAGSHIP_SQL = FLAGSHIP_SQL.replace("__WS__", ws_split("l.t"))
+
 register("m10_flagship_target_encoding_auc", FLAGSHIP_SQL)(target_encoding_auc)
