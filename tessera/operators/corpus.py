@@ -14,6 +14,7 @@ from typing import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions.clean import _col
 from .ranking import global_index
 
@@ -41,7 +42,7 @@ def duplicate_features(df: DataFrame, text: str, order_col: str) -> DataFrame:
 def word_weights(df: DataFrame, tokens: Column, eps: float = 10000.0,
                  min_count: int = 2) -> DataFrame:
     """(word, count, weight): weight = 0 below ``min_count`` else 1 / (count + eps)."""
-    counts = df.select(F.explode(tokens).alias("word")).groupBy("word").agg(
+    counts = explode_rows(df, [], tokens, "word").groupBy("word").agg(
         F.count(F.lit(1)).cast("bigint").alias("count"))
     w = F.when(F.col("count") < min_count, F.lit(0.0)).otherwise(1.0 / (F.col("count") + F.lit(eps)))
     return counts.withColumn("weight", w)
@@ -62,14 +63,14 @@ def lexicon_hits(text: Column, terms: Sequence[str]) -> Column:
 
 def lexicon_matrix(df: DataFrame, key: str, text: Column, terms: Sequence[str]) -> DataFrame:
     """Long form of the binary doc x term matrix: one row per (key, term) hit."""
-    return df.select(key, F.explode(lexicon_hits(text, terms)).alias("term"))
+    return explode_rows(df, [key], lexicon_hits(text, terms), "term")
 
 
 def lexicon_token_matrix(df: DataFrame, key: str, tokens: Column, lexicon: DataFrame,
                          term_col: str = "term") -> DataFrame:
     """Token-mode variant for a lexicon *table* of any size: distinct tokens per
     document equi-joined to the lexicon (AQE chooses broadcast or shuffle)."""
-    toks = df.select(key, F.explode(F.array_distinct(tokens)).alias(term_col))
+    toks = explode_rows(df, [key], F.array_distinct(tokens), term_col)
     return toks.join(lexicon.select(term_col).distinct(), term_col, "left_semi")
 
 
@@ -83,7 +84,7 @@ def top_terms(matrix: DataFrame, skip: int = 3, k: int = 300, term_col: str = "t
 # --- T7 -------------------------------------------------------------------------
 def document_frequencies(df: DataFrame, key: str, tokens: Column, term_col: str = "term") -> DataFrame:
     """(term, df): number of documents containing the term."""
-    return (df.select(key, F.explode(F.array_distinct(tokens)).alias(term_col))
+    return (explode_rows(df, [key], F.array_distinct(tokens), term_col)
             .groupBy(term_col).agg(F.count(F.lit(1)).cast("bigint").alias("df")))
 
 
@@ -101,7 +102,7 @@ def filter_extremes(df: DataFrame, key: str, tokens: str, no_below: int = 3,
         kept = global_index(kept, [F.col("df").desc(), F.col("term").asc()], name="__r") \
             .where(F.col("__r") < keep_n)
     kept = kept.select("term")
-    pos = df.select(key, F.posexplode(tokens).alias("__p", "term"))
+    pos = posexplode_rows(df, [key], F.col(tokens), "__p", "term")
     how = "left_anti" if invert else "left_semi"
     picked = pos.join(kept, "term", how)
     regrouped = picked.groupBy(key).agg(
@@ -115,7 +116,7 @@ def filter_extremes(df: DataFrame, key: str, tokens: str, no_below: int = 3,
 # --- V1 / V2 --------------------------------------------------------------------
 def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
     """(key, term, tf): bag of words as a long table."""
-    return (df.select(key, F.explode(terms).alias("term"))
+    return (explode_rows(df, [key], terms, "term")
             .groupBy(key, "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf")))
 
 
@@ -179,7 +180,7 @@ def term_statistic_features(df: DataFrame, key: str, grams: Column, stats: DataF
                             prefix: str = "q1_") -> DataFrame:
     """Max and mean over a document's n-grams of each statistic; unknown n-grams
     count as 0 and documents without n-grams get 0 (F14)."""
-    ex = df.select(key, F.explode(grams).alias("term"))
+    ex = explode_rows(df, [key], grams, "term")
     j = ex.join(stats, "term", "left")
     names = {"doc_freq": "docfreq", "term_freq": "termfreq", "info_content": "infocontent"}
     agg = j.groupBy(key).agg(*[e for s, n in names.items() for e in (

@@ -11,6 +11,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import posexplode_rows
 from ..functions.clean import _col
 
 
@@ -39,7 +40,7 @@ def map_tokens_by_table(df: DataFrame, key: str, tokens: str, table: DataFrame,
     unmatched tokens are kept; tokens whose *result* is in ``drop`` are removed
     (lemma + stop-lemma removal, T10).  Explode -> join -> regroup by document."""
     out_col = out_col or tokens
-    pos = df.select(key, F.posexplode(tokens).alias("__p", "__t"))
+    pos = posexplode_rows(df, [key], F.col(tokens), "__p", "__t")
     t = table.select(F.col(src).alias("__t"), F.col(dst).alias("__d")).dropDuplicates(["__t"])
     j = pos.join(t, "__t", "left").withColumn("__r", F.coalesce("__d", "__t"))
     if drop is not None:

@@ -13,6 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions.clean import _col
 from .ranking import global_index
 
@@ -28,7 +29,7 @@ def char_tokens(c, lower: bool = True) -> Column:
 def fit_vocabulary(df: DataFrame, key: str, tokens: str) -> DataFrame:   # E1
     """(word, count, index): index from 1 by descending corpus count, ties by first
     occurrence in (key, position) order."""
-    pos = df.select(key, F.posexplode(tokens).alias("__p", "word"))
+    pos = posexplode_rows(df, [key], F.col(tokens), "__p", "word")
     counts = pos.groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("count"),
                                      F.min(F.struct(F.col(key).alias("k"), F.col("__p").alias("p"))).alias("__first"))
     ranked = global_index(counts, [F.col("count").desc(), F.col("__first").asc()], name="index", start=1)
@@ -43,7 +44,7 @@ def texts_to_sequences(df: DataFrame, key: str, tokens: str, vocab: DataFrame,
         v = v.where(F.col("index") < num_words)
         if num_words <= BROADCAST_MAX_WORDS:
             v = F.broadcast(v)
-    pos = df.select(key, F.posexplode(tokens).alias("__p", "word"))
+    pos = posexplode_rows(df, [key], F.col(tokens), "__p", "word")
     hit = pos.join(v, "word")
     seqs = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", "index"))).alias("__s"))
     return (df.join(seqs, key, "left")
@@ -88,7 +89,7 @@ def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, nb_words: in
 
 
 def _exploded_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame) -> DataFrame:
-    toks = df.select(key, F.explode(tokens).alias("word"))
+    toks = explode_rows(df, [key], tokens, "word")
     vec = vectors.select("word", F.posexplode("vec").alias("dim", "x"))
     return toks.join(vec, "word")
 

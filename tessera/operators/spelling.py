@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows
 from ..functions.clean import _col
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -47,7 +48,7 @@ def edits1(word) -> Column:
 def rank_table(df: DataFrame, tokens: Column, min_count: int = 1) -> DataFrame:
     """(word, rank): corpus word counts ranked by count desc then word (1 = top)."""
     from .ranking import global_index
-    counts = (df.select(F.explode(tokens).alias("word")).groupBy("word")
+    counts = (explode_rows(df, [], tokens, "word").groupBy("word")
               .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count))
     return global_index(counts, [F.col("n").desc(), F.col("word").asc()], name="rank", start=1) \
         .select("word", "rank")
@@ -60,12 +61,12 @@ def correct_words(words: DataFrame, ranks: DataFrame, word_col: str = "word") ->
     known = distinct.join(vocab, "word", "left_semi")
     oov = distinct.join(vocab, "word", "left_anti")
     oov_az = oov.where(F.col("word").rlike(AZ))
-    e1 = oov_az.select("word", F.explode(edits1("word")).alias("e"))
+    e1 = explode_rows(oov_az, ["word"], edits1("word"), "e")
     # distance 1: an edit of the word is itself a known word
     d1 = (e1.join(vocab.select(F.col("word").alias("e"), "rank"), "e")
           .groupBy("word").agg(F.min_by("e", "rank").alias("d1")))
     # distance 2: the best known word per shared edit string
-    best_per_edit = (vocab.select("word", "rank", F.explode(edits1("word")).alias("e"))
+    best_per_edit = (explode_rows(vocab, ["word", "rank"], edits1("word"), "e")
                      .groupBy("e").agg(F.min(F.struct("rank", "word")).alias("b")))
     d2 = (e1.join(best_per_edit, "e")
           .groupBy("word").agg(F.min("b").alias("b")).select("word", F.col("b.word").alias("d2")))

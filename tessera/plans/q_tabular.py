@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows
 from ..operators import encoders as A, groups as G, lags as L, numeric as N
 from ..sources.tables import corpus, customer_panel, read_table
 from .catalog import register
@@ -589,7 +590,7 @@ UNION SELECT {_WORDS_SQL} AS word FROM documents WHERE lang = 'fr'""")
 def u2_distinct_union(spark, sf_dir):
     from ..functions.tokens import words
     d = read_table(spark, sf_dir, "documents")
-    w = lambda lang: d.where(F.col("lang") == lang).select(F.explode(words("text")).alias("word"))
+    w = lambda lang: explode_rows(d.where(F.col("lang") == lang), [], words("text"), "word")
     return w("en").union(w("fr")).distinct()
 
 
@@ -598,5 +599,5 @@ EXCEPT ALL SELECT {_WORDS_SQL} AS word FROM documents WHERE lang = 'fr'""")
 def u3_except_all(spark, sf_dir):
     from ..functions.tokens import words
     d = read_table(spark, sf_dir, "documents")
-    w = lambda lang: d.where(F.col("lang") == lang).select(F.explode(words("text")).alias("word"))
+    w = lambda lang: explode_rows(d.where(F.col("lang") == lang), [], words("text"), "word")
     return w("es").exceptAll(w("fr"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean, rules as R, tokens as T
+from ..functions.arrays import explode_rows
 from ..functions.vectors import cosine_distance, hamming_distance, jaccard_distance, word_match_share
 from ..operators import corpus as C, sequences as S, spelling as SP
 from ..sources.tables import read_table, text_pairs
@@ -124,7 +125,7 @@ def v7_word_match_share(spark, sf_dir):
 
 def _benchmark_vectors(spark, sf_dir):
     b = read_table(spark, sf_dir, "benchmark")
-    return derived_vectors(b.select(F.explode(T.keras_words("text")).alias("word")))
+    return derived_vectors(explode_rows(b, [], T.keras_words("text"), "word"))
 
 
 BENCH_VEC_SQL = (f"bv AS (SELECT DISTINCT word, {DERIVED_VECTOR_SQL.format(w='word')} AS vec FROM "
@@ -290,5 +291,5 @@ def t12_spelling_correction(spark, sf_dir):
     known word one edit away, else two edits away, else itself.  Known words: corpus
     words seen at least 3 times in ``documents``."""
     ranks = SP.rank_table(_docs(spark, sf_dir), T.words("text"), min_count=3)
-    conv = read_table(spark, sf_dir, "conversations").select(F.explode(T.words("text")).alias("word"))
+    conv = explode_rows(read_table(spark, sf_dir, "conversations"), [], T.words("text"), "word")
     return SP.correct_words(conv, ranks)
