@@ -92,7 +92,8 @@ def digitize(df: DataFrame, cols: Sequence[str], step: float, suffix: str = "_bi
         mx = df.select(F.max(F.when(F.col(c) == float("inf"), F.lit(999.0)).otherwise(F.col(c)))).scalar()
         e = F.greatest(F.ceil(mx / F.lit(float(step))), F.lit(0))
         idx = F.least(F.greatest(F.ceil(x / F.lit(float(step))), F.lit(0)), e)
-        out = out.withColumn(c + suffix, F.coalesce(idx, e).cast("bigint"))
+        # greatest/least skip nulls, so the null case is spelled out
+        out = out.withColumn(c + suffix, F.when(x.isNull(), e).otherwise(idx).cast("bigint"))
     return out
 
 

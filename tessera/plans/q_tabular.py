@@ -442,7 +442,7 @@ def n6_bin_codes(spark, sf_dir):
 
 def _n7_expr(col, step):
     e = f"greatest(ceil((SELECT max({col}) FROM li) / {step}.0), 0)"
-    return f"CAST(coalesce(least(greatest(ceil({col} / {step}.0), 0), {e}), {e}) AS BIGINT)"
+    return f"CAST(CASE WHEN {col} IS NULL THEN {e} ELSE least(greatest(ceil({col} / {step}.0), 0), {e}) END AS BIGINT)"
 
 
 @register("n7_digitize", f"""WITH {LI_SQL}
