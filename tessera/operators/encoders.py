@@ -249,3 +249,24 @@ def customer_features(df: DataFrame, id_col: str = "customer_id", index_col: str
           for k, n in ((1, "cust_first"), (2, "cust_2first"), (3, "cust_3first"),
                        (4, "cust_4first"), (6, "cust_6first"))])
     return out
+
+
+# --- A2 -------------------------------------------------------------------------
+def _md5_mod(c: Column, n: int) -> Column:
+    """int(md5_hex(str(c)), 16) mod n, from the two 64-bit halves of the digest."""
+    h = F.md5(c.cast("string"))
+    hi = F.conv(F.substring(h, 1, 16), 16, 10).cast("decimal(20,0)")
+    lo = F.conv(F.substring(h, 17, 16), 16, 10).cast("decimal(20,0)")
+    two64 = (1 << 64) % n
+    return F.pmod(F.pmod(hi, F.lit(n)) * F.lit(two64) + F.pmod(lo, F.lit(n)), F.lit(n)).cast("int")
+
+
+def hash_encode(df: DataFrame, cols: Sequence[str], n_components: int | None = None,
+                keep: Sequence[str] = (), prefix: str = "col_") -> DataFrame:
+    """md5 hashing encoder: per row, count of categorical values falling in each of
+    ``n_components`` buckets (default: number of columns)."""
+    cols = list(cols)
+    n = n_components or len(cols)
+    buckets = [_md5_mod(F.col(c), n) for c in cols]
+    return df.select(*keep, *[sum(((b == k).cast("bigint") for b in buckets), F.lit(0).cast("bigint"))
+                              .alias(f"{prefix}{k}") for k in range(n)])
