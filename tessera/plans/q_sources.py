@@ -130,3 +130,19 @@ def s9_run_parameters(spark, sf_dir):
     n_lab = read_table(spark, sf_dir, "labels").count()
     IO.append_parameters(spark, path, "run0", {"n_docs": n_docs, "n_labelled": n_lab, "n_folds": 5})
     return spark.read.parquet(path)
+
+
+@register("p10_streaming_row_features")
+def p10_streaming_row_features(spark, sf_dir):
+    """Documents arriving as several parquet files run through the cleaning chain as
+    a Structured Streaming query (availableNow) into a parquet sink joined with the
+    labels (stream-static); the sink is read back."""
+    from ..streaming import start_cleaning_stream
+    root = IO.scratch_dir(spark, "stream")
+    docs = read_table(spark, sf_dir, "documents")
+    docs.repartition(4, "doc_id").write.mode("overwrite").parquet(f"{root}/in")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    q = start_cleaning_stream(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", lookup=labels,
+                              max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
