@@ -146,3 +146,21 @@ def p10_streaming_row_features(spark, sf_dir):
                               max_files_per_trigger=1)
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+@register("s3_read_latin1_list", r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+', 0)) AS word
+  FROM documents WHERE lang <> 'en')
+SELECT word FROM w WHERE regexp_full_match(word, '[\x{00}-\x{FF}]+') AND length(word) > 4""")
+def s3_read_latin1_list(spark, sf_dir):
+    """Latin-1 tab list: distinct non-English corpus words (Latin-1 range) written in
+    ISO-8859-1 together with malformed two-field lines, read back with malformed
+    lines dropped."""
+    d = read_table(spark, sf_dir, "documents").where(F.col("lang") != "en")
+    w = explode_rows(d, [], T.words("text"), "word").distinct()
+    w = w.where(F.col("word").rlike(r"^[\x{00}-\x{FF}]+$"))
+    good = w.where(F.length("word") > 4).select(F.col("word").alias("line"))
+    bad = w.where(F.length("word") <= 4).select(F.concat_ws("\t", "word", F.lit("junk")).alias("line"))
+    path = IO.scratch_dir(spark, "latin1")
+    (good.unionByName(bad).write.mode("overwrite")
+     .options(encoding="ISO-8859-1", sep="\t", quote="", escape="", header=False).csv(path))
+    return IO.read_latin1_list(spark, path)

@@ -293,3 +293,13 @@ def t12_spelling_correction(spark, sf_dir):
     ranks = SP.rank_table(_docs(spark, sf_dir), T.words("text"), min_count=3)
     conv = explode_rows(read_table(spark, sf_dir, "conversations"), [], T.words("text"), "word")
     return SP.correct_words(conv, ranks)
+
+
+@register("e7_embedding_random_init")
+def e7_embedding_random_init(spark, sf_dir):
+    """Embedding rows for the vocabulary with seeded N(0.0209, 0.6441) draws for words
+    without a vector (rows check; misses counted in ``missing``)."""
+    d = _docs(spark, sf_dir).select("doc_id", T.keras_words("text").alias("tok"))
+    vocab = S.fit_vocabulary(d, "doc_id", "tok")
+    return S.embedding_table(vocab, _benchmark_vectors(spark, sf_dir), dim=4, nb_words=5000,
+                             random_init=(0.020940498, 0.6441043), seed=1337)
