@@ -60,16 +60,23 @@ def correct_words(words: DataFrame, ranks: DataFrame, word_col: str = "word") ->
     distinct = words.select(F.col(word_col).alias("word")).where(F.col("word").isNotNull()).distinct()
     known = distinct.join(vocab, "word", "left_semi")
     oov = distinct.join(vocab, "word", "left_anti")
-    oov_az = oov.where(F.col("word").rlike(AZ))
+    # word tables are small but each word explodes into ~54 x length edit strings:
+    # spread them explicitly (AQE sizes partitions by input bytes and would run the
+    # whole explosion in one task)
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    oov_az = oov.where(F.col("word").rlike(AZ)).repartition(parts, "word")
+    vocab_p = vocab.repartition(parts, "word")
     e1 = explode_rows(oov_az, ["word"], edits1("word"), "e")
-    # distance 1: an edit of the word is itself a known word
-    d1 = (e1.join(vocab.select(F.col("word").alias("e"), "rank"), "e")
-          .groupBy("word").agg(F.min_by("e", "rank").alias("d1")))
-    # distance 2: the best known word per shared edit string
-    best_per_edit = (explode_rows(vocab, ["word", "rank"], edits1("word"), "e")
-                     .groupBy("e").agg(F.min(F.struct("rank", "word")).alias("b")))
-    d2 = (e1.join(best_per_edit, "e")
-          .groupBy("word").agg(F.min("b").alias("b")).select("word", F.col("b.word").alias("d2")))
-    fixed = (oov.join(d1, "word", "left").join(d2, "word", "left")
-             .select("word", F.coalesce("d1", "d2", "word").alias("correction")))
+    # one table keyed by edit string: the known words themselves (distance 1 when an
+    # edit of the word equals them) and the best known word per edit string of the
+    # vocabulary (distance 2 when the word shares that edit string)
+    cand = lambda d: F.struct(F.lit(d).alias("d"), F.col("rank"), F.col("word").alias("w"))
+    direct = vocab.select(F.col("word").alias("e"), cand(1).alias("b"))
+    best_per_edit = (explode_rows(vocab_p, ["word", "rank"], edits1("word"), "e")
+                     .groupBy("e").agg(F.min(cand(2)).alias("b")))
+    # both sides grow with the data (the edit side is ~54 x word length rows per word,
+    # which AQE under-estimates from the stage before the explode): never broadcast
+    best = (e1.hint("merge").join(direct.unionByName(best_per_edit), "e")
+            .groupBy("word").agg(F.min("b").alias("b")).select("word", F.col("b.w").alias("fix")))
+    fixed = oov.join(best, "word", "left").select("word", F.coalesce("fix", "word").alias("correction"))
     return known.select("word", F.col("word").alias("correction")).unionByName(fixed)

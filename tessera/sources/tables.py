@@ -13,10 +13,29 @@ TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# tables whose rows carry text: per-row work on them (regex chains, tokenizers) is
+# heavy, so a scan with too few partitions is spread before that work starts
+TEXT_TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id",
+                   "benchmark": "item_id"}
+
+
+def balance_partitions(df: DataFrame, key: str, target: int | None = None) -> DataFrame:
+    """Hash-spread ``df`` on ``key`` when its scan yields fewer partitions than the
+    shuffle parallelism (e.g. one large row group); well-split inputs are untouched.
+    The partition count comes from planning, no job runs."""
+    target = target or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if balance and name in TEXT_TABLE_KEYS:
+        df = balance_partitions(df, TEXT_TABLE_KEYS[name])
+    return df
 
 
 def corpus(spark: SparkSession, sf_dir: str, text_col: str = "comment_text") -> DataFrame:
