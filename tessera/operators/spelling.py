@@ -24,25 +24,26 @@ AZ = r"^[a-z]+$"
 
 
 def edits1(word) -> Column:
-    """All strings one edit from ``word`` (distinct), as one native array expression."""
+    """All strings one edit from ``word`` (distinct), as one native array expression.
+
+    Each split point is computed once as (prefix, suffix without its first char,
+    suffix); the 26-letter loops only concatenate those pieces.
+    """
     w = _col(word)
     n = F.length(w)
     letters = F.array(*[F.lit(c) for c in LETTERS])
-    left = lambda i: F.substring(w, 1, i)
-
-    def r(i, k):   # suffix starting at 0-based position i + k
-        return F.substring(w, i + k + 1, 1 << 20)
-    deletes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(left(i), r(i, 1)))
-    transposes = F.transform(F.sequence(F.lit(0), n - 2),
-                             lambda i: F.concat(left(i), F.substring(w, i + 2, 1), F.substring(w, i + 1, 1), r(i, 2)))
-    replaces = F.flatten(F.transform(F.sequence(F.lit(0), n - 1),
-                                     lambda i: F.transform(letters, lambda c: F.concat(left(i), c, r(i, 1)))))
-    inserts = F.flatten(F.transform(F.sequence(F.lit(0), n),
-                                    lambda i: F.transform(letters, lambda c: F.concat(left(i), c, r(i, 0)))))
-    trans = F.when(n >= 2, transposes).otherwise(F.array().cast("array<string>"))
-    dels = F.when(n >= 1, deletes).otherwise(F.array().cast("array<string>"))
-    reps = F.when(n >= 1, replaces).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(dels, trans, reps, inserts))
+    big = 1 << 20
+    splits = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
+        F.substring(w, 1, i).alias("l"), F.substring(w, i + 1, big).alias("r"),
+        F.substring(w, i + 2, big).alias("r1"), F.substring(w, i + 1, 1).alias("c0"),
+        F.substring(w, i + 2, 1).alias("c1"), F.substring(w, i + 3, big).alias("r2")))
+    inner = F.slice(splits, 1, n)               # split points with a non-empty right part
+    deletes = F.transform(inner, lambda s: F.concat(s["l"], s["r1"]))
+    transposes = F.transform(F.filter(inner, lambda s: F.length(s["r"]) > 1),
+                             lambda s: F.concat(s["l"], s["c1"], s["c0"], s["r2"]))
+    replaces = F.flatten(F.transform(inner, lambda s: F.transform(letters, lambda c: F.concat(s["l"], c, s["r1"]))))
+    inserts = F.flatten(F.transform(splits, lambda s: F.transform(letters, lambda c: F.concat(s["l"], c, s["r"]))))
+    return F.array_distinct(F.concat(deletes, transposes, replaces, inserts))
 
 
 def rank_table(df: DataFrame, tokens: Column, min_count: int = 1) -> DataFrame:
@@ -62,10 +63,11 @@ def correct_words(words: DataFrame, ranks: DataFrame, word_col: str = "word") ->
     oov = distinct.join(vocab, "word", "left_anti")
     # word tables are small but each word explodes into ~54 x length edit strings:
     # spread them explicitly (AQE sizes partitions by input bytes and would run the
-    # whole explosion in one task)
+    # whole explosion in one task).  Round-robin, because a hash repartition on
+    # ``word`` counts as redundant after the distinct and is dropped.
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    oov_az = oov.where(F.col("word").rlike(AZ)).repartition(parts, "word")
-    vocab_p = vocab.repartition(parts, "word")
+    oov_az = oov.where(F.col("word").rlike(AZ)).repartition(parts)
+    vocab_p = vocab.repartition(parts)
     e1 = explode_rows(oov_az, ["word"], edits1("word"), "e")
     # one table keyed by edit string: the known words themselves (distance 1 when an
     # edit of the word equals them) and the best known word per edit string of the
