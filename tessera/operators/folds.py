@@ -50,8 +50,10 @@ def stratified_kfold(df: DataFrame, id_col: str, stratum: Column, n_splits: int
     tagged = df.withColumn("__st", stratum).withColumn("__h", h)
     ranked = global_index(tagged, [F.col("__st").asc_nulls_first(), F.col("__h").asc(), F.col(id_col).asc()],
                           name="__r")
-    start = ranked.groupBy("__st").agg(F.min("__r").alias("__s0"))   # one row per stratum
-    out = ranked.join(F.broadcast(start), ranked["__st"].eqNullSafe(start["__st"])).drop(start["__st"])
+    # one row per stratum; AQE broadcasts it after measuring it (a caller may pass a
+    # high-cardinality stratum, so no unconditional broadcast)
+    start = ranked.groupBy("__st").agg(F.min("__r").alias("__s0"))
+    out = ranked.join(start, ranked["__st"].eqNullSafe(start["__st"])).drop(start["__st"])
     return (out.withColumn(out_col, F.pmod(F.col("__r") - F.col("__s0"), F.lit(n_splits)).cast("int"))
             .drop("__st", "__h", "__r", "__s0"))
 
