@@ -35,15 +35,17 @@ def label_long(df: DataFrame, labels=LABELS) -> DataFrame:
 def target_encoding_auc(spark: SparkSession, sf_dir: str, min_samples_leaf: int = 100,
                         smoothing: float = 10.0) -> DataFrame:
     docs = cleaned_corpus(spark, sf_dir)
-    feats = docs.select("doc_id", "source", *LABELS,
-                        *textstats.doc_features("comment_text"))
-    long = label_long(feats)
+    # only this branch touches the text; the encoding and AUC branches carry keys,
+    # sources and labels, so the regex work runs once
+    words = docs.select("doc_id", textstats.doc_features("comment_text")[1])
+    long = label_long(docs.select("doc_id", "source", *LABELS))
     table = fit_target_encoding(long, "source", "y", min_samples_leaf, smoothing, by=["label"])
     scored = apply_target_encoding(long, table, "source", "score", by=["label"])
     labelled = scored.where(F.col("y").isNotNull())
     auc = roc_auc(labelled, "y", "score", by=["label"])
-    words = labelled.groupBy("label").agg(F.avg("num_words_0").alias("avg_num_words"))
-    return auc.join(words, "label").select(
+    avg_words = (labelled.select("doc_id", "label").join(words, "doc_id")
+                 .groupBy("label").agg(F.avg("num_words_0").alias("avg_num_words")))
+    return auc.join(avg_words, "label").select(
         "label", F.col("n_pos").cast("bigint").alias("n_pos"),
         F.col("n_neg").cast("bigint").alias("n_neg"),
         F.round("auc", 6).alias("auc"), F.round("avg_num_words", 6).alias("avg_num_words"))

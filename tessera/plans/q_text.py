@@ -47,9 +47,27 @@ _text_query("p12_normalize_text", clean.normalize_text,
                        R.CONTRACTIONS[:-2]))
 _text_query("p13_reverse_words", clean.reverse_words,
             "array_to_string(list_reverse(string_split(text, ' ')), ' ')")
-# P6 and P10 end in a back-reference rule RE2 cannot run: rows check + golden tests.
-_text_query("p6_glove_preprocess", clean.glove_preprocess, None)
-_text_query("p10_wordlist_clean", clean.wordlist_clean, None)
+# P6 and P10 end in a back-reference rule RE2 cannot run; the twin applies rules 1-16
+# in SQL and the elongation rule on character islands (a maximal run of 3+ equal
+# characters other than a newline becomes the character and " <ELONG>").
+def _glove_sql(tail=lambda e: e):
+    pre = fold_rules("text", R.GLOVE_RULES_REFERENCE[:-1])
+    return f"""WITH t AS (SELECT doc_id, {pre} AS s FROM documents),
+ch AS (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM t),
+c AS (SELECT doc_id, i, substring(s, i, 1) AS c FROM ch),
+g AS (SELECT doc_id, i, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS grp FROM c),
+runs AS (SELECT doc_id, c, min(i) AS st, count(*) AS n FROM g GROUP BY doc_id, c, grp),
+pieces AS (SELECT doc_id, st, CASE WHEN n >= 3 AND c <> chr(10) THEN c || ' <ELONG>' ELSE repeat(c, CAST(n AS BIGINT)) END AS piece FROM runs),
+agg AS (SELECT doc_id, string_agg(piece, '' ORDER BY st) AS text FROM pieces GROUP BY doc_id),
+out AS (SELECT d.doc_id, coalesce(agg.text, '') AS text FROM documents d LEFT JOIN agg USING (doc_id))
+SELECT doc_id, {tail('text')} AS text FROM out"""
+
+
+_wl = lambda e: f"translate({fold_rules(e, R.WORDLIST_RULES)}, {q(R.WORDLIST_DROP_CHARS)}, '')"
+register("p6_glove_preprocess", _glove_sql())(
+    lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", clean.glove_preprocess("text").alias("text")))
+register("p10_wordlist_clean", _glove_sql(_wl))(
+    lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", clean.wordlist_clean("text").alias("text")))
 
 # RE2 has no back-references, so the twin works on character islands.
 P4_SQL = r"""
