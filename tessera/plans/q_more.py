@@ -14,7 +14,7 @@ from ..operators.graph import keyterm_scores
 from ..sources.tables import read_table
 from .catalog import register
 from .q_models import LABELS, MODELS
-from .sqlfrag import q, str_list, ws_split
+from .sqlfrag import str_list, ws_split
 
 
 def _docs(spark, sf_dir):

@@ -8,7 +8,7 @@ from ..functions.arrays import explode_rows
 from ..operators import corpus as C
 from ..sources.tables import read_table
 from .catalog import register
-from .sqlfrag import fold_rules, q, re2, str_list, ws_split
+from .sqlfrag import fold_rules, q, str_list, ws_split
 
 TOKEN_SQL = q(T.TOKEN)
 WORD_SQL = q(T.WORD)
