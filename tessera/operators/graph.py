@@ -16,10 +16,12 @@ from ..session import reliable_checkpoint
 
 def keyterm_scores(df: DataFrame, key: str, tokens: str, damping: float = 0.85, iterations: int = 10,
                    checkpoint_every: int = 5) -> DataFrame:
-    pairs = explode_rows(df, [key], ngrams(tokens, 2, sep=None), "pr").select(
-        key, F.col("pr")[0].alias("a"), F.col("pr")[1].alias("b")).where(F.col("a") != F.col("b"))
-    edges = (pairs.unionByName(pairs.select(key, F.col("b").alias("a"), F.col("a").alias("b")))
-             .groupBy(key, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    pairs = explode_rows(df, [key], ngrams(tokens, 2, sep=None), "pr").where(F.col("pr")[0] != F.col("pr")[1])
+    # both directions from one explode (no union of two branches of the same input)
+    both = pairs.select(key, F.explode(F.array(
+        F.struct(F.col("pr")[0].alias("a"), F.col("pr")[1].alias("b")),
+        F.struct(F.col("pr")[1].alias("a"), F.col("pr")[0].alias("b")))).alias("e")).select(key, "e.a", "e.b")
+    edges = both.groupBy(key, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
     out_w = edges.groupBy(key, "a").agg(F.sum("w").alias("ow"))
     edges = reliable_checkpoint(edges.join(out_w, [key, "a"]).select(key, "a", "b", (F.col("w") / F.col("ow")).alias("p")))
     nodes = edges.select(key, F.col("a").alias("node")).distinct()

@@ -171,8 +171,29 @@ def feature_list(columns, targets):
     return sorted(set(columns) - set(targets))
 
 
-@register("f15_keyterm_pagerank")
+F15_SQL = f"""WITH RECURSIVE tok AS (
+  SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+', 0),
+                             lambda x: NOT list_contains({str_list(R.ENGLISH_STOPWORDS)}, x)) AS t FROM documents),
+pairs AS (SELECT doc_id, t[i] AS a, t[i + 1] AS b FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM tok)
+          WHERE t[i] <> t[i + 1]),
+und AS (SELECT doc_id, a, b FROM pairs UNION ALL SELECT doc_id, b AS a, a AS b FROM pairs),
+ew AS (SELECT doc_id, a, b, count(*)::DOUBLE AS w FROM und GROUP BY ALL),
+edges AS (SELECT doc_id, a, b, w / sum(w) OVER (PARTITION BY doc_id, a) AS p FROM ew),
+nodes AS (SELECT doc_id, a AS node, count(*) OVER (PARTITION BY doc_id)::DOUBLE AS n FROM (SELECT DISTINCT doc_id, a FROM edges)),
+pr(it, doc_id, node, r) AS (
+  SELECT 0, doc_id, node, 1.0 / n FROM nodes
+  UNION ALL
+  SELECT it, doc_id, node, (1 - 0.85) / n + 0.85 * s FROM (
+    SELECT pr.it + 1 AS it, e.doc_id, e.b AS node, sum(e.p * pr.r) AS s FROM pr
+    JOIN edges e ON e.doc_id = pr.doc_id AND e.a = pr.node WHERE pr.it < 10 GROUP BY pr.it, e.doc_id, e.b)
+    JOIN nodes USING (doc_id, node)),
+fin AS (SELECT doc_id, max(r) AS s FROM pr WHERE it = 10 GROUP BY doc_id)
+SELECT d.doc_id, round(coalesce(fin.s, 0.0), 6) AS keyterm_score FROM documents d LEFT JOIN fin USING (doc_id)"""
+
+
+@register("f15_keyterm_pagerank", F15_SQL)
 def f15_keyterm_pagerank(spark, sf_dir):
     """Top PageRank score of each document's word co-occurrence graph (0 if none)."""
     d = _docs(spark, sf_dir).select("doc_id", T.remove_stops(T.words("text")).alias("tok"))
-    return keyterm_scores(d, "doc_id", "tok", iterations=10)
+    out = keyterm_scores(d, "doc_id", "tok", iterations=10)
+    return out.select("doc_id", F.round("keyterm_score", 6).alias("keyterm_score"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +15,18 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # correctness guard: with AQE, a union of two branches of one hash-partitioned
+    # input was reported as partitioned like its children and a later join skipped
+    # its shuffle (duplicate matches).  See README.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
+def apply_guards(spark: SparkSession) -> None:
+    """Runtime settings this package relies on for correct plans."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def get_session(master: str | None = None, app: str = "tessera",
                 shuffle_partitions: int | None = None, conf: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -31,6 +41,7 @@ def get_session(master: str | None = None, app: str = "tessera",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    apply_guards(spark)
     return spark
 
 
@@ -61,6 +72,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written in the shared checkpoint folder.
+
+    A parquet round trip rather than ``Dataset.checkpoint``: a checkpointed plan keeps
+    the output partitioning its producer claimed, and after adaptive coalescing that
+    claim need not describe the stored partitions, so a later join on a prefix of
+    the same keys could skip a required shuffle.  Reading the files back claims
+    nothing, and they survive executor loss like a checkpoint does.
+    """
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tessera-tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
