@@ -68,13 +68,18 @@ def ngram_range(tokens, n_min: int, n_max: int, sep: str = " ") -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def skipgrams(tokens, n: int, k: int, seed: int, row_key) -> Column:   # T4
+def skipgrams(tokens, n: int, k: int, seed: int, row_key, method: str = "xxhash") -> Column:   # T4
     """``k`` n-grams sampled without replacement (seeded, order kept).  Positions are
-    ranked by xxhash64(seed, key, pos); fewer than k n-grams -> all of them (Q5)."""
+    ranked by a hash of (seed, key, pos) - xxhash64, or with ``method='knuth'`` a
+    multiplicative hash plain SQL can repeat; fewer than k n-grams -> all (Q5)."""
     grams = ngrams(tokens, n)
     key = _col(row_key)
-    keyed = F.transform(grams, lambda g, i: F.struct(
-        F.xxhash64(F.lit(seed), key, i).alias("h"), i.alias("i"), g.alias("g")))
+
+    def h(i):
+        if method == "knuth":
+            return F.pmod(key.cast("bigint") * F.lit(2654435761) + i * F.lit(40503) + F.lit(seed), F.lit(4294967296))
+        return F.xxhash64(F.lit(seed), key, i)
+    keyed = F.transform(grams, lambda g, i: F.struct(h(i).alias("h"), i.alias("i"), g.alias("g")))
     picked = F.slice(F.array_sort(keyed), 1, k)
     by_pos = F.array_sort(F.transform(picked, lambda s: F.struct(s["i"].alias("i"), s["g"].alias("g"))))
     return F.transform(by_pos, lambda s: s["g"])

@@ -153,10 +153,21 @@ def t3_ngrams(spark, sf_dir):
                                        F.array_join(g, "|").alias("grams"))
 
 
-@register("t4_skipgrams")
+T4_SQL = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, {TOKEN_SQL}, 0) AS tok FROM documents),
+g AS (SELECT doc_id, unnest(range(0, len(tok) - 1)) AS i, tok FROM t),
+h AS (SELECT doc_id, i, tok[i + 1] || ' ' || tok[i + 2] AS gram,
+      (doc_id * 2654435761 + i * 40503 + 1337) % 4294967296 AS hv FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hv, i) AS rn FROM h),
+s AS (SELECT doc_id, string_agg(gram, '|' ORDER BY i) AS sk FROM k WHERE rn <= 5 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.sk, '') AS skipgrams FROM documents d LEFT JOIN s USING (doc_id)
+"""
+
+
+@register("t4_skipgrams", T4_SQL)
 def t4_skipgrams(spark, sf_dir):
     """Seeded sample of 5 bigrams per document, in document order."""
-    g = T.skipgrams(T.tokenize("text"), 2, 5, seed=1337, row_key="doc_id")
+    g = T.skipgrams(T.tokenize("text"), 2, 5, seed=1337, row_key="doc_id", method="knuth")
     return _docs(spark, sf_dir).select("doc_id", F.array_join(g, "|").alias("skipgrams"))
 
 
