@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
 from ..functions.clean import _col
+from ..session import spread_width
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 AZ = r"^[a-z]+$"
@@ -65,7 +66,7 @@ def correct_words(words: DataFrame, ranks: DataFrame, word_col: str = "word") ->
     # spread them explicitly (AQE sizes partitions by input bytes and would run the
     # whole explosion in one task).  Round-robin, because a hash repartition on
     # ``word`` counts as redundant after the distinct and is dropped.
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = spread_width(words.sparkSession)
     oov_az = oov.where(F.col("word").rlike(AZ)).repartition(parts)
     vocab_p = vocab.repartition(parts)
     e1 = explode_rows(oov_az, ["word"], edits1("word"), "e")

@@ -84,3 +84,11 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     path = os.path.join(ensure_checkpoint_dir(spark), "tessera-tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread_width(spark: SparkSession) -> int:
+    """Partitions for an explicit spread: the shuffle width, but no more than four
+    tasks per core the cluster offers (a local session keeps 200 shuffle partitions
+    by default; a cluster sizes both to its scale)."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(shuffle, spark.sparkContext.defaultParallelism * 4))

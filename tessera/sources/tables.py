@@ -23,7 +23,8 @@ def balance_partitions(df: DataFrame, key: str, target: int | None = None) -> Da
     """Hash-spread ``df`` on ``key`` when its scan yields fewer partitions than the
     shuffle parallelism (e.g. one large row group); well-split inputs are untouched.
     The partition count comes from planning, no job runs."""
-    target = target or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from ..session import spread_width
+    target = target or spread_width(df.sparkSession)
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target, key)
     return df
