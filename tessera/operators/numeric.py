@@ -173,30 +173,36 @@ def fit_boxcox_lambda(df: DataFrame, col: str, lo: float = -2.0, hi: float = 2.0
                       step: float = 0.05, refine: int = 2) -> float:
     """Maximum-likelihood Box-Cox lambda: the log-likelihood
     (lam - 1) * sum(ln x) - n/2 * ln(var_pop(boxcox(x, lam))) is evaluated for a
-    whole grid of lambdas in ONE aggregate; the grid is refined around the best
-    point ``refine`` times.  Only the grid's scalars reach the driver."""
+    whole grid of lambdas in one pass - each row is paired with the literal grid and
+    ``var_pop`` is aggregated per lambda (combined map-side) - and the grid is refined
+    around the best point ``refine`` times.  Only one row per grid point reaches the
+    driver."""
     x = F.col(col)
+    pos = df.where(x > 0).select(x.alias("x"))
+    base = pos.agg(F.count("x").alias("n"), F.sum(F.log("x")).alias("sl")).first()
+    n, sl = base["n"], base["sl"]
     best = None
     for _ in range(refine + 1):
         grid = [lo + i * step for i in range(int(round((hi - lo) / step)) + 1)]
-        aggs = [F.count(x).alias("n"), F.sum(F.log(x)).alias("sl")] + [
-            F.var_pop(boxcox(x, l)).alias(f"v{i}") for i, l in enumerate(grid)]
-        row = df.where(x > 0).select(*aggs).first()
-        n, sl = row["n"], row["sl"]
-        llf = [((l - 1) * sl - n / 2.0 * math.log(row[f"v{i}"])) if row[f"v{i}"] else -math.inf
-               for i, l in enumerate(grid)]
-        best = grid[max(range(len(grid)), key=lambda i: llf[i])]
+        lam = F.col("lam")
+        bc = F.when(F.abs(lam) < 1e-12, F.log("x")).otherwise((F.pow(F.col("x"), lam) - 1.0) / lam)
+        rows = (pos.select(F.explode(F.array(*[F.lit(float(l)) for l in grid])).alias("lam"), "x")
+                .groupBy("lam").agg(F.var_pop(bc).alias("v")).collect())
+        llf = {r["lam"]: ((r["lam"] - 1) * sl - n / 2.0 * math.log(r["v"])) if r["v"] else -math.inf
+               for r in rows}
+        best = max(sorted(llf), key=lambda l: llf[l])
         lo, hi, step = best - step, best + step, step / 20.0
     return best
 
 
 def target_engineering(df: DataFrame, target: str = "target", bin_width: float = 100.0,
-                       keep: Sequence[str] = ()) -> DataFrame:
-    """log -> ^0.25 + 1 -> square -> Box-Cox (fitted lambda) -> bins of ``bin_width``
-    (left-closed digitize against 0, w, 2w, ... < max)."""
+                       keep: Sequence[str] = (), lam: float | None = None) -> DataFrame:
+    """log -> ^0.25 + 1 -> square -> Box-Cox (fitted lambda, or ``lam``) -> bins of
+    ``bin_width`` (left-closed digitize against 0, w, 2w, ... < max)."""
     y = F.pow(F.pow(F.log(F.col(target)), F.lit(0.25)) + 1.0, F.lit(2.0))
     staged = df.select(*keep, y.alias("__y"))
-    lam = fit_boxcox_lambda(staged, "__y")
+    if lam is None:
+        lam = fit_boxcox_lambda(staged, "__y")
     bc = staged.select(*keep, boxcox(F.col("__y"), lam).alias("__bc"))
     mx = bc.select(F.max("__bc")).scalar()
     e = F.greatest(F.ceil(mx / F.lit(bin_width)), F.lit(0))

@@ -535,6 +535,18 @@ def n14_target_engineering(spark, sf_dir):
     return N.target_engineering(panel, "target", keep=["o_orderkey"])
 
 
+@register("n14_boxcox_fixed_lambda", f"""WITH {PANEL_SQL},
+b AS (SELECT o_orderkey, (pow(pow(ln(target), 0.25) + 1.0, 2.0) ^ 0.5 - 1.0) / 0.5 AS bc FROM p),
+e AS (SELECT greatest(ceil(max(bc) / 0.5), 0) AS e FROM b)
+SELECT o_orderkey, round(bc, 6) AS target_boxcox,
+       CAST(least(greatest(floor(bc / 0.5) + 1, 0), e.e) AS BIGINT) AS target_bin FROM b, e""")
+def n14_boxcox_fixed_lambda(spark, sf_dir):
+    """The target transform with a given lambda (0.5) and bins of width 0.5."""
+    out = N.target_engineering(customer_panel(spark, sf_dir), "target", bin_width=0.5,
+                               keep=["o_orderkey"], lam=0.5)
+    return out.select("o_orderkey", r6("target_boxcox").alias("target_boxcox"), "target_bin")
+
+
 N15_COLS = ["q", "q_copy", "disc", "disc_n", "tax", "tax_copy", "price"]
 
 
