@@ -21,13 +21,13 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
+from ..session import reliable_checkpoint, spread_width
 
 _PID = "__pid"
 
 
 def _range_tagged(df: DataFrame, order: Sequence[Column], num_partitions: int | None) -> DataFrame:
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or spread_width(df.sparkSession)
     tagged = df.repartitionByRange(n, *order).withColumn(_PID, F.spark_partition_id())
     return reliable_checkpoint(tagged)
 
