@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_width
 from .folds import holdout_split, label_sum, stratified_kfold
 
 
@@ -45,7 +46,8 @@ def fold_run(train: DataFrame, test: DataFrame | None, key: str, features: Seque
     estimator = estimator or (lambda lab, s: gbt(lab, s))
     strat = label_sum(labels) if stratify else F.lit(0)
     tr = stratified_kfold(train, key, strat, n_folds, seed)
-    tr = assemble(tr, features).cache()
+    # every boosting iteration scans the cached frame: give it a bounded width
+    tr = assemble(tr.repartition(spread_width(train.sparkSession)), features).cache()
     te = assemble(test, features).cache() if test is not None else None
     parts = []
     for f in range(n_folds):
