@@ -50,3 +50,17 @@ def stored(df: DataFrame) -> DataFrame:
 def words(text: Column) -> Column:
     """Array of the words of a text; none for a null or blank text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+BROADCAST_ROWS = 500_000
+
+
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of short rows, marked for broadcast if it was counted to have at
+    most ``rows`` of them; beyond that the planner shuffles as it sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def row_hash(text: Column) -> Column:
+    """Hash that tells rows with one id apart; rows equal in both are one document."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))

@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmltext, langid, rules, tokencount
+from . import chat, decontaminate, htmltext, jaccard, langid, linededup, mixing, quality, rules, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,6 +27,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@register("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "lang", "n_chars", "perplexity", "cost", "threshold", "accepted")
+
+
+#: the mix as one sorted running sum per source; the Spark side finds the same threshold by histograms
+MIX_CTES = """
+d as (select {cols}, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
+        cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h from {docs}),
+src as (select source, sum(size) as source_size, row_number() over (order by source nulls last) - 1 as rnk from d group by source),
+wt as (select *, case rnk % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight, 2.0::double * source_size as most from src),
+run as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(most) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as level
+        from wt window w as (order by most / weight, rnk rows between unbounded preceding and 1 preceding)),
+goal as (select source, source_size, least(most, weight * max(level) over ()) as target from run),
+part as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as whole from goal),
+cum as (select d.*, source_size, target, whole, target - whole * source_size as rest,
+          sum(size) over (partition by d.source order by h) as upto, sum(size) over (partition by d.source, h) as same
+        from d join part on d.source is not distinct from part.source),
+took as (select *, case when size = 0 then 0 else whole + cast(upto <= rest or (upto - same <= rest and upto - rest < rest - (upto - same)) as bigint) end as copies from cum)
+"""
+
+
+@register("op2_source_mixing", "with " + MIX_CTES.format(cols="doc_id, source", docs="documents") + """
+select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, target, cast(copies * size as bigint) as taken from took
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 @register("op4_html_main_text")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
@@ -87,7 +122,7 @@ with d as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or n_symbols * 10 > n_words or word_chars < n_words * 2
-       or word_chars > n_words * 15 or n_dup_lines * 100 > n_lines * 30 or n_words > 100000) as kept
+       or word_chars > n_words * 15 or (n_dup_lines >= 3 and n_dup_lines * 100 > n_lines * 30) or n_words > 100000) as kept
 from s
 """)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,3 +166,25 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.read_vocabulary(PIECES))
+
+
+LINE_CTES = """
+l as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as raw,
+        list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) as t from documents),
+w as (select doc_id, len(t) as n, t, unnest(generate_series(1, greatest(1, len(t) - 2))) as i from l),
+k as (select doc_id, i, case when n >= 3 then t[i:i + 2] else t end as k, n from w),
+o as (select *, row_number() over (partition by k order by doc_id, i) as nth from k where array_to_string(k, '') <> ''),
+gone as (select doc_id, list(distinct p) as p from (select doc_id, unnest([i, i + 1, i + 2]) as p from o where nth > 1) group by doc_id)
+"""
+
+
+@register("op10_line_dedup", "with " + LINE_CTES + """
+select l.doc_id, cast(len(raw) as bigint) as n_lines,
+  cast(len(list_filter(generate_series(1, len(raw)), lambda j: coalesce(list_contains(p, j), false))) as bigint) as n_removed,
+  array_to_string(list_transform(list_filter(generate_series(1, len(raw)), lambda j: not coalesce(list_contains(p, j), false)), lambda j: raw[j]), chr(10)) as text
+from l left join gone on l.doc_id = gone.doc_id
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
+    return linededup.dedup_lines(docs).select("doc_id", "n_lines", F.col("__lines_removed").alias("n_removed"), "text")

@@ -77,7 +77,7 @@ def rules() -> dict[str, Column]:
         "symbols": c("n_symbols") * 10 > c("n_words"),                       # more than a symbol in ten words
         "short_words": c("word_chars") < c("n_words") * 2,                   # mean word below two characters
         "long_words": c("word_chars") > c("n_words") * 15,                   # or above fifteen
-        "repeated_lines": c("n_dup_lines") * 100 > c("n_lines") * 30,        # three lines in ten said before
+        "repeated_lines": (c("n_dup_lines") >= 3) & (c("n_dup_lines") * 100 > c("n_lines") * 30),  # three lines in ten said before
         "too_long": c("n_words") > 100000,
     }
 
