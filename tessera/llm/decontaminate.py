@@ -206,7 +206,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                     hit = sum(y - x for x, y in ranges)
                     keep.append(not (hit > 0 and 20 * hit >= n))
                 yield b.filter(pa.array(keep, pa.bool_()))
-        return docs.mapInArrow(run, docs.schema)
+        # positional names, since mapInArrow would read a dot in a name as a field
+        return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).mapInArrow(run, docs.schema)
     named = docs.select(F.struct(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("h")).alias("k"),
                         col(text_col).alias("text"))
     bad = (verdicts(find_contamination(named, benchmark, "k", "text", item_col, item_text, window, shard_bytes))
