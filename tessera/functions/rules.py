@@ -6,6 +6,13 @@ order.  Patterns are Java regular expressions; where a source pattern used a Pyt
 escape Java reads differently the adjusted form is noted next to it.
 """
 
+# ---------------------------------------------------------------------------
+# FIXED VALUE: Python's white space, spelled so Java and RE2 read it the same way (their
+# own \\s is ASCII only).
+# ---------------------------------------------------------------------------
+PY_SPACE = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES: twitter-style preprocessing rules (ordered; pattern, replacement).
 # eyes = "[8:=;]", nose = "['`\\-]?"
@@ -57,7 +64,7 @@ WORDLIST_RULES = [
     (r"\x00s", "0"),
     (r" 9 11 ", "911"),
     (r"e-mail", "email"),
-    (r"\s{2,}", " "),
+    (PY_SPACE + "{2,}", " "),
     (r"quikly", "quickly"),
     (r" usa ", " America "),
     (r" USA ", " America "),
@@ -154,7 +161,7 @@ CONTRACTIONS = [
     ("hadn't", "had not"),
     ("won't", "will not"),
     ("[\"'?,\\.]", ""),
-    (r"\s+", " "),
+    (PY_SPACE + "+", " "),
 ]
 
 # FIXED VALUES: function words dropped by the basic cleaning.

@@ -22,9 +22,7 @@ def words(c) -> Column:                           # T2
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD), 0)
 
 
-# Python's str.split() whitespace set, spelled so Java and RE2 read it the same way.
-PY_SPACE = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
+PY_SPACE = R.PY_SPACE + "+"
 
 
 def whitespace_split(c) -> Column:
@@ -77,7 +75,8 @@ def skipgrams(tokens, n: int, k: int, seed: int, row_key, method: str = "xxhash"
 
     def h(i):
         if method == "knuth":
-            return F.pmod(key.cast("bigint") * F.lit(2654435761) + i * F.lit(40503) + F.lit(seed), F.lit(4294967296))
+            reduced = F.pmod(key.cast("bigint"), F.lit(2147483648))
+            return F.pmod(reduced * F.lit(2654435761) + i * F.lit(40503) + F.lit(seed), F.lit(4294967296))
         return F.xxhash64(F.lit(seed), key, i)
     keyed = F.transform(grams, lambda g, i: F.struct(h(i).alias("h"), i.alias("i"), g.alias("g")))
     picked = F.slice(F.array_sort(keyed), 1, k)

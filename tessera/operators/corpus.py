@@ -88,10 +88,10 @@ def document_frequencies(df: DataFrame, key: str, tokens: Column, term_col: str
 
 
 def filter_extremes(df: DataFrame, key: str, tokens: str, no_below: int = 3,
-                    no_above: float = 0.75, keep_n: int | None = 100000,
+                    no_above: float = 0.75, keep_n: int | None = None,
                     invert: bool = False, out_col: str | None = None) -> DataFrame:
     """Keep tokens whose document frequency is in [no_below, floor(no_above * N)]
-    (and among the ``keep_n`` most frequent, ties by term), preserving token order.
+    (with ``keep_n``, only the so many most frequent, ties by term), preserving token order.
     ``invert=True`` keeps the other tokens instead (the reference's behaviour, Q7)."""
     out_col = out_col or tokens
     n_docs = df.select(F.count(F.lit(1))).scalar()

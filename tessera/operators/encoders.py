@@ -10,6 +10,7 @@ subqueries, never as collected values.
 from __future__ import annotations
 
 import itertools
+import math
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -115,9 +116,10 @@ def fit_target_encoding(train: DataFrame, col: str, target: str = "target",
 
 
 def apply_target_encoding(df: DataFrame, table: DataFrame, col: str, out_col: str,
-                          by: Sequence[str] = (), noise_level: float = 0.0,
-                          seed: int = 1337) -> DataFrame:
-    """Left join the fitted table; unseen values get the prior; optional noise."""
+                          by: Sequence[str] = (), noise_level: float = 0.0, seed: int = 1337,
+                          noise_key: Sequence[str] | None = None) -> DataFrame:
+    """Left join the fitted table; unseen values get the prior; optional noise (A8) drawn
+    per ``noise_key`` (by default, all columns of the row)."""
     by = list(by)
     t = table.select(*by, F.col("value").alias(col), F.col("encoding").alias("__enc"))
     if by:
@@ -129,14 +131,27 @@ def apply_target_encoding(df: DataFrame, table: DataFrame, col: str, out_col: st
         prior = table.select(F.first("prior")).scalar()
     val = F.coalesce(F.col("__enc"), prior)
     if noise_level:
-        val = add_noise(val, noise_level, seed)
+        val = add_noise(val, noise_level, seed, noise_key or df.columns)
     out = out.withColumn(out_col, val).drop("__enc")
     return out.drop("prior") if by else out
 
 
-def add_noise(c: Column, noise_level: float, seed: int = 1337) -> Column:
-    """x * (1 + level * N(0, 1)), seeded."""
-    return c * (1.0 + F.lit(float(noise_level)) * F.randn(seed))
+def keyed_uniform(seed: int, *key) -> Column:
+    """A draw from (0, 1) that depends on the seed and the key columns alone, not on the
+    partition or the place of the row."""
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11)
+    return (h.cast("double") + 0.5) / float(1 << 53)
+
+
+def keyed_normal(seed: int, *key) -> Column:
+    """A standard normal draw by Box-Muller from two keyed uniform ones."""
+    radius = F.sqrt(-2.0 * F.log(keyed_uniform(2 * seed, *key)))
+    return radius * F.cos(2 * math.pi * keyed_uniform(2 * seed + 1, *key))
+
+
+def add_noise(c: Column, noise_level: float, seed: int, key: Sequence[str]) -> Column:
+    """x * (1 + level * N(0, 1)); the draw is a function of seed and row key."""
+    return c * (1.0 + F.lit(float(noise_level)) * keyed_normal(seed, *key))
 
 
 def target_encode(train: DataFrame, test: DataFrame, cols, target: str = "target",
@@ -185,10 +200,12 @@ def polynomial_encode(df: DataFrame, categorical: Sequence[str], numeric: Sequen
 # --- A10 ------------------------------------------------------------------------
 def nan_encode(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     """Columns holding any null become 0/1 null indicators (one aggregate picks them)."""
+    from .numeric import _known
     cols = list(cols) if cols is not None else df.columns
-    row = df.select(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    gone = {c: _known(df, c).isNull() for c in cols}         # NaN is missing too
+    row = df.select(*[F.count_if(gone[c]).alias(c) for c in cols]).first()
     with_nulls = [c for c in cols if row[c] > 0]
-    return df.select(*[F.col(c).isNull().cast("int").alias(c) if c in with_nulls else F.col(c)
+    return df.select(*[gone[c].cast("int").alias(c) if c in with_nulls else F.col(c)
                        for c in df.columns])
 
 

@@ -14,6 +14,7 @@ from .ranking import global_index
 
 KNUTH = 2654435761
 TWO32 = 4294967296
+TWO31 = 2147483648
 
 
 def id_hash(id_col: str, seed: int, method: str = "xxhash") -> Column:
@@ -22,7 +23,8 @@ def id_hash(id_col: str, seed: int, method: str = "xxhash") -> Column:
     if method == "xxhash":
         return F.xxhash64(F.lit(seed), F.col(id_col))
     if method == "knuth":
-        return F.pmod(F.col(id_col).cast("bigint") * F.lit(KNUTH) + F.lit(seed), F.lit(TWO32))
+        # reduced first, so that no id overflows the product
+        return F.pmod(F.pmod(F.col(id_col).cast("bigint"), F.lit(TWO31)) * F.lit(KNUTH) + F.lit(seed), F.lit(TWO32))
     raise ValueError("method must be 'xxhash' or 'knuth'")
 
 

@@ -43,3 +43,28 @@ def run_statistics(metrics: DataFrame, value: str = "metric", by: Sequence[str]
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.min(value).alias("min"), F.max(value).alias("max"),
         F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def macro_auc(aucs: DataFrame, by: Sequence[str] = (), auc: str = "auc") -> DataFrame:
+    """Mean over the labels of their AUC; labels with one class only are left out."""
+    return aucs.groupBy(*by).agg(F.count(auc).cast("bigint").alias("n_labels"), F.avg(auc).alias("macro_auc"))
+
+
+def record_run(metrics: DataFrame, path: str, run: str) -> None:
+    """Append the metrics of a run (one row per fold and label, any columns) to the run
+    table at ``path``, under the run's name."""
+    metrics.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+
+
+def best_runs(runs: DataFrame, value: str = "auc", by: Sequence[str] = ("label",), lowest: bool = False) -> DataFrame:
+    """Per ``by`` group the run with the best mean metric of the run table (M14), ties to
+    the first name."""
+    mean = runs.groupBy("run", *by).agg(F.avg(value).alias("mean"))
+    rank = F.struct((F.col("mean") if lowest else -F.col("mean")).alias("m"), "run")
+    best = mean.where("mean is not null").groupBy(*by).agg(F.min(rank).alias("b"))
+    return best.select(*by, F.col("b.run").alias("run"), (F.col("b.m") if lowest else -F.col("b.m")).alias("mean"))
+
+
+def prediction_spread(df: DataFrame, target: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    """Population std of the targets against that of the predictions."""
+    return df.groupBy(*by).agg(F.stddev_pop(target).alias("std_target"), F.stddev_pop(pred).alias("std_pred"))

@@ -6,7 +6,7 @@ land in one long table (key, label, [bag], fold, pred) for the ensemble operator
 """
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
@@ -15,8 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread_width
-from .folds import holdout_split, label_sum, stratified_kfold
+from ..session import reliable_checkpoint, spread_width
+from .folds import holdout_split, label_argmax, label_sum, stratified_kfold
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -36,30 +36,47 @@ def _score(model, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return model.transform(df).select(*keys, vector_to_array("probability")[1].alias("pred"))
 
 
-def fold_run(train: DataFrame, test: DataFrame | None, key: str, features: Sequence[str],
+def _stops_on_validation(estimator) -> bool:
+    """Whether the estimator is told which rows are for validation only."""
+    return estimator.hasParam("validationIndicatorCol") and estimator.isSet("validationIndicatorCol")
+
+
+def label_features(features, label: str) -> list[str]:
+    """The columns a label's model reads: a list serves every label; a mapping gives the
+    shared ones under None and each label's own under its name."""
+    if isinstance(features, Mapping):
+        return list(dict.fromkeys([*features.get(None, []), *features.get(label, [])]))
+    return list(features)
+
+
+def fold_run(train: DataFrame, test: DataFrame | None, key: str, features: Sequence[str] | Mapping,
              labels: Sequence[str], n_folds: int = 5, seed: int = 1337,
-             estimator: Callable[[str, int], object] | None = None, stratify: bool = True,
+             estimator: Callable[[str, int], object] | None = None, stratify: bool | str = True,
              bag: int | None = None) -> DataFrame:   # M4 / M8
-    """For each fold and label: train on the other folds (early stopping on the
-    fold itself through the validation indicator), predict the fold (out-of-fold)
-    and the test rows.  Returns (key, label, fold, split, pred[, bag])."""
+    """For each fold and label: train on the other folds, predict the fold (out-of-fold)
+    and the test rows.  The fold's rows reach the fit only when the estimator has a
+    validation indicator (early stopping).  ``stratify``: by the number of positive
+    labels, or ``'argmax'`` by the largest label.  Returns (key, label, fold, split,
+    pred[, bag])."""
     estimator = estimator or (lambda lab, s: gbt(lab, s))
-    strat = label_sum(labels) if stratify else F.lit(0)
+    strat = label_argmax(labels) if stratify == "argmax" else label_sum(labels) if stratify else F.lit(0)
     tr = stratified_kfold(train, key, strat, n_folds, seed)
-    # every boosting iteration scans the cached frame: give it a bounded width
-    tr = assemble(tr.repartition(spread_width(train.sparkSession)), features).cache()
-    te = assemble(test, features).cache() if test is not None else None
+    # every boosting iteration scans the frame, so it is stored, spread over the session's width
+    tr = reliable_checkpoint(tr.repartition(spread_width(train.sparkSession)))
+    te = reliable_checkpoint(test) if test is not None else None
     parts = []
     for f in range(n_folds):
         fold_df = tr.withColumn("is_val", F.col("fold") == f)
         for lab in labels:
-            data = fold_df.withColumn(lab, F.col(lab).cast("double"))
-            model = estimator(lab, seed + f).fit(data)
-            oof = _score(model, tr.where(F.col("fold") == f), [key])
+            columns = label_features(features, lab)
+            est = estimator(lab, seed + f)
+            data = assemble(fold_df, columns).withColumn(lab, F.col(lab).cast("double"))
+            model = est.fit(data if _stops_on_validation(est) else data.where(~F.col("is_val")))
+            oof = _score(model, assemble(tr.where(F.col("fold") == f), columns), [key])
             parts.append(oof.select(key, F.lit(lab).alias("label"), F.lit(f).alias("fold"),
                                     F.lit("train").alias("split"), "pred"))
             if te is not None:
-                parts.append(_score(model, te, [key]).select(
+                parts.append(_score(model, assemble(te, columns), [key]).select(
                     key, F.lit(lab).alias("label"), F.lit(f).alias("fold"), F.lit("test").alias("split"), "pred"))
     out = parts[0]
     for p in parts[1:]:
@@ -71,7 +88,9 @@ def fold_run(train: DataFrame, test: DataFrame | None, key: str, features: Seque
 
 def bagged_fold_run(train: DataFrame, test: DataFrame | None, key: str, features, labels,
                     n_bags: int = 2, n_folds: int = 5, seed: int = 1337, **kw) -> DataFrame:   # M8
-    """Bags differ by seed (base + bag), so each bag has its own folds (quirk Q21)."""
+    """Bags differ by seed (base + bag), so each bag has its own folds (quirk Q21); strata
+    are the largest label (quirk Q19)."""
+    kw.setdefault("stratify", "argmax")
     runs = [fold_run(train, test, key, features, labels, n_folds, seed + b, bag=b, **kw) for b in range(n_bags)]
     out = runs[0]
     for r in runs[1:]:
@@ -82,14 +101,15 @@ def bagged_fold_run(train: DataFrame, test: DataFrame | None, key: str, features
 def bag_run(train: DataFrame, test: DataFrame | None, key: str, features, labels,
             split_size: float = 0.2, seed: int = 1337) -> DataFrame:   # M5
     """One seeded hold-out split; per label one model with early stopping on it."""
-    tr = assemble(holdout_split(train, key, split_size, seed), features).cache()
+    tr = assemble(reliable_checkpoint(holdout_split(train, key, split_size, seed)), features)
+    te = assemble(reliable_checkpoint(test), features) if test is not None else None
     parts = []
     for lab in labels:
         model = gbt(lab, seed).fit(tr.withColumn(lab, F.col(lab).cast("double")))
         parts.append(_score(model, tr.where("is_val"), [key]).select(
             key, F.lit(lab).alias("label"), F.lit("valid").alias("split"), "pred"))
         if test is not None:
-            parts.append(_score(model, assemble(test, features), [key]).select(
+            parts.append(_score(model, te, [key]).select(
                 key, F.lit(lab).alias("label"), F.lit("test").alias("split"), "pred"))
     out = parts[0]
     for p in parts[1:]:
@@ -110,7 +130,7 @@ def predict_saved(path: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def mlp_stacker(train: DataFrame, test: DataFrame, key: str, features, labels, hidden: int = 8,
                 seed: int = 1337, max_iter: int = 100) -> DataFrame:   # M9
     """A small dense network per label on stacked predictions (no batch norm/dropout)."""
-    tr = assemble(train, features).cache()
+    tr = assemble(reliable_checkpoint(train), features)
     te = assemble(test, features)
     parts = []
     for lab in labels:

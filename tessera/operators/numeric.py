@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from .ranking import global_index, global_prefix
 
 
-def _nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+def _known(df: DataFrame, c: str) -> Column:
+    """The column with NaN read as missing (as data frames do), for float types only."""
+    if df.schema[c].dataType.typeName() in ("double", "float"):
+        return F.when(~F.isnan(F.col(c)), F.col(c))
+    return F.col(c)
 
 
 # --- N1-N3 ----------------------------------------------------------------------
@@ -29,8 +32,8 @@ def impute_constant(df: DataFrame, cols: Sequence[str], value: float = -999) ->
 def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:   # N2
     out = df
     for c in cols:
-        m = df.select(F.avg(c)).scalar()
-        out = out.withColumn(c, F.coalesce(F.col(c), m))
+        x = _known(df, c)
+        out = out.withColumn(c, F.coalesce(x, df.select(F.avg(x)).scalar()))
     return out
 
 
@@ -41,7 +44,8 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.5) -> Column:
     each distinct value its position range, and the two order statistics around
     q*(n-1) are picked - no collect, no single-partition sort.
     """
-    vals = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(
+    x = _known(df, col)
+    vals = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(
         F.count(F.lit(1)).alias("k"))
     n = vals.select(F.sum("k")).scalar()
     pos = global_prefix(vals, [F.col("v").asc()], {"before": F.col("k")}, inclusive=False)
@@ -55,7 +59,7 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.5) -> Column:
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:   # N3
     out = df
     for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), exact_quantile(df, c, 0.5)))
+        out = out.withColumn(c, F.coalesce(_known(df, c), exact_quantile(df, c, 0.5)))
     return out
 
 
@@ -88,8 +92,8 @@ def digitize(df: DataFrame, cols: Sequence[str], step: float, suffix: str = "_bi
     read as 999 first."""
     out = df
     for c in cols:
-        x = F.when(F.col(c) == float("inf"), F.lit(999.0)).otherwise(F.col(c))
-        mx = df.select(F.max(F.when(F.col(c) == float("inf"), F.lit(999.0)).otherwise(F.col(c)))).scalar()
+        x = F.when(_known(df, c) == float("inf"), F.lit(999.0)).otherwise(_known(df, c))
+        mx = df.select(F.max(x)).scalar()
         e = F.greatest(F.ceil(mx / F.lit(float(step))), F.lit(0))
         idx = F.least(F.greatest(F.ceil(x / F.lit(float(step))), F.lit(0)), e)
         # greatest/least skip nulls, so the null case is spelled out
@@ -102,9 +106,10 @@ def scale_standard(df: DataFrame, cols: Sequence[str]) -> DataFrame:   # N8
     """(x - mean) / population std; a constant column becomes 0."""
     out = df
     for c in cols:
-        m = df.select(F.avg(c)).scalar()
-        s = df.select(F.stddev_pop(c)).scalar()
-        out = out.withColumn(c, (F.col(c) - m) / F.when(s == 0, F.lit(1.0)).otherwise(s))
+        x = _known(df, c)
+        m = df.select(F.avg(x)).scalar()
+        s = df.select(F.stddev_pop(x)).scalar()
+        out = out.withColumn(c, (x - m) / F.when(s == 0, F.lit(1.0)).otherwise(s))
     return out
 
 
@@ -112,16 +117,17 @@ def scale_minmax(df: DataFrame, cols: Sequence[str]) -> DataFrame:   # N9
     """(x - min) / (max - min); a constant column becomes 0."""
     out = df
     for c in cols:
-        lo = df.select(F.min(c)).scalar()
-        hi = df.select(F.max(c)).scalar()
+        x = _known(df, c)
+        lo = df.select(F.min(x)).scalar()
+        hi = df.select(F.max(x)).scalar()
         rng = hi - lo
-        out = out.withColumn(c, (F.col(c) - lo) / F.when(rng == 0, F.lit(1.0)).otherwise(rng))
+        out = out.withColumn(c, (x - lo) / F.when(rng == 0, F.lit(1.0)).otherwise(rng))
     return out
 
 
 # --- N10 / N11 ------------------------------------------------------------------
-def _row_moments(cols: Sequence[str]):
-    xs = [F.col(c).cast("double") for c in cols]
+def _row_moments(df: DataFrame, cols: Sequence[str]):
+    xs = [_known(df, c).cast("double") for c in cols]
     n = sum((x.isNotNull().cast("int") for x in xs), F.lit(0))
     s = sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0))
     mean = F.when(n > 0, s / n)
@@ -134,8 +140,8 @@ def _row_moments(cols: Sequence[str]):
 def row_statistics(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:   # N10
     """Per row over the given columns: zeros, non-zeros, nulls, negatives, sum, mean,
     sample std and max (all over the original columns, quirk Q17)."""
-    xs = [F.col(c) for c in cols]
-    n, s, mean, std, mx = _row_moments(cols)
+    xs = [_known(df, c) for c in cols]
+    n, s, mean, std, mx = _row_moments(df, cols)
     cnt = lambda pred: sum((F.coalesce(pred(x), F.lit(False)).cast("bigint") for x in xs), F.lit(0).cast("bigint"))
     return df.select(*keep, *cols,
                      cnt(lambda x: x == 0).alias("zeros"),
@@ -148,7 +154,7 @@ def row_statistics(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ())
 
 def add_statistics(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:   # N11
     k = len(cols)
-    n, s, mean, std, mx = _row_moments(cols)
+    n, s, mean, std, mx = _row_moments(df, cols)
     return df.select(*keep, s.alias(f"sum_row_{k}cols"), mean.alias(f"mean_row{k}cols"),
                      std.alias(f"std_row{k}cols"), mx.cast("double").alias(f"max_row{k}cols"))
 

@@ -81,9 +81,10 @@ def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, nb_words: in
     if random_init is None:
         miss = F.array_repeat(F.lit(0.0).cast("float"), dim)
     else:
+        from .encoders import keyed_normal
         mu, sd = random_init
         miss = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                           lambda i: (F.lit(mu) + F.lit(sd) * F.randn(seed)).cast("float"))
+                           lambda i: (F.lit(mu) + F.lit(sd) * keyed_normal(seed, F.col("word"), i)).cast("float"))
     return j.select("index", "word", F.coalesce(F.col("vec"), miss).alias("vec"),
                     F.col("vec").isNull().alias("missing"))
 

@@ -1,50 +1,56 @@
 """Spelling repair as a join job.
 
 For a word: itself when known; else the best-ranked known word one edit away; else
-two edits away; else itself.  "Edit" = delete, adjacent transpose, replace or insert
-over a-z, and ranks are smaller for more frequent words.
-
-No candidate set is materialised per word.  Distance 1 is an equi-join of the
-word's edits with the vocabulary.  Distance 2 meets in the middle: on [a-z]+ words an
-edit is reversible, so w is two edits from x exactly when edits1(x) and edits1(w)
-share a string.  The vocabulary side is first reduced to the best-ranked word per
-edit string, so a popular edit string (a hot key) is one row, and the join never
-emits all pairs.
+two edits away; else itself.  "Edit" = delete any character, transpose two neighbours,
+or put a letter a-z in or in place of another; ranks are smaller for more frequent words.
+
+Words within two edits share a string that is left when at most two characters are
+deleted from each, so candidates come from an equi-join on hashes of those strings
+(some n^2 / 2 keys instead of the 1400 n^2 edits).  A known word of more than ``LONG``
+characters is cut into ``PIECES`` pieces instead: two edits leave one of them whole, at a
+place that moved by two at most.  Keys are made one row per place, so no row holds more
+than its word, however long.  Every candidate is verified by an exact edit test.
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.arrays import explode_rows
-from ..functions.clean import _col
-from ..session import spread_width
-
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-AZ = r"^[a-z]+$"
-
-
-def edits1(word) -> Column:
-    """All strings one edit from ``word`` (distinct), as one native array expression.
-
-    Each split point is computed once as (prefix, suffix without its first char,
-    suffix); the 26-letter loops only concatenate those pieces.
-    """
-    w = _col(word)
-    n = F.length(w)
-    letters = F.array(*[F.lit(c) for c in LETTERS])
-    big = 1 << 20
-    splits = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(
-        F.substring(w, 1, i).alias("l"), F.substring(w, i + 1, big).alias("r"),
-        F.substring(w, i + 2, big).alias("r1"), F.substring(w, i + 1, 1).alias("c0"),
-        F.substring(w, i + 2, 1).alias("c1"), F.substring(w, i + 3, big).alias("r2")))
-    inner = F.slice(splits, 1, n)               # split points with a non-empty right part
-    deletes = F.transform(inner, lambda s: F.concat(s["l"], s["r1"]))
-    transposes = F.transform(F.filter(inner, lambda s: F.length(s["r"]) > 1),
-                             lambda s: F.concat(s["l"], s["c1"], s["c0"], s["r2"]))
-    replaces = F.flatten(F.transform(inner, lambda s: F.transform(letters, lambda c: F.concat(s["l"], c, s["r1"]))))
-    inserts = F.flatten(F.transform(splits, lambda s: F.transform(letters, lambda c: F.concat(s["l"], c, s["r"]))))
-    return F.array_distinct(F.concat(deletes, transposes, replaces, inserts))
+from ..session import reliable_checkpoint, spread_width
+
+LONG = 15
+PIECES = 5
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
+
+
+def within(x: str, w: str, k: int) -> int:
+    """Fewest edits (at most ``k``) that turn x into w, or ``k + 1``."""
+    a = 0
+    n = min(len(x), len(w))
+    while a < n and x[a] == w[a]:
+        a += 1
+    z = 0
+    while z < n - a and x[-1 - z] == w[-1 - z]:
+        z += 1
+    x, w = x[a:len(x) - z], w[a:len(w) - z]
+    if not x and not w:
+        return 0
+    if k == 0 or abs(len(x) - len(w)) > k:
+        return k + 1
+    # what the first edit can be: it touches the place where the words part, or the next
+    nexts = [(x[:i] + x[i + 1:], w) for i in range(min(2, len(x)))]
+    nexts += [(x[:i] + x[i + 1] + x[i] + x[i + 2:], w) for i in range(min(2, len(x) - 1))]
+    if w and w[0] in LETTERS:
+        nexts += [(x, w[1:]), (x[1:], w[1:])] if x else [(x, w[1:])]
+    return 1 + min((within(p, q, k - 1) for p, q in nexts), default=k)
+
+
+@F.pandas_udf(IntegerType())
+def edits_apart(x: pd.Series, w: pd.Series) -> pd.Series:
+    return pd.Series([min(within(a, b, 2), 3) for a, b in zip(x, w)], dtype="int32")
 
 
 def rank_table(df: DataFrame, tokens: Column, min_count: int = 1) -> DataFrame:
@@ -56,30 +62,65 @@ def rank_table(df: DataFrame, tokens: Column, min_count: int = 1) -> DataFrame:
         .select("word", "rank")
 
 
+def _deletions(df: DataFrame, keep: list[str], most: int) -> DataFrame:
+    """(*keep, key): hashes of the word with up to ``most`` characters deleted."""
+    rest = 1 << 20
+    whole = df.select(*keep, F.col("word").alias("e"), F.lit(1).alias("at"))
+    out, last = whole, whole
+    for _ in range(most):
+        m = F.length("e")
+        places = F.when(m >= F.col("at"), F.sequence(F.col("at"), m))
+        last = (last.select(*keep, "e", F.explode(places).alias("i"))
+                .select(*keep, F.concat(F.substring("e", F.lit(1), F.col("i") - 1), F.substring("e", F.col("i") + 1, F.lit(rest))).alias("e"),
+                        F.col("i").alias("at")))
+        out = out.unionByName(last)
+    return out.select(*keep, F.xxhash64(F.lit("d"), "e").alias("key")).distinct()
+
+
+def _pieces(df: DataFrame, keep: list[str], moves: bool) -> DataFrame:
+    """(*keep, key): hashes of (length of the known word, number and text of a piece).  On the
+    query side (``moves``) for every length and place two edits can lead to."""
+    d = df.withColumn("n", F.length("word"))
+    if moves:
+        d = d.withColumn("by", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("to", F.col("n") + F.col("by"))
+        d = d.withColumn("move", F.explode(F.sequence(F.lit(-2), F.lit(2)))).where(F.col("to") > LONG)
+    else:
+        d = d.withColumn("to", F.col("n")).withColumn("move", F.lit(0))
+    d = d.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    a = F.floor(F.col("p") * F.col("to") / PIECES).cast("int")
+    z = F.floor((F.col("p") + 1) * F.col("to") / PIECES).cast("int")
+    piece = F.substring("word", a + F.col("move") + 1, z - a)
+    d = d.where(a + F.col("move") >= 0)
+    return d.select(*keep, F.xxhash64(F.lit("p"), "to", "p", piece).alias("key")).distinct()
+
+
+def _nearest(queries: DataFrame, vocab: DataFrame, edits: int) -> DataFrame:
+    """(word, fix): best-ranked known word exactly ``edits`` (1 or 2) away, where there is one."""
+    parts = spread_width(queries.sparkSession)
+    q, v = queries.repartition(parts), vocab.repartition(parts)
+    size = F.length("word")
+    query_keys = (_deletions(q.where(size <= LONG + edits), ["word"], edits)
+                  .unionByName(_pieces(q.where(size > LONG - edits), ["word"], True)))
+    known_keys = (_deletions(v.where(size <= LONG), ["word", "rank"], edits)
+                  .unionByName(_pieces(v.where(size > LONG), ["word", "rank"], False))
+                  .withColumnRenamed("word", "known"))
+    # both sides grow with the data and hold many more rows than the words they come from
+    pairs = (query_keys.hint("merge").join(known_keys, "key")
+             .where(F.abs(F.length("word") - F.length("known")) <= edits)
+             .select("word", "known", "rank").distinct()
+             .where(F.levenshtein("word", "known", 2 * edits) >= 0))
+    found = pairs.where(edits_apart("word", "known") <= edits)
+    return (found.groupBy("word").agg(F.min(F.struct("rank", "known")).alias("b"))
+            .select("word", F.col("b.known").alias("fix")))
+
+
 def correct_words(words: DataFrame, ranks: DataFrame, word_col: str = "word") -> DataFrame:
     """(word, correction) for every distinct word of ``words``."""
-    vocab = ranks.where(F.col("word").rlike(AZ)).select("word", "rank")
+    vocab = ranks.select("word", "rank")
     distinct = words.select(F.col(word_col).alias("word")).where(F.col("word").isNotNull()).distinct()
     known = distinct.join(vocab, "word", "left_semi")
-    oov = distinct.join(vocab, "word", "left_anti")
-    # word tables are small but each word explodes into ~54 x length edit strings:
-    # spread them explicitly (AQE sizes partitions by input bytes and would run the
-    # whole explosion in one task).  Round-robin, because a hash repartition on
-    # ``word`` counts as redundant after the distinct and is dropped.
-    parts = spread_width(words.sparkSession)
-    oov_az = oov.where(F.col("word").rlike(AZ)).repartition(parts)
-    vocab_p = vocab.repartition(parts)
-    e1 = explode_rows(oov_az, ["word"], edits1("word"), "e")
-    # one table keyed by edit string: the known words themselves (distance 1 when an
-    # edit of the word equals them) and the best known word per edit string of the
-    # vocabulary (distance 2 when the word shares that edit string)
-    cand = lambda d: F.struct(F.lit(d).alias("d"), F.col("rank"), F.col("word").alias("w"))
-    direct = vocab.select(F.col("word").alias("e"), cand(1).alias("b"))
-    best_per_edit = (explode_rows(vocab_p, ["word", "rank"], edits1("word"), "e")
-                     .groupBy("e").agg(F.min(cand(2)).alias("b")))
-    # both sides grow with the data (the edit side is ~54 x word length rows per word,
-    # which AQE under-estimates from the stage before the explode): never broadcast
-    best = (e1.hint("merge").join(direct.unionByName(best_per_edit), "e")
-            .groupBy("word").agg(F.min("b").alias("b")).select("word", F.col("b.w").alias("fix")))
-    fixed = oov.join(best, "word", "left").select("word", F.coalesce("fix", "word").alias("correction"))
+    oov = reliable_checkpoint(distinct.join(vocab, "word", "left_anti"))
+    one = reliable_checkpoint(_nearest(oov, vocab, 1))
+    two = _nearest(oov.join(one, "word", "left_anti"), vocab, 2)
+    fixed = oov.join(one.unionByName(two), "word", "left").select("word", F.coalesce("fix", "word").alias("correction"))
     return known.select("word", F.col("word").alias("correction")).unionByName(fixed)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ensemble as EN, folds as FO
-from ..operators.metrics import roc_auc, run_statistics
+from ..operators.metrics import best_runs, macro_auc, prediction_spread, record_run, roc_auc, run_statistics
+from ..sources.files import scratch_dir
 from ..sources.tables import corpus, read_table
 from .catalog import register
 
@@ -13,7 +14,7 @@ LABELS = ["toxic", "quality"]
 MODELS = [0, 1, 2]
 K = 5
 SEED = 1337
-H_SQL = f"((doc_id * {FO.KNUTH} + {SEED}) % {FO.TWO32})"
+H_SQL = f"((((doc_id % {FO.TWO31}) + {FO.TWO31}) % {FO.TWO31} * {FO.KNUTH} + {SEED}) % {FO.TWO32})"
 
 
 def r6(c):
@@ -153,6 +154,49 @@ def m10_blend_auc(spark, sf_dir):
     return a.select("label", "n_pos", "n_neg", r6("auc").alias("auc"))
 
 
+def _run_table(spark, sf_dir):
+    """AUC per model, label and fold, written to a run table (one run per model) and read
+    back."""
+    oof = _oof(spark, sf_dir).where(F.col("split") == "train")
+    per_fold = roc_auc(oof, "y", "pred", by=["model", "label", "fold"]).where(F.col("auc").isNotNull())
+    path = scratch_dir(spark, "runs")
+    record_run(per_fold, path, "folds")
+    return spark.read.parquet(path).withColumn("run", F.concat(F.lit("model"), F.col("model").cast("string")))
+
+
+_FOLD_AUC_SQL = f"""WITH {_oof_sql()}, t AS (SELECT * FROM oof WHERE split = 'train'),
+per AS (SELECT model, label, fold, pred AS score, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos,
+        sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS neg FROM t GROUP BY model, label, fold, pred),
+cum AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model, label, fold ORDER BY score
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per),
+a AS (SELECT model, label, fold, sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)::DOUBLE) AS auc
+      FROM cum GROUP BY model, label, fold HAVING sum(pos) > 0 AND sum(neg) > 0)"""
+
+
+@register("m10_macro_auc", _FOLD_AUC_SQL + """
+SELECT model, fold, CAST(count(auc) AS BIGINT) AS n_labels, round(avg(auc), 6) AS macro_auc FROM a GROUP BY model, fold""")
+def m10_macro_auc(spark, sf_dir):
+    """Mean over the labels of the exact AUC, per model and fold."""
+    m = macro_auc(_run_table(spark, sf_dir), by=["model", "fold"])
+    return m.select("model", "fold", "n_labels", r6("macro_auc").alias("macro_auc"))
+
+
+@register("m14_best_runs", _FOLD_AUC_SQL + """, mean AS (SELECT 'model' || model AS run, label, avg(auc) AS m FROM a GROUP BY model, label)
+SELECT label, run, round(m, 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m DESC, run) AS r FROM mean) WHERE r = 1""")
+def m14_best_runs(spark, sf_dir):
+    """Per label the recorded run with the best mean fold AUC."""
+    b = best_runs(_run_table(spark, sf_dir), "auc", by=["label"])
+    return b.select("label", "run", r6("mean").alias("mean"))
+
+
+@register("s10_prediction_spread", f"""WITH {_oof_sql()} SELECT model, label, round(stddev_pop(y), 6) AS std_target,
+  round(stddev_pop(pred), 6) AS std_pred FROM oof WHERE split = 'train' GROUP BY model, label""")
+def s10_prediction_spread(spark, sf_dir):
+    """Std of the targets against that of the out-of-fold predictions."""
+    p = prediction_spread(_oof(spark, sf_dir).where(F.col("split") == "train"), "y", "pred", by=["model", "label"])
+    return p.select("model", "label", r6("std_target").alias("std_target"), r6("std_pred").alias("std_pred"))
+
+
 @register("s10_run_statistics", f"""WITH {_oof_sql()}, t AS (SELECT * FROM oof WHERE split = 'train'),
 per AS (SELECT model, label, fold, pred AS score, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos,
         sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS neg FROM t GROUP BY model, label, fold, pred),
@@ -164,7 +208,5 @@ SELECT model, label, CAST(count(*) AS BIGINT) AS n, round(min(auc), 6) AS min, r
   round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std FROM a GROUP BY model, label""")
 def s10_run_statistics(spark, sf_dir):
     """Per model and label: min / max / mean / population std of the per-fold AUC."""
-    oof = _oof(spark, sf_dir).where(F.col("split") == "train")
-    per_fold = roc_auc(oof, "y", "pred", by=["model", "label", "fold"]).where(F.col("auc").isNotNull())
-    st = run_statistics(per_fold, "auc", by=["model", "label"])
+    st = run_statistics(_run_table(spark, sf_dir), "auc", by=["model", "label"])
     return st.select("model", "label", "n", *[r6(c).alias(c) for c in ("min", "max", "mean", "std")])

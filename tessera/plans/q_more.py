@@ -135,18 +135,18 @@ def a3_feature_hasher(spark, sf_dir):
 
 @register("a8_add_noise")
 def a8_add_noise(spark, sf_dir):
-    """Multiplicative seeded noise on a smoothed target encoding."""
+    """Multiplicative seeded noise on a smoothed target encoding, keyed by the row."""
     l = read_table(spark, sf_dir, "lineitem")
     table = A.fit_target_encoding(l, "l_partkey", "l_quantity", 20, 5)
-    return A.apply_target_encoding(l.select("l_orderkey", "l_linenumber", "l_partkey"), table, "l_partkey",
-                                   "enc", noise_level=1e-3, seed=7)
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return A.apply_target_encoding(l.select(*key), table, "l_partkey", "enc", noise_level=1e-3, seed=7, noise_key=key)
 
 
 @register("p16_p17_pick_target_columns", f"""WITH s AS (SELECT doc_id, round(avg(CASE WHEN model = 0 THEN pred END), 6) AS toxic_preds_model0,
   round(avg(CASE WHEN model = 1 THEN pred END), 6) AS toxic_preds_model1, round(avg(CASE WHEN model = 2 THEN pred END), 6) AS toxic_preds_model2
   FROM (SELECT doc_id, model, 0.5 * toxic + 0.5 * (((doc_id * (7 + 3 * model) + 13 * fold) % 1000) + 1) / 1001.0 AS pred
         FROM (SELECT l.doc_id, l.toxic, CAST((row_number() OVER (PARTITION BY l.toxic + l.quality ORDER BY
-        ((doc_id * 2654435761 + 1337) % 4294967296), l.doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels l),
+        ((((doc_id % 2147483648) + 2147483648) % 2147483648 * 2654435761 + 1337) % 4294967296), l.doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels l),
         (SELECT unnest([0, 1, 2]) AS model)) GROUP BY doc_id)
 SELECT * FROM s""")
 def p16_p17_pick_target_columns(spark, sf_dir):

@@ -27,21 +27,17 @@ def s1_read_comments_csv(spark, sf_dir):
     return IO.read_comments(spark, path)
 
 
-def _top_words_sql(n):
-    return f"""SELECT w AS original FROM (SELECT w, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower(text),
-  '[\\p{{L}}\\p{{N}}_]+', 0)) AS w FROM documents) GROUP BY w) ORDER BY c DESC, w LIMIT {n}"""
+_ALL_WORDS_SQL = r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+', 0)) AS original FROM documents"
 
 
-@register("s2_read_lexicon", f"""SELECT original, CASE WHEN length(original) > 3 THEN upper(original) END AS proper
-FROM ({_top_words_sql(200)})""")
+@register("s2_read_lexicon", f"""SELECT original, CASE WHEN length(original) > 3 THEN original || '_' END AS proper
+FROM ({_ALL_WORDS_SQL})""")
 def s2_read_lexicon(spark, sf_dir):
-    """The corpus's 200 most frequent words written as a headerless two-column
+    """Every word of the corpus written as a headerless two-column
     lexicon (canonical form for the longer words, empty otherwise) and read back."""
     d = read_table(spark, sf_dir, "documents")
-    counts = explode_rows(d, [], T.words("text"), "w").groupBy("w").count()
-    top = counts.orderBy(F.col("count").desc(), F.col("w")).limit(200)
-    lex = top.select(F.col("w").alias("original"),
-                     F.when(F.length("w") > 3, F.upper("w")).alias("proper"))
+    lex = explode_rows(d, [], T.words("text"), "w").distinct().select(F.col("w").alias("original"),
+                     F.when(F.length("w") > 3, F.concat("w", F.lit("_"))).alias("proper"))
     path = IO.scratch_dir(spark, "lexicon")
     lex.write.mode("overwrite").options(header=False).csv(path)
     return IO.read_lexicon(spark, path)
@@ -149,13 +145,13 @@ def p10_streaming_row_features(spark, sf_dir):
 
 
 @register("s3_read_latin1_list", r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+', 0)) AS word
-  FROM documents WHERE lang <> 'en')
+  FROM documents)
 SELECT word FROM w WHERE regexp_full_match(word, '[\x{00}-\x{FF}]+') AND length(word) > 4""")
 def s3_read_latin1_list(spark, sf_dir):
-    """Latin-1 tab list: distinct non-English corpus words (Latin-1 range) written in
+    """Latin-1 tab list: distinct corpus words (Latin-1 range) written in
     ISO-8859-1 together with malformed two-field lines, read back with malformed
     lines dropped."""
-    d = read_table(spark, sf_dir, "documents").where(F.col("lang") != "en")
+    d = read_table(spark, sf_dir, "documents")
     w = explode_rows(d, [], T.words("text"), "word").distinct()
     w = w.where(F.col("word").rlike(r"^[\x{00}-\x{FF}]+$"))
     good = w.where(F.length("word") > 4).select(F.col("word").alias("line"))

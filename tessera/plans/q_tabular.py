@@ -312,7 +312,14 @@ def l2_lag_features(spark, sf_dir):
     return out.select("o_orderkey", "customer_id", *[r6(f"target_lag{i}").alias(f"target_lag{i}") for i in range(12)])
 
 
-SPLITS = ((1, 59, "train"), (60, 79, "test"))
+# train months up to 59, test months from 60 to the panel's last one; the wide incremental
+# layout needs its columns fixed beforehand and stops at month 79
+FIRST_TEST = 60
+SPLITS = ((1, 59, "train"), (FIRST_TEST, 79, "test"))
+
+
+def last_month(panel) -> int:
+    return panel.agg(F.max("date")).first()[0] or FIRST_TEST
 
 
 def _l3_sql(incremental: bool):
@@ -322,7 +329,7 @@ def _l3_sql(incremental: bool):
             parts.append(f"""SELECT r.o_orderkey, r.customer_id, r.date, '{split}' AS split,
   round(m.mean_t, 6) AS target_lag0 FROM p r
   LEFT JOIN (SELECT customer_id, date + 1 AS date, avg(target) AS mean_t FROM p GROUP BY customer_id, date) m
-  USING (customer_id, date) WHERE r.date BETWEEN {start} AND {end}""")
+  USING (customer_id, date) WHERE r.date >= {start}{f" AND r.date <= {end}" if split == "train" else ""}""")
         else:
             aggs = ", ".join(f"max(CASE WHEN date <= {start + j} THEN target END) AS c{j}" for j in range(end - start))
             cols = ", ".join(f"CASE WHEN {start + j} < r.date THEN c.c{j} END AS target_lag{j}"
@@ -341,7 +348,8 @@ def _l3_sql(incremental: bool):
 
 def _l3(spark, sf_dir, incremental, agg):
     panel = customer_panel(spark, sf_dir)
-    tr, te = L.prepare_lags_data(panel, panel, SPLITS[0][0], SPLITS[0][1], SPLITS[1][0], SPLITS[1][1],
+    end = SPLITS[1][1] if incremental else last_month(panel)
+    tr, te = L.prepare_lags_data(panel, panel, SPLITS[0][0], SPLITS[0][1], SPLITS[1][0], end,
                                  only_target=True, incremental=incremental, agg_func=agg, keep=["o_orderkey"])
     tr = tr.withColumn("split", F.lit("train"))
     te = te.withColumn("split", F.lit("test"))
@@ -364,17 +372,17 @@ def l3_lags_panel_incremental(spark, sf_dir):
 
 def _l4_sql():
     parts = []
-    for start, end, split in SPLITS:
+    for months, split in ((f"r.date < {FIRST_TEST}", "train"), (f"r.date >= {FIRST_TEST}", "test")):
         parts.append(f"""SELECT r.o_orderkey, r.customer_id, r.date, '{split}' AS split,
   round((SELECT avg(h.target) FROM p h WHERE h.customer_id = r.customer_id AND h.date < r.date), 6) AS target_lag_agg
-  FROM p r WHERE r.date BETWEEN {start} AND {end}""")
+  FROM p r WHERE {months}""")
     return f"WITH {PANEL_SQL} " + " UNION ALL ".join(parts)
 
 
 @register("l4_history_aggregates", _l4_sql())
 def l4_history_aggregates(spark, sf_dir):
     panel = customer_panel(spark, sf_dir)
-    tr, te = L.prepare_aggregated_lags(panel, panel, SPLITS[0][0], SPLITS[0][1], SPLITS[1][0], SPLITS[1][1],
+    tr, te = L.prepare_aggregated_lags(panel, panel, 0, FIRST_TEST - 1, FIRST_TEST, last_month(panel),
                                        only_target=True, keep=["o_orderkey"])
     sel = lambda d, s: d.select("o_orderkey", "customer_id", "date", F.lit(s).alias("split"),
                                 r6("target_lag_agg").alias("target_lag_agg"))
@@ -597,19 +605,21 @@ def u1_union_train_test(spark, sf_dir):
 _WORDS_SQL = "unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+', 0))"
 
 
-@register("u2_distinct_union", f"""SELECT {_WORDS_SQL} AS word FROM documents WHERE lang = 'en'
-UNION SELECT {_WORDS_SQL} AS word FROM documents WHERE lang = 'fr'""")
+@register("u2_distinct_union", " UNION ".join(f"SELECT {_WORDS_SQL} AS word FROM documents WHERE lang {x}"
+                                              for x in ("= 'en'", "= 'fr'", "NOT IN ('en', 'fr') OR lang IS NULL")))
 def u2_distinct_union(spark, sf_dir):
     from ..functions.tokens import words
     d = read_table(spark, sf_dir, "documents")
-    w = lambda lang: explode_rows(d.where(F.col("lang") == lang), [], words("text"), "word")
-    return w("en").union(w("fr")).distinct()
+    lang = F.coalesce(F.col("lang"), F.lit(""))
+    w = lambda cond: explode_rows(d.where(cond), [], words("text"), "word")
+    return w(lang == "en").union(w(lang == "fr")).union(w(~lang.isin("en", "fr"))).distinct()
 
 
-@register("u3_except_all", f"""SELECT {_WORDS_SQL} AS word FROM documents WHERE lang = 'es'
-EXCEPT ALL SELECT {_WORDS_SQL} AS word FROM documents WHERE lang = 'fr'""")
+@register("u3_except_all", f"""SELECT {_WORDS_SQL} AS word FROM documents WHERE lang IN ('es', 'de') OR lang IS NULL
+EXCEPT ALL SELECT {_WORDS_SQL} AS word FROM documents WHERE lang NOT IN ('es', 'de')""")
 def u3_except_all(spark, sf_dir):
     from ..functions.tokens import words
     d = read_table(spark, sf_dir, "documents")
-    w = lambda lang: explode_rows(d.where(F.col("lang") == lang), [], words("text"), "word")
-    return w("es").exceptAll(w("fr"))
+    left = F.coalesce(F.col("lang").isin("es", "de"), F.lit(True))
+    w = lambda cond: explode_rows(d.where(cond), [], words("text"), "word")
+    return w(left).exceptAll(w(~left))

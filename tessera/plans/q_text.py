@@ -157,7 +157,7 @@ T4_SQL = f"""
 WITH t AS (SELECT doc_id, regexp_extract_all(text, {TOKEN_SQL}, 0) AS tok FROM documents),
 g AS (SELECT doc_id, unnest(range(0, len(tok) - 1)) AS i, tok FROM t),
 h AS (SELECT doc_id, i, tok[i + 1] || ' ' || tok[i + 2] AS gram,
-      (doc_id * 2654435761 + i * 40503 + 1337) % 4294967296 AS hv FROM g),
+      (((doc_id % 2147483648) + 2147483648) % 2147483648 * 2654435761 + i * 40503 + 1337) % 4294967296 AS hv FROM g),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hv, i) AS rn FROM h),
 s AS (SELECT doc_id, string_agg(gram, '|' ORDER BY i) AS sk FROM k WHERE rn <= 5 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(s.sk, '') AS skipgrams FROM documents d LEFT JOIN s USING (doc_id)
@@ -197,10 +197,7 @@ WITH tok AS (
 dfreq AS (
   SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM tok) GROUP BY term
 ), keep AS (
-  SELECT term FROM (
-    SELECT term, row_number() OVER (ORDER BY df DESC, term) AS rn FROM dfreq, nd
-    WHERE df >= 3 AND df <= floor(0.75 * nd.n))
-  WHERE rn <= 100000
+  SELECT term FROM dfreq, nd WHERE df >= 3 AND df <= floor(0.75 * nd.n)
 ), pos AS (
   SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS p FROM tok
 ), kept AS (
@@ -213,7 +210,7 @@ SELECT tok.doc_id, coalesce(kept.txt, '') AS text FROM tok LEFT JOIN kept USING
 @register("t7_remove_extremes", T7_SQL)
 def t7_remove_extremes(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", T.remove_stops(T.tokenize("text")).alias("tok"))
-    out = C.filter_extremes(d, "doc_id", "tok", no_below=3, no_above=0.75, keep_n=100000)
+    out = C.filter_extremes(d, "doc_id", "tok", no_below=3, no_above=0.75)
     return out.select("doc_id", F.array_join("tok", " ").alias("text"))
 
 

@@ -272,25 +272,35 @@ def j4_feature_assembly(spark, sf_dir):
 
 
 # --- T12 ------------------------------------------------------------------------------
+def _one_byte(e: str) -> str:
+    """DuckDB's edit distance counts bytes: the accented letters of lower-case words are
+    put as capitals, which those words do not have."""
+    accented = "äöüßéèêëàâçñíóáúìîïôûùœæ"
+    return f"translate({e}, '{accented}', '{''.join(chr(65 + k) for k in range(len(accented)))}')"
+
+
 @register("t12_spelling_correction", f"""WITH vw AS (
   SELECT unnest(regexp_extract_all(lower(text), {WORD_SQL}, 0)) AS w FROM documents),
-vc AS (SELECT w, count(*) AS n FROM vw GROUP BY w HAVING count(*) >= 3),
-rk AS (SELECT w AS word, row_number() OVER (ORDER BY n DESC, w) AS rank FROM vc),
-voc AS (SELECT * FROM rk WHERE regexp_full_match(word, '[a-z]+')),
+vc AS (SELECT w, count(*) AS n FROM vw GROUP BY w),
+voc AS (SELECT w AS word, row_number() OVER (ORDER BY n DESC, w) AS rank FROM vc),
 cw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORD_SQL}, 0)) AS word FROM conversations),
 known AS (SELECT word, word AS correction FROM cw SEMI JOIN voc USING (word)),
 oov AS (SELECT word FROM cw ANTI JOIN voc USING (word)),
-cand AS (SELECT o.word, v.word AS cand, v.rank, damerau_levenshtein(o.word, v.word) AS d
-         FROM oov o JOIN voc v ON abs(length(o.word) - length(v.word)) <= 2
-         WHERE regexp_full_match(o.word, '[a-z]+') AND damerau_levenshtein(o.word, v.word) <= 2),
+o1 AS (SELECT word, {_one_byte('word')} AS m FROM oov), v1 AS (SELECT *, {_one_byte('word')} AS m FROM voc),
+near AS (SELECT o.word, v.word AS cand, v.rank, damerau_levenshtein(o.m, v.m) AS d,
+           regexp_replace(o.m, '[a-z]', '', 'g') AS nx, regexp_replace(v.m, '[a-z]', '', 'g') AS nw
+         FROM o1 o JOIN v1 v ON abs(length(o.m) - length(v.m)) <= 2 WHERE damerau_levenshtein(o.m, v.m) <= 2),
+cand AS (SELECT * FROM near WHERE nw = '' OR (len(list_filter(string_split(nw, ''), lambda c:
+           length(nw) - length(replace(nw, c, '')) > length(nx) - length(replace(nx, c, '')))) = 0
+           AND damerau_levenshtein(nx, nw) <= length(nx) - length(nw) + 1)),
 best AS (SELECT word, arg_min(cand, d * 100000000 + rank) AS correction FROM cand GROUP BY word)
 SELECT word, correction FROM known
 UNION ALL SELECT o.word, coalesce(b.correction, o.word) AS correction FROM oov o LEFT JOIN best b USING (word)""")
 def t12_spelling_correction(spark, sf_dir):
     """Each distinct conversation word -> itself if known, else the most frequent
-    known word one edit away, else two edits away, else itself.  Known words: corpus
-    words seen at least 3 times in ``documents``."""
-    ranks = SP.rank_table(_docs(spark, sf_dir), T.words("text"), min_count=3)
+    known word one edit away, else two edits away, else itself.  Known words: all words
+    of ``documents``."""
+    ranks = SP.rank_table(_docs(spark, sf_dir), T.words("text"))
     conv = explode_rows(read_table(spark, sf_dir, "conversations"), [], T.words("text"), "word")
     return SP.correct_words(conv, ranks)
 

@@ -23,8 +23,10 @@ DEFAULT_CONF = {
 
 
 def apply_guards(spark: SparkSession) -> None:
-    """Runtime settings this package relies on for correct plans."""
+    """Runtime settings this package relies on: correct plans, and joins on hot keys split
+    at run time."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
 def get_session(master: str | None = None, app: str = "tessera",
@@ -46,10 +48,9 @@ def get_session(master: str | None = None, app: str = "tessera",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; pick one only when it is unset.
-
-    When unset we fall back to a folder below the SQL warehouse (shared storage on a
-    cluster); a machine-local temporary folder is used only for ``local`` masters.
+    """Use the cluster's ``spark.checkpoint.dir``; pick one only when it is unset and the
+    master is ``local`` (driver and tasks are then one process).  A cluster without the
+    setting is refused: no other folder is known to be shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,8 +66,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.master.startswith("local"):
             configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
         else:
-            wh = spark.conf.get("spark.sql.warehouse.dir")
-            configured = os.path.join(wh, "_tessera_checkpoints")
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -87,8 +87,6 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def spread_width(spark: SparkSession) -> int:
-    """Partitions for an explicit spread: the shuffle width, but no more than four
-    tasks per core the cluster offers (a local session keeps 200 shuffle partitions
-    by default; a cluster sizes both to its scale)."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(shuffle, spark.sparkContext.defaultParallelism * 4))
+    """Partitions for an explicit spread: the session's shuffle width, which the user
+    sizes to the data."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -6,6 +6,7 @@ folders from the session's ``spark.checkpoint.dir``), never a machine-local fold
 """
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from typing import Mapping, Sequence
@@ -45,10 +46,11 @@ def read_lexicon(spark: SparkSession, path: str, two_columns: bool = True) -> Da
 
 
 def read_latin1_list(spark: SparkSession, path: str) -> DataFrame:   # S3
-    """Tab-separated Latin-1 list; malformed lines (wrong field count) dropped."""
-    return (spark.read.schema("word string").options(sep="\t", encoding="ISO-8859-1", header=False,
-                                                     mode="DROPMALFORMED", enforceSchema=True)
-            .csv(path))
+    """Tab-separated Latin-1 list; malformed lines (wrong field count) dropped.  The lines
+    are read as bytes and filtered by an expression, so counts see the filter too."""
+    line = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    return (spark.read.text(path).select(line.alias("word"))
+            .where((F.col("word") != "") & ~F.col("word").contains("\t")))
 
 
 VARIANTS = ("BasicClean", "BasicClean2", "SpacyClean", "TextacyClean", "TextacyFullclean")
@@ -79,12 +81,10 @@ def load_predictions(spark: SparkSession, root: str, load_oof: bool = True, cont
     applies only together with ``contains``."""
     def load(kind):
         df = spark.read.parquet(f"{root}/{kind}/*.parquet").withColumn("__path", F.col("_metadata.file_path"))
-        if contains is not None:
-            df = df.where(F.col("__path").contains(contains))
-            if contains2 is not None:
-                df = df.where(F.col("__path").contains(contains2))
-        if not_contains is not None:
-            df = df.where(~F.col("__path").contains(not_contains))
+        path = F.col("__path")
+        wanted = [w for w in (contains, contains2 if contains is not None else None) if w is not None]
+        tests = [path.contains(w) for w in wanted] + ([~path.contains(not_contains)] if not_contains is not None else [])
+        df = df.where(functools.reduce(lambda a, b: a & b, tests, F.lit(True)))
         stem = F.regexp_extract("__path", r"/([^/]+)\.parquet/", 1)
         return df.withColumn("model", stem).drop("__path")
     return load("train" if load_oof else "valid"), load("test")
