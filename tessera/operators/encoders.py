@@ -252,7 +252,9 @@ def customer_features(df: DataFrame, id_col: str = "customer_id", index_col: str
     if index_col is None:
         if order_col is None:
             raise ValueError("give index_col or order_col")
-        base = global_index(df, [F.col(order_col).asc()], name="__idx")
+        # only the order column is ranked (it is a key); the rows meet their index by a join
+        index = global_index(df.select(order_col), [F.col(order_col).asc()], name="__idx")
+        base = df.join(index, order_col)
         index_col = "__idx"
     mx = df.select(F.max(id_col)).scalar()
     freq = df.groupBy(id_col).agg(F.count(F.lit(1)).cast("bigint").alias("customer_count"))

@@ -41,23 +41,30 @@ def kfold(df: DataFrame, id_col: str, n_splits: int = 5, seed: int = 1337, metho
     h = id_hash(id_col, seed, method)
     if not balanced:
         return df.withColumn(out_col, F.pmod(h, F.lit(n_splits)).cast("int"))
-    ranked = global_index(df.withColumn("__h", h), [F.col("__h").asc(), F.col(id_col).asc()], name="__r")
-    return ranked.withColumn(out_col, F.pmod(F.col("__r"), F.lit(n_splits)).cast("int")).drop("__h", "__r")
+    # only the keys are ranked; the rows meet their fold by a join
+    keys = df.select(id_col).distinct().withColumn("__h", h)
+    ranked = global_index(keys, [F.col("__h").asc(), F.col(id_col).asc()], name="__r")
+    folds = ranked.select(F.col(id_col).alias("__id"), F.pmod(F.col("__r"), F.lit(n_splits)).cast("int").alias(out_col))
+    return df.join(folds, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
 
 
 def stratified_kfold(df: DataFrame, id_col: str, stratum: Column, n_splits: int = 5, seed: int = 1337,
                      method: str = "xxhash", out_col: str = "fold") -> DataFrame:   # M3
-    """Within each stratum, rank rows by hash and deal them round-robin to folds."""
+    """Within each stratum, rank ids by hash and deal them round-robin to folds; only id and
+    stratum are ranked, the rows meet their fold by a join."""
     h = id_hash(id_col, seed, method)
-    tagged = df.withColumn("__st", stratum).withColumn("__h", h)
+    tagged = df.select(id_col, stratum.alias("__st")).distinct().withColumn("__h", h)
     ranked = global_index(tagged, [F.col("__st").asc_nulls_first(), F.col("__h").asc(), F.col(id_col).asc()],
                           name="__r")
     # one row per stratum; AQE broadcasts it after measuring it (a caller may pass a
     # high-cardinality stratum, so no unconditional broadcast)
     start = ranked.groupBy("__st").agg(F.min("__r").alias("__s0"))
     out = ranked.join(start, ranked["__st"].eqNullSafe(start["__st"])).drop(start["__st"])
-    return (out.withColumn(out_col, F.pmod(F.col("__r") - F.col("__s0"), F.lit(n_splits)).cast("int"))
-            .drop("__st", "__h", "__r", "__s0"))
+    folds = out.select(F.col(id_col).alias("__id"), F.col("__st").alias("__of"),
+                       F.pmod(F.col("__r") - F.col("__s0"), F.lit(n_splits)).cast("int").alias(out_col))
+    tagged = df.withColumn("__st", stratum)
+    return (tagged.join(folds, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__st").eqNullSafe(F.col("__of")))
+            .drop("__id", "__of", "__st"))
 
 
 def label_sum(labels) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,28 +91,26 @@ def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, nb_words: in
                     F.col("vec").isNull().alias("missing"))
 
 
-def _exploded_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame) -> DataFrame:
-    toks = explode_rows(df, [key], tokens, "word")
-    vec = vectors.select("word", F.posexplode("vec").alias("dim", "x"))
-    return toks.join(vec, "word")
+def _weighted_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame) -> DataFrame:
+    """(key, n, v): one row per document and distinct word with a vector; the vector stays
+    one value, so a row is not multiplied by the dimension."""
+    counted = explode_rows(df, [key], tokens, "word").groupBy(key, "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    v = vectors.select("word", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("v"))
+    return counted.join(v, "word")
 
 
 def pool_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame) -> DataFrame:   # E8
     """Mean and max of the document's word vectors, per dimension (words without a
-    vector skipped).  Explode to (doc, dim) rows, aggregate, regroup by document."""
-    per_dim = (_exploded_vectors(df, key, tokens, vectors)
-               .groupBy(key, "dim").agg(F.avg("x").alias("mean"), F.max("x").alias("max")))
-    return per_dim.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("mean_pool"),
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "max"))), lambda s: s["max"]).alias("max_pool"))
+    vector skipped), by a weighted vector summary per document."""
+    s = Summarizer.metrics("mean", "max").summary(F.col("v"), F.col("n"))
+    pooled = _weighted_vectors(df, key, tokens, vectors).groupBy(key).agg(s.alias("s"))
+    return pooled.select(key, vector_to_array("s.mean").alias("mean_pool"), vector_to_array("s.max").alias("max_pool"))
 
 
 def sentence_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame) -> DataFrame:   # V8
     """Sum of word vectors (duplicates counted, missing words skipped) divided by its
     L2 norm; documents without any vector get no row."""
-    per_dim = (_exploded_vectors(df, key, tokens, vectors)
-               .groupBy(key, "dim").agg(F.sum("x").alias("s")))
-    g = per_dim.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "s"))), lambda t: t["s"]).alias("v"))
+    g = (_weighted_vectors(df, key, tokens, vectors).groupBy(key)
+         .agg(Summarizer.sum(F.col("v"), F.col("n")).alias("s")).select(key, vector_to_array("s").alias("v")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
     return g.select(key, F.transform("v", lambda x: x / norm).alias("vec"))

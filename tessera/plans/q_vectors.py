@@ -233,13 +233,13 @@ def e5_token_columns(spark, sf_dir):
 @register("e8_sequence_pooling", f"""WITH {BENCH_VEC_SQL},
 tok AS (SELECT doc_id, unnest({KERAS_SQL}) AS word FROM documents),
 ex AS (SELECT tok.doc_id, unnest(range(len(bv.vec))) AS dim, unnest(bv.vec) AS x FROM tok JOIN bv USING (word))
-SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS mean_pool, round(max(x), 6) AS max_pool
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 9) AS mean_pool, round(max(x), 6) AS max_pool
 FROM ex GROUP BY doc_id, dim""")
 def e8_sequence_pooling(spark, sf_dir):
     d = _docs(spark, sf_dir)
     pooled = S.pool_vectors(d, "doc_id", T.keras_words("text"), _benchmark_vectors(spark, sf_dir))
     z = pooled.select("doc_id", F.posexplode(F.arrays_zip("mean_pool", "max_pool")).alias("dim", "s"))
-    return z.select("doc_id", "dim", r6("s.mean_pool").alias("mean_pool"), r6("s.max_pool").alias("max_pool"))
+    return z.select("doc_id", "dim", F.round("s.mean_pool", 9).alias("mean_pool"), r6("s.max_pool").alias("max_pool"))
 
 
 @register("j5_embedding_table", f"""WITH {_vocab_sql(KERAS_SQL)}, {BENCH_VEC_SQL}
@@ -279,6 +279,12 @@ def _one_byte(e: str) -> str:
     return f"translate({e}, '{accented}', '{''.join(chr(65 + k) for k in range(len(accented)))}')"
 
 
+def _has_others(x: str, w: str) -> str:
+    """Every character of ``w`` (none of them a-z) is as often in ``x``: they cannot be put in."""
+    return (f"len(list_filter(string_split({w}, ''), lambda c: c <> '' AND "
+            f"length({w}) - length(replace({w}, c, '')) > length({x}) - length(replace({x}, c, '')))) = 0")
+
+
 @register("t12_spelling_correction", f"""WITH vw AS (
   SELECT unnest(regexp_extract_all(lower(text), {WORD_SQL}, 0)) AS w FROM documents),
 vc AS (SELECT w, count(*) AS n FROM vw GROUP BY w),
@@ -287,12 +293,21 @@ cw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORD_SQL}, 0)) AS
 known AS (SELECT word, word AS correction FROM cw SEMI JOIN voc USING (word)),
 oov AS (SELECT word FROM cw ANTI JOIN voc USING (word)),
 o1 AS (SELECT word, {_one_byte('word')} AS m FROM oov), v1 AS (SELECT *, {_one_byte('word')} AS m FROM voc),
-near AS (SELECT o.word, v.word AS cand, v.rank, damerau_levenshtein(o.m, v.m) AS d,
+near AS (SELECT o.word, o.m, v.m AS k, v.word AS cand, v.rank, damerau_levenshtein(o.m, v.m) AS d,
            regexp_replace(o.m, '[a-z]', '', 'g') AS nx, regexp_replace(v.m, '[a-z]', '', 'g') AS nw
          FROM o1 o JOIN v1 v ON abs(length(o.m) - length(v.m)) <= 2 WHERE damerau_levenshtein(o.m, v.m) <= 2),
-cand AS (SELECT * FROM near WHERE nw = '' OR (len(list_filter(string_split(nw, ''), lambda c:
-           length(nw) - length(replace(nw, c, '')) > length(nx) - length(replace(nx, c, '')))) = 0
-           AND damerau_levenshtein(nx, nw) <= length(nx) - length(nw) + 1)),
+enough AS (SELECT * FROM near WHERE {_has_others('nx', 'nw')}),
+far AS (SELECT * FROM enough WHERE nw <> '' AND d = 2),
+mids AS (SELECT m, regexp_replace(mid, '[a-z]', '', 'g') AS nm, mid FROM (
+  SELECT m, unnest(list_concat(
+    list_transform(range(1, length(m) + 1), lambda i: left(m, i - 1) || substr(m, i + 1)),
+    list_transform(range(1, length(m)), lambda i: left(m, i - 1) || m[i + 1] || m[i] || substr(m, i + 2)),
+    flatten(list_transform(range(0, length(m) + 1), lambda i: list_transform(range(97, 123), lambda c: left(m, i) || chr(c::INT) || substr(m, i + 1)))),
+    flatten(list_transform(range(1, length(m) + 1), lambda i: list_transform(range(97, 123), lambda c: left(m, i - 1) || chr(c::INT) || substr(m, i + 1))))
+  )) AS mid FROM (SELECT DISTINCT m FROM far))),
+two AS (SELECT DISTINCT far.* FROM far JOIN mids ON far.m = mids.m
+        WHERE damerau_levenshtein(mid, far.k) <= 1 AND {_has_others('nm', 'nw')}),
+cand AS (SELECT word, cand, rank, d FROM enough WHERE nw = '' OR d = 1 UNION ALL SELECT word, cand, rank, d FROM two),
 best AS (SELECT word, arg_min(cand, d * 100000000 + rank) AS correction FROM cand GROUP BY word)
 SELECT word, correction FROM known
 UNION ALL SELECT o.word, coalesce(b.correction, o.word) AS correction FROM oov o LEFT JOIN best b USING (word)""")
