@@ -7,6 +7,7 @@ from pyspark.ml.feature import FeatureHasher
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem
 from ..functions import readability as RD, rules as R, tokens as T
 from ..functions.arrays import explode_rows
 from ..operators import encoders as A, lexicon as LX
@@ -84,12 +85,21 @@ def t10_lemmatize_by_table(spark, sf_dir):
     f"WHERE NOT list_contains({str_list(R.ENGLISH_STOPWORDS)}, lemma) AND length(lemma) > 0", "WHERE length(lemma) > 0"))
 def t9_stem_by_table(spark, sf_dir):
     """Stemming re-aimed as a vocabulary job: distinct tokens -> (token, stem) table ->
-    join back (no stemmer library is installed; the table here strips a plural s)."""
+    join back (the table here strips a plural s; Porter2 is below)."""
     d = _docs(spark, sf_dir).select("doc_id", T.words("text").alias("tok"))
     out = LX.map_tokens_by_table(d, "doc_id", "tok", _lemma_table(spark, sf_dir), "token", "lemma")
     return out.select("doc_id", F.array_join("tok", " ").alias("text"))
 
 
+@register("t9_stem_porter2")
+def t9_stem_porter2(spark, sf_dir):
+    """Porter2 stems: the algorithm runs once per distinct token, the table is joined back."""
+    d = _docs(spark, sf_dir).select("doc_id", T.words("text").alias("tok"))
+    vocab = explode_rows(d, [], F.col("tok"), "token").distinct()
+    out = LX.map_tokens_by_table(d, "doc_id", "tok", vocab.select("token", stem("token").alias("stem")), "token", "stem")
+    return out.select("doc_id", F.array_join("tok", " ").alias("text"))
+
+
 def _tag_expr_sql(t):
     return (f"CASE WHEN regexp_full_match({t}, '\\p{{N}}+') THEN 'NUM' WHEN list_contains({str_list(R.ENGLISH_STOPWORDS)}, {t}) "
             f"THEN 'STOP' ELSE 'WORD' END")
