@@ -2,7 +2,8 @@
 
 A page is read into tokens: tags, runs of words, and removed elements (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; told by
-element name, role, class and id).  Words score positive, tags and removed elements
+element name, role, class and id).  Borders of ``article`` and ``main`` elements, or of
+containers named as content where a page has neither, are not crossed.  Words score positive, tags and removed elements
 negative; one linear scan finds the run with the largest sum.  The weights are log odds
 of lying inside the content, counted by a Spark job over labelled pages (those that mark
 their content with one ``article`` or ``main`` element) on top of the prior counts below.
@@ -48,7 +49,7 @@ CONTENT_WORDS = frozenset("article entry post story content".split())
 # Prior counts (inside, outside) of a token kind, as from a hundred hand-labelled pages.
 PRIOR = {"words": (900, 100), "link words": (30, 70), "far words": (1, 99), "inline": (300, 100), "p": (300, 100),
          "heading": (150, 100), "list": (95, 100), "table": (95, 100), "quote": (150, 100), "block": (25, 100),
-         "removed": (10, 100), "landmark": (0, 1000), "page": (0, 1000)}
+         "removed": (10, 100), "inner": (300, 100), "landmark": (0, 1000), "page": (0, 1000)}
 KINDS = {**{x: "inline" for x in INLINE}, **{x: "heading" for x in HEADINGS}, "p": "p",
          **{x: "list" for x in ("ul", "ol", "li", "dl", "dt", "dd")},
          **{x: "table" for x in ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup")},
@@ -90,23 +91,41 @@ def _is_removed(name: str, attrs: str, stack: list) -> bool:
     return False
 
 
+def _is_content(name: str, attrs: str) -> bool:
+    """Whether class, id or role of a container says that it holds the content."""
+    if name not in ("div", "section", "td") or "=" not in attrs:
+        return False
+    found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
+    named = {p.lower() for k in ("class", "id") for p in _PART.findall(found.get(k, ""))}
+    return bool(named & CONTENT_WORDS) or found.get("role", "").lower() in ("main", "article")
+
+
 def tokens(page: str | None) -> list[tuple]:
-    """(kind, text, block, inside one landmark) per token; text is None for markup.
-    Inside a removed element nothing is listed but the element itself, once."""
+    """(kind, text, block, inside a landmark) per token; text is None for markup.  Landmarks
+    are ``article`` and ``main``, or on pages without them the outermost containers
+    named as content (kind ``soft``).  Inside a removed element nothing is listed but the
+    element itself, once."""
+    out = _tokens(page)
+    if any(t[0] == "landmark" for t in out):
+        return [("block" if t[0] == "soft" else t[0], *t[1:4]) for t in out]
+    return [(*t[:3], t[4]) for t in out]
+
+
+def _tokens(page: str | None) -> list[tuple]:
     if not page:
         return []
     out: list[tuple] = []
     stack: list[tuple[str, bool]] = []
     block, removed, links, header = 0, 0, 0, 0
-    marks = 0                                        # open landmarks
+    marks, soft = 0, 0                               # open landmarks; depth of the outermost content container
 
     def text(raw: str) -> None:
         if raw and not removed and (not header or any(x in HEADINGS for x, _ in stack)):
             t = _html.unescape(raw) if "&" in raw else raw
-            out.append(("link words" if links else "words", t, block, marks > 0))
+            out.append(("link words" if links else "words", t, block, marks > 0, soft > 0))
 
     def close(k: int) -> None:
-        nonlocal removed, links, marks, block, header
+        nonlocal removed, links, marks, block, header, soft
         while len(stack) > k:
             name, gone = stack.pop()
             removed -= gone
@@ -115,6 +134,8 @@ def tokens(page: str | None) -> list[tuple]:
             header -= name == "header"
             if name not in INLINE:
                 block += 1
+            if soft and len(stack) < soft:
+                soft = 0
 
     at, n = 0, len(page)
     while at < n:
@@ -133,10 +154,11 @@ def tokens(page: str | None) -> list[tuple]:
                 if name == "p":
                     block += 1
                 continue
-            shown = not removed
+            shown, was = not removed, soft
             close(k)
             if shown and not removed:
-                out.append((KINDS.get(name, "block"), None, block, marks > 0))
+                out.append(("soft" if was and not soft and name in ("div", "section", "td") else KINDS.get(name, "block"),
+                            None, block, marks > 0, soft > 0))
             continue
         if name in _CLOSES_P or name in _SIBLINGS:
             ends = _SIBLINGS.get(name, {"p"})
@@ -150,9 +172,12 @@ def tokens(page: str | None) -> list[tuple]:
             block += 1
         gone = not removed and _is_removed(name, m[3], stack)
         if not removed:
-            out.append(("removed" if gone else KINDS.get(name, "block"), None, block, marks > 0))
+            opens = not gone and not soft and _is_content(name, m[3])
+            out.append(("removed" if gone else "soft" if opens else KINDS.get(name, "block"), None, block, marks > 0, soft > 0))
             if name == "br" or name == "img":
-                out.append(("words", " ", block, marks > 0))
+                out.append(("words", " ", block, marks > 0, soft > 0))
+            if opens:
+                soft = len(stack) + 1
         if name in RAW:                              # its content is not markup
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -175,7 +200,14 @@ def labelled(toks: list[tuple]) -> bool:
 
 
 def kind_of(tok: tuple, has_landmark: bool) -> str:
-    return "far words" if tok[1] is not None and has_landmark and not tok[3] else tok[0]
+    """The kind a token is counted and weighed as: words outside the landmarks of a page are
+    far ones, markup inside a landmark is inner (its borders are given)."""
+    kind, text, _, inside = tok
+    if not has_landmark or kind in ("landmark", "soft"):
+        return kind
+    if text is not None:
+        return kind if inside else "far words"
+    return "inner" if inside and kind in ("block", "removed", "list", "table", "quote") else kind
 
 
 def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
@@ -186,7 +218,7 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
         i, o = counts.get(kind, (0, 0))
         odds = math.log((i + pi + 0.5) / (o + po + 0.5))
         out[kind] = max(0.01, min(1.0, 0.5 * (1 + odds))) if "words" in kind else -max(0.05, min(4.0, 0.3 - odds))
-    out["landmark"] = -1e6
+    out["landmark"] = out["soft"] = -1e6
     return out
 
 
@@ -205,8 +237,11 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, w: dict[str, float]) -> str:
     toks = tokens(page)
-    has = any(t[0] == "landmark" for t in toks)
-    scores = [w[kind_of(t, has)] * (len(t[1].split()) if t[1] is not None else 1) for t in toks]
+    has = any(t[0] in ("landmark", "soft") for t in toks)
+    named = has and not any(t[0] == "landmark" for t in toks)
+    far = 0.3 if named else w["far words"]           # a container's name is weaker evidence than its element
+    scores = [(far if k == "far words" else w[k]) * (len(t[1].split()) if t[1] is not None else 1)
+              for t in toks for k in [kind_of(t, has)]]
     a, b = best_run(scores)
     blocks: dict[int, list[str]] = {}
     for t in toks[a:b]:
