@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, linededup, mixing, quality
+from tessera.llm.common import col
 from tessera.session import ensure_checkpoint_dir
 
 
@@ -29,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(docs).drop("__lines_removed")
     if "n_chars" in docs.columns:                    # the column counts the text's code points
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(col, docs.columns))
     return out
 
 
