@@ -22,11 +22,18 @@ def _plan(df):
 
 def test_cleaning_stays_in_jvm(spark):
     qs = E.queries()
-    for name in ("p7_text_to_wordlist", "p6_glove_preprocess", "f2_f6_text_statistics", "v2_tfidf", "t12_spelling_correction"):
+    for name in ("p7_text_to_wordlist", "p6_glove_preprocess", "f2_f6_text_statistics", "v2_tfidf"):
         plan = _plan(qs[name](spark, SF001))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
 
 
+def test_spelling_verifies_joined_candidates_only(spark):
+    """Python sees pairs that the key join and the JVM's edit distance have let through."""
+    plan = _plan(E.queries()["t12_spelling_correction"](spark, SF001))
+    assert "BatchEvalPython" not in plan and plan.count("ArrowEvalPython") == 1
+    assert plan.index("ArrowEvalPython") < plan.index("levenshtein(") and plan.index("ArrowEvalPython") < plan.index("SortMergeJoin")
+
+
 def test_pruned_scan_and_partial_aggregate(spark):
     df = E.queries()["t5_chargram_counts"](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
