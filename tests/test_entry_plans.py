@@ -31,7 +31,8 @@ def test_spelling_verifies_joined_candidates_only(spark):
     """Python sees pairs that the key join and the JVM's edit distance have let through."""
     plan = _plan(E.queries()["t12_spelling_correction"](spark, SF001))
     assert "BatchEvalPython" not in plan and plan.count("ArrowEvalPython") == 1
-    assert plan.index("ArrowEvalPython") < plan.index("levenshtein(") and plan.index("ArrowEvalPython") < plan.index("SortMergeJoin")
+    below = plan[plan.index("ArrowEvalPython"):]
+    assert "levenshtein(" in below and "SortMergeJoin" in below
 
 
 def test_pruned_scan_and_partial_aggregate(spark):
