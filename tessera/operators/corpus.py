@@ -65,6 +65,17 @@ def lexicon_matrix(df: DataFrame, key: str, text: Column, terms: Sequence[str])
     return explode_rows(df, [key], lexicon_hits(text, terms), "term")
 
 
+def lexicon_union(tables: Sequence[DataFrame], term_col: str = "term") -> DataFrame:   # F8
+    """One lexicon from word tables (their first column): union, distinct, non-word runs to a
+    space, lower case - in that order, so a cleaned duplicate stays, as in the reference."""
+    from ..functions.clean import remove_nonalpha
+    words = None
+    for t in tables:
+        w = t.select(F.col(t.columns[0]).alias(term_col))
+        words = w if words is None else words.union(w)
+    return words.where(F.col(term_col).isNotNull()).distinct().select(F.lower(remove_nonalpha(term_col)).alias(term_col))
+
+
 def lexicon_token_matrix(df: DataFrame, key: str, tokens: Column, lexicon: DataFrame,
                          term_col: str = "term") -> DataFrame:
     """Token-mode variant for a lexicon *table* of any size: distinct tokens per

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, rules as R, textstats, tokens as T
 from ..functions.vectors import cosine_distance
-from ..operators import encoders as A, folds as FO, lexicon as LX, numeric as N, sequences as S
+from ..functions.arrays import explode_rows
+from ..operators import corpus as C, encoders as A, folds as FO, lexicon as LX, numeric as N, sequences as S
 from ..sources.tables import read_table
 from .catalog import register
 from .q_vectors import BENCH_VEC_SQL, _benchmark_vectors
-from .sqlfrag import fold_rules, q
+from .sqlfrag import fold_rules, q, ws_split
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 KEY_SQL = ", ".join(KEY)
@@ -135,3 +136,30 @@ def v8_v9_sentence_distances(spark, sf_dir):
     z = c.select("k").join(sv, "k", "left").select("k.conv_id", "k.turn", F.coalesce("vec", zero).alias("v"))
     nxt = z.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("v").alias("w"))
     return z.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(cosine_distance("v", "w"), 5).alias("cosine_distance"))
+
+
+# --- F8 / F9 over lexicon tables ---------------------------------------------------------------
+_BENCH_WORDS = f"SELECT unnest({ws_split('text')}) AS w FROM benchmark"
+_TURN_WORDS = f"SELECT unnest({ws_split('text')}) AS w FROM conversations"
+_UNION_SQL = f"""SELECT lower(regexp_replace(w, {q(clean.NON_WORD_RUN)}, ' ', 'g')) AS term
+FROM (SELECT w FROM ({_BENCH_WORDS}) UNION SELECT w FROM ({_TURN_WORDS}))"""
+
+
+def _lexicon(spark, sf_dir):
+    table = lambda name: explode_rows(read_table(spark, sf_dir, name), [], T.whitespace_split("text"), "w")
+    return C.lexicon_union([table("benchmark"), table("conversations")])
+
+
+@register("f8_lexicon_union", _UNION_SQL)
+def f8_lexicon_union(spark, sf_dir):
+    """Two word tables of any size made one lexicon."""
+    return _lexicon(spark, sf_dir)
+
+
+@register("f9_lexicon_table_matrix", f"""WITH lex AS ({_UNION_SQL}),
+d AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents)
+SELECT doc_id, term FROM d SEMI JOIN lex USING (term)""")
+def f9_lexicon_table_matrix(spark, sf_dir):
+    """Lexicon terms that occur as tokens of each document, by a join with the table."""
+    d = read_table(spark, sf_dir, "documents")
+    return C.lexicon_token_matrix(d, "doc_id", T.words("text"), _lexicon(spark, sf_dir)).select("doc_id", "term")
