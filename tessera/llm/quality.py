@@ -1,8 +1,8 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model, perplexity per
 document, thresholds from quantiles of each language.
 
-Units: the n-grams are of ``ORDER`` characters within words (white-space words, digits
-read as 0, ``ORDER - 1`` start marks before and an end mark behind each word).  A word
+Units: the n-grams are of ``ORDER`` characters within words (runs without white space,
+digits read as 0, ``ORDER - 1`` start marks before and an end mark behind each word).  A word
 model would need a row for nearly every word of the corpus in the joins below (README);
 the character n-grams of the corpus stay few, and all of them are counted.
 
@@ -27,6 +27,7 @@ rejected but the blank ones; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +43,16 @@ FENCE = 6.0
 LEAST_TRUSTED = 30
 CACHE = 300_000
 START, STOP = "\x02", "\x03"
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"} | {c: "0" for c in "123456789"} | {START: " ", STOP: " "})
+_SAME = str.maketrans({c: "0" for c in "123456789"} | {START: " ", STOP: " "})
 
 
-def word_counts(text: str) -> Counter:
-    c = Counter(text.translate(_SPACES).split(" "))
-    c.pop("", None)
-    return c
+def padded(word: str, order: int) -> str:
+    """A word as the model reads it: digits as 0, between its marks."""
+    return START * (order - 1) + (word if word.isalpha() else word.translate(_SAME)) + STOP
 
 
 def grams(word: str, order: int) -> list[str]:
-    w = START * (order - 1) + word + STOP
+    w = padded(word, order)
     return [w[k:k + order] for k in range(len(word) + 1)]
 
 
@@ -63,25 +63,27 @@ def corpus_grams(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str
     src = (docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
            .join(t, F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("__t", F.lit(False)).alias("t")))
 
-    def flush(words: dict):
+    def flush(good: Counter, others: set):
         out: dict[str, int] = {}
-        for w, n in words.items():
+        for w, n in good.items():
             for g in grams(w, order):
                 out[g] = out.get(g, 0) + n
+        for w in others.difference(good):
+            for g in grams(w, order):
+                if g not in out:
+                    out[g] = 0
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["gram", "c"])
 
     def run(batches):
-        words: dict[str, int] = {}
+        good, others = Counter(), set()
         for b in batches:
             for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not text:
-                    continue
-                for w, n in word_counts(text).items():
-                    words[w] = words.get(w, 0) + (n if t else 0)
-            if len(words) > CACHE:                   # a task holds a bounded number of words
-                yield flush(words)
-                words = {}
-        yield flush(words)
+                if text:
+                    (good if t else others).update(text.split())
+            if len(good) + len(others) > CACHE:      # a task holds a bounded number of words
+                yield flush(good, others)
+                good, others = Counter(), set()
+        yield flush(good, others)
 
     return stored(src.mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c")))
 
@@ -163,7 +165,7 @@ def _scorer(shared, order: int):
 
         def learn(new: list[str]) -> None:
             size = np.array([len(w) + 1 for w in new])
-            pts = _points("".join(START * (order - 1) + w + STOP for w in new))
+            pts = _points("".join(padded(w, order) for w in new))
             start = np.repeat(np.cumsum(size + order - 1) - size - order + 1, size)
             at = start + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             k = _keys(np.stack([pts[at + j] for j in range(order)], axis=1))
@@ -173,14 +175,15 @@ def _scorer(shared, order: int):
                 cache[w] = float(s)
 
         for b in batches:
-            counted = [word_counts(t) if t else {} for t in b.column(2).to_pylist()]
+            split = [t.split() if t else [] for t in b.column(2).to_pylist()]
+            counted = [Counter(w) for w in split]
             if len(cache) > CACHE:
                 cache.clear()
-            new = list({w: None for c in counted for w in c if w not in cache})
+            new = sorted(set().union(*counted).difference(cache))
             for a in range(0, len(new), 50_000):
                 learn(new[a:a + 50_000])
-            lp = [sum(n * cache[w] for w, n in c.items()) for c in counted]
-            n = [sum(n * (len(w) + 1) for w, n in c.items()) for c in counted]
+            lp = [sum(map(mul, c.values(), map(cache.__getitem__, c))) for c in counted]
+            n = [len("".join(w)) + len(w) for w in split]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(lp, pa.float64())],
                                              names=["doc_id", "th", "n", "lp"])
     return run
