@@ -15,6 +15,7 @@ row, repeated items (same id) count once; an empty benchmark leaves every row cl
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 
 import pyarrow as pa
@@ -97,8 +98,11 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
 _BUILT: dict = {}
 
 
-def _cached(broadcast, window: int):
-    key = broadcast.id if hasattr(broadcast, "id") else id(broadcast)
+def _cached(shard: tuple, window: int):
+    """The automaton of a shard.  Workers are used again by later tasks and sessions, so it
+    is told by the shard's own name; an address may be given to another broadcast."""
+    name, broadcast = shard
+    key = (name, window)
     if key not in _BUILT:
         _BUILT.clear()                               # one automaton per worker at a time
         found, ids = patterns(broadcast.value, window)
@@ -110,14 +114,15 @@ SCHEMA = "doc_id {id}, n_words long, ranges array<struct<first:int,after:int>>,
 
 
 def _shards(items: DataFrame, shard_bytes: int) -> list:
-    """The items as broadcasts of about ``shard_bytes`` of text each, fetched one by one."""
+    """The items as (unique name, broadcast) of about ``shard_bytes`` of text each, fetched
+    one by one."""
     size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     n = max(1, -(-size // shard_bytes))
     if n > 1:
         items = stored(items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(n))))
     spark = items.sparkSession
-    return [spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in
-                                          (items.where(F.col("shard") == k) if n > 1 else items).collect()])
+    return [(uuid.uuid4().hex, spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in
+                                                             (items.where(F.col("shard") == k) if n > 1 else items).collect()]))
             for k in range(n)]
 
 
