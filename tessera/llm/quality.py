@@ -17,7 +17,9 @@ Verdict: the cost (negative log probability per character, with ``SHRINK`` chara
 the language's median added so that a short text is not judged by a few letters) against
 a fence over the costs of the language's trusted texts, upper quartile plus ``FENCE``
 times the quartile distance.  Languages (null is one) with fewer than ``LEAST_TRUSTED``
-trusted texts take the fence of all.
+trusted texts are judged among themselves: median and quartiles of all their own texts,
+whatever the model knows of the language, and ``OWN_FENCE`` times the quartile distance
+(or times ``LEAST_SPREAD`` of the quartile, so that many copies are no fence).
 
 Defined results: a null or blank text has no perplexity and is rejected; labels that are
 null are not trusted; a text with several labels is trusted if one says so and none calls
@@ -41,6 +43,8 @@ SHARD_ROWS = 1 << 21
 SHRINK = 200
 FENCE = 6.0
 LEAST_TRUSTED = 30
+OWN_FENCE = 1.5
+LEAST_SPREAD = 0.05
 CACHE = 300_000
 START, STOP = "\x02", "\x03"
 _SAME = str.maketrans({c: "0" for c in "123456789"} | {START: " ", STOP: " "})
@@ -225,24 +229,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     t = near.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__t"))
     scored = stored(scored.join(t, F.col("doc_id") == F.col("__id"), "left").select(
         "doc_id", "th", "lang", "n", "rate", F.coalesce("__t", F.lit(False)).alias("trusted")))
-    good = scored.where("trusted and n > 0")
-
-    def per_language(df, *aggs):
-        own = df.groupBy("lang").agg(F.count("*").alias("m"), *aggs).where(F.col("m") >= LEAST_TRUSTED)
-        return stored(own), df.agg(F.count("*").alias("m"), *aggs).first()
-
-    mid, mid_all = per_language(good, F.percentile_approx("rate", 0.5, 10000).alias("median"))
-    cost = ((F.col("rate") * F.col("n") + F.lit(float(SHRINK)) * F.coalesce("median", F.lit(mid_all["median"]).cast("double"), F.col("rate")))
-            / (F.col("n") + F.lit(SHRINK)))
-    mids = F.broadcast(mid.select(F.col("lang").alias("__lang"), "median")) if mid.count() <= 100_000 else mid.select(F.col("lang").alias("__lang"), "median")
-    scored = scored.join(mids, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("cost", cost).drop("__lang", "median")
-    q = F.percentile_approx("cost", [0.25, 0.75], 10000).alias("q")
-    own, all_q = per_language(scored.where("trusted and n > 0"), q)
-    own = own.select(F.col("lang").alias("__lang"), F.col("q"))
-    own = F.broadcast(own) if own.count() <= 100_000 else own
-    every = F.array(*[F.lit(float(x)) for x in all_q["q"]]) if all_q["q"] else F.lit(None).cast("array<double>")
-    scored = scored.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("q", F.coalesce("q", every))
-    threshold = F.col("q")[1] + F.lit(FENCE) * (F.col("q")[1] - F.col("q")[0])
+    enough = F.count(F.when(F.col("trusted"), 1)) >= LEAST_TRUSTED
+
+    def per_language(value: str, share):
+        """lang, enough, q: quantiles of the language's trusted texts, or of all if those are too few."""
+        q = F.when(enough, F.percentile_approx(F.when(F.col("trusted"), F.col(value)), share, 10000)).otherwise(F.percentile_approx(value, share, 10000))
+        t = stored(scored.where("n > 0").groupBy(F.col("lang").alias("__lang")).agg(enough.alias("enough"), q.alias("q")))
+        return checked_broadcast(t, 100_000)
+
+    same = F.col("lang").eqNullSafe(F.col("__lang"))
+    cost = (F.col("rate") * F.col("n") + F.lit(float(SHRINK)) * F.col("q")) / (F.col("n") + F.lit(SHRINK))
+    scored = scored.join(per_language("rate", 0.5), same, "left").withColumn("cost", cost).drop("__lang", "enough", "q")
+    scored = scored.join(per_language("cost", [0.25, 0.75]), same, "left")
+    low, high = F.col("q")[0], F.col("q")[1]
+    threshold = high + F.when(F.col("enough"), FENCE * (high - low)).otherwise(OWN_FENCE * F.greatest(high - low, LEAST_SPREAD * high))
     return scored.select("doc_id", "th", "lang", "trusted", F.col("n").alias("n_chars"), F.round(F.exp("rate"), 6).alias("perplexity"),
                          F.round("cost", 6).alias("cost"), F.round(threshold, 6).alias("threshold"),
                          (F.col("n").isNotNull() & (F.col("n") > 0) & F.coalesce(F.col("cost") <= threshold, F.lit(True))).alias("accepted"))

@@ -1,5 +1,9 @@
 """Findings of the second review: each test fails on the code before."""
-from tessera.llm import decontaminate
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, quality
+
+SMALL = "/root/testdata/sf0.001"
 
 
 class Shared:
@@ -19,3 +23,16 @@ def test_automaton_of_its_own_shard(spark):
     for k in range(50):                              # freed at once: the next has its address
         auto, ids = decontaminate._cached((f"shard {k}", Shared([(f"i{k}", f"only {k}")])), 13)
         assert ids == [f"i{k}"] and decontaminate.scan(auto, f"only {k}")[2] == {0}
+
+
+def test_quality_of_an_unlabelled_language(spark):
+    """Without labels a language, or null as one, keeps its clean texts and loses its junk."""
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    clean = {r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()}
+    few = d.where("lang = 'de'").select("doc_id")
+    labels = labels.join(few, "doc_id", "left_anti")
+    for lang in (F.col("lang"), F.when(F.col("lang") != "de", F.col("lang"))):
+        got = quality.classify(d.withColumn("lang", lang), labels).join(few, "doc_id", "left_semi").collect()
+        good = [r["accepted"] for r in got if r["doc_id"] in clean]
+        assert len(got) == 31 and len(good) >= 9 and sum(good) >= 0.9 * len(good)
