@@ -13,10 +13,14 @@ by order, sharded by n-gram, which gives one log probability each; these go to t
 scoring tasks in shards of at most ``SHARD_ROWS`` entries, one scan per shard, and a
 document's sums are added up.
 
+Cross-fitting: documents are dealt to ``FOLDS`` folds by a hash of the id, and each is
+scored by the model of the trusted texts of the other folds, so that no text, trusted or
+not, is judged by a model that has read it.
+
 Verdict: the cost (negative log probability per character, with ``SHRINK`` characters at
 the language's median added so that a short text is not judged by a few letters) against
-a fence over the costs of the language's trusted texts, upper quartile plus ``FENCE``
-times the quartile distance.  Languages (null is one) with fewer than ``LEAST_TRUSTED``
+the quantile of the costs of the language's trusted texts that at most a share ``LOSS`` of
+them exceeds.  Languages (null is one) with fewer than ``LEAST_TRUSTED``
 trusted texts are judged among themselves: median and quartiles of all their own texts,
 whatever the model knows of the language, and ``OWN_FENCE`` times the quartile distance
 (or times ``LEAST_SPREAD`` of the quartile, so that many copies are no fence).
@@ -33,7 +37,7 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, checked_broadcast, col, row_hash, stored
@@ -41,15 +45,21 @@ from .common import bounded_batches, checked_broadcast, col, row_hash, stored
 ORDER = 5
 SHARD_ROWS = 1 << 21
 SHRINK = 200
-FENCE = 6.0
+LOSS = 0.01
 LEAST_TRUSTED = 30
 OWN_FENCE = 1.5
 LEAST_SPREAD = 0.05
+FOLDS = 2
 CACHE = 300_000
 START, STOP = "\x02", "\x03"
 _SAME = str.maketrans({c: "0" for c in "123456789"} | {START: " ", STOP: " "})
 
 
+def fold_of(doc_id: Column) -> Column:
+    """The fold of a document, by a hash of its id."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
 def padded(word: str, order: int) -> str:
     """A word as the model reads it: digits as 0, between its marks."""
     return START * (order - 1) + (word if word.isalpha() else word.translate(_SAME)) + STOP
@@ -61,35 +71,43 @@ def grams(word: str, order: int) -> list[str]:
 
 
 def corpus_grams(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame:
-    """gram, c: every n-gram of the corpus and how often trusted texts have it (0 for
-    those that only others have).  Counted per task, then summed by n-gram."""
+    """gram, c, and c0, c1, ... by fold: every n-gram of the corpus and how often trusted
+    texts (of the fold) have it (0 for those that only others have).  Counted per task,
+    then summed by n-gram."""
     t = trusted.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__t"))
     src = (docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
-           .join(t, F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("__t", F.lit(False)).alias("t")))
-
-    def flush(good: Counter, others: set):
+           .join(t, F.col("doc_id") == F.col("__id"), "left")
+           .select("text", F.when(F.col("__t"), fold_of(F.col("doc_id"))).alias("fold")))
+    names = [f"c{k}" for k in range(FOLDS)]
+
+    def flush(good: list, others: set):
+        # the counts of the folds go through the loop as one number, 40 bits each
+        words: dict[str, int] = dict.fromkeys(others, 0)
+        for k, counted in enumerate(good):
+            for w, n in counted.items():
+                words[w] = words.get(w, 0) + (n << 40 * k)
         out: dict[str, int] = {}
-        for w, n in good.items():
+        for w, n in words.items():
             for g in grams(w, order):
                 out[g] = out.get(g, 0) + n
-        for w in others.difference(good):
-            for g in grams(w, order):
-                if g not in out:
-                    out[g] = 0
-        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["gram", "c"])
+        mask = (1 << 40) - 1
+        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string())] + [
+            pa.array([n >> 40 * k & mask for n in out.values()], pa.int64()) for k in range(FOLDS)], names=["gram", *names])
 
     def run(batches):
-        good, others = Counter(), set()
+        good, others = [Counter() for _ in range(FOLDS)], set()
         for b in batches:
-            for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, fold in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if text:
-                    (good if t else others).update(text.split())
-            if len(good) + len(others) > CACHE:      # a task holds a bounded number of words
+                    (others if fold is None else good[fold]).update(text.split())
+            if sum(map(len, good)) + len(others) > CACHE:    # a task holds a bounded number of words
                 yield flush(good, others)
-                good, others = Counter(), set()
+                good, others = [Counter() for _ in range(FOLDS)], set()
         yield flush(good, others)
 
-    return stored(src.mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c")))
+    counted = src.mapInArrow(run, "gram string, " + ", ".join(f"{c} long" for c in names))
+    return stored(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in names])
+                  .select("gram", sum(map(F.col, names[1:]), F.col(names[0])).alias("c"), *names))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -143,29 +161,40 @@ def _points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def held_out(counted: DataFrame, order: int) -> DataFrame:
+    """gram, lp0, lp1, ...: log probabilities by the trusted texts of all folds but that one."""
+    out = None
+    for k in range(FOLDS):
+        lp = log_probabilities(counted.select("gram", (F.col("c") - F.col(f"c{k}")).alias("c")), order).withColumnRenamed("lp", f"lp{k}")
+        out = lp if out is None else out.join(lp, "gram")
+    return out
+
+
 def _shards(lp: DataFrame, order: int, shard_rows: int) -> list:
-    """The log probabilities as sorted (keys, values), at most about ``shard_rows`` each."""
+    """The log probabilities as sorted keys and values by fold, at most about ``shard_rows`` each."""
+    names = [f"lp{k}" for k in range(FOLDS)]
+
     def keyed(batches):
         for b in batches:
             g = b.column(0).to_pylist()
             k = _keys(_points("".join(g)).reshape(-1, order)) if g else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b.column(1).cast(pa.float32())], names=["k", "lp"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *[b.column(1 + f).cast(pa.float32()) for f in range(FOLDS)]], names=["k", *names])
 
-    rows = stored(lp.mapInArrow(keyed, "k long, lp float"))
+    rows = stored(lp.select("gram", *names).mapInArrow(keyed, "k long, " + ", ".join(f"{c} float" for c in names)))
     shards = max(1, -(-rows.count() // shard_rows))
     out = []
     for s in range(shards):
         t = rows.where(F.pmod("k", F.lit(shards)) == s).toArrow()
-        k, v = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
+        k = t.column(0).to_numpy().view(np.uint64)
         o = np.argsort(k)
-        out.append(rows.sparkSession.sparkContext.broadcast((k[o], v[o])))
+        out.append(rows.sparkSession.sparkContext.broadcast((k[o], [t.column(1 + f).to_numpy()[o] for f in range(FOLDS)])))
     return out
 
 
 def _scorer(shared, order: int):
     def run(batches):
         keys, values = shared.value
-        cache: dict[str, float] = {}
+        caches: list[dict[str, float]] = [{} for _ in range(FOLDS)]
 
         def learn(new: list[str]) -> None:
             size = np.array([len(w) + 1 for w in new])
@@ -174,29 +203,31 @@ def _scorer(shared, order: int):
             at = start + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             k = _keys(np.stack([pts[at + j] for j in range(order)], axis=1))
             i = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-            v = np.where(keys[i] == k, values[i], np.float32(0)) if len(keys) else np.zeros(len(k), np.float32)
-            for w, s in zip(new, np.add.reduceat(v.astype(np.float64), np.cumsum(size) - size)):
-                cache[w] = float(s)
+            first = np.cumsum(size) - size
+            for cache, value in zip(caches, values):
+                v = np.where(keys[i] == k, value[i], np.float32(0)) if len(keys) else np.zeros(len(k), np.float32)
+                cache.update(zip(new, np.add.reduceat(v.astype(np.float64), first).tolist()))
 
         for b in batches:
             split = [t.split() if t else [] for t in b.column(2).to_pylist()]
             counted = [Counter(w) for w in split]
-            if len(cache) > CACHE:
-                cache.clear()
-            new = sorted(set().union(*counted).difference(cache))
+            if len(caches[0]) > CACHE:
+                for cache in caches:
+                    cache.clear()
+            new = sorted(set().union(*counted).difference(caches[0]))
             for a in range(0, len(new), 50_000):
                 learn(new[a:a + 50_000])
-            lp = [sum(map(mul, c.values(), map(cache.__getitem__, c))) for c in counted]
+            lp = [sum(map(mul, c.values(), map(caches[f].__getitem__, c))) for c, f in zip(counted, b.column(3).to_pylist())]
             n = [len("".join(w)) + len(w) for w in split]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(lp, pa.float64())],
                                              names=["doc_id", "th", "n", "lp"])
     return run
 
 
-def perplexities(docs: DataFrame, shards: list, order: int, id_col: str, text_col: str) -> DataFrame:
+def perplexities(docs: DataFrame, shards: list, order: int, id_col: str, text_col: str, fold: Column) -> DataFrame:
     """doc_id, th, n (characters scored), lp per row; one scan per shard.  With several
     shards, rows equal in id and text are brought together as one."""
-    src = docs.select(col(id_col).alias("doc_id"), row_hash(col(text_col)).alias("th"), col(text_col).cast("string").alias("text"))
+    src = docs.select(col(id_col).alias("doc_id"), row_hash(col(text_col)).alias("th"), col(text_col).cast("string").alias("text"), fold.alias("fold"))
     kind = src.schema["doc_id"].dataType.simpleString()
     parts = None
     for s in shards:
@@ -221,9 +252,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     trusted = stored(trusted_ids(labels))
     near = checked_broadcast(trusted)
     counted = corpus_grams(docs, near, id_col, text_col, order)
-    shards = _shards(log_probabilities(counted, order), order, shard_rows)
-    named = docs.select(F.struct(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang")).alias("k"), col(text_col).alias("text"))
-    raw = perplexities(named, shards, order, "k", "text")
+    shards = _shards(held_out(counted, order), order, shard_rows)
+    named = docs.select(F.struct(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang")).alias("k"), col(text_col).alias("text"), fold_of(col(id_col)).alias("fold"))
+    raw = perplexities(named, shards, order, "k", "text", F.col("fold"))
     scored = raw.select(F.col("doc_id.id").alias("doc_id"), "th", F.col("doc_id.lang").alias("lang"), "n",
                         F.when(F.col("n") > 0, -F.col("lp") / F.col("n")).alias("rate"))
     t = near.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__t"))
@@ -240,12 +271,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     same = F.col("lang").eqNullSafe(F.col("__lang"))
     cost = (F.col("rate") * F.col("n") + F.lit(float(SHRINK)) * F.col("q")) / (F.col("n") + F.lit(SHRINK))
     scored = scored.join(per_language("rate", 0.5), same, "left").withColumn("cost", cost).drop("__lang", "enough", "q")
-    scored = scored.join(per_language("cost", [0.25, 0.75]), same, "left")
+    scored = scored.join(per_language("cost", [0.25, 0.75, 1 - LOSS]), same, "left")
     low, high = F.col("q")[0], F.col("q")[1]
-    threshold = high + F.when(F.col("enough"), FENCE * (high - low)).otherwise(OWN_FENCE * F.greatest(high - low, LEAST_SPREAD * high))
+    fence = high + OWN_FENCE * F.greatest(high - low, LEAST_SPREAD * high)
+    threshold = F.round(F.when(F.col("enough"), F.col("q")[2]).otherwise(fence), 6)
     return scored.select("doc_id", "th", "lang", "trusted", F.col("n").alias("n_chars"), F.round(F.exp("rate"), 6).alias("perplexity"),
-                         F.round("cost", 6).alias("cost"), F.round(threshold, 6).alias("threshold"),
-                         (F.col("n").isNotNull() & (F.col("n") > 0) & F.coalesce(F.col("cost") <= threshold, F.lit(True))).alias("accepted"))
+                         F.round("cost", 6).alias("cost"), threshold.alias("threshold"),
+                         (F.col("n").isNotNull() & (F.col("n") > 0) & F.coalesce(F.round("cost", 6) <= threshold, F.lit(True))).alias("accepted"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

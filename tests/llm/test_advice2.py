@@ -36,3 +36,16 @@ def test_quality_of_an_unlabelled_language(spark):
         got = quality.classify(d.withColumn("lang", lang), labels).join(few, "doc_id", "left_semi").collect()
         good = [r["accepted"] for r in got if r["doc_id"] in clean]
         assert len(got) == 31 and len(good) >= 9 and sum(good) >= 0.9 * len(good)
+
+
+def test_quality_catch_rates(spark):
+    """Held-out costs: toxic texts and bad ones are caught at the stated loss of good ones."""
+    sf = SMALL.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    ok = {r["doc_id"]: r["accepted"] for r in quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).collect()}
+    good = {r["doc_id"] for r in quality.trusted_ids(labels).collect()}
+    bad = {r["doc_id"] for r in labels.where("quality = 0").collect()}
+    toxic = {r["doc_id"] for r in labels.where("toxic = 1").collect()} - bad
+    lost, caught, seen = (sum(not ok[i] for i in x) / len(x) for x in (good, bad, toxic))
+    print(f"lost {lost:.3f} of {len(good)}, caught {caught:.3f} of {len(bad)} bad, {seen:.3f} of {len(toxic)} toxic")
+    assert lost <= quality.LOSS and caught >= 0.75 and seen >= 0.25
