@@ -2,11 +2,12 @@
 
 A page is read into tokens: tags, runs of words, and removed elements (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; told by
-element name, role, class and id).  Borders of ``article`` and ``main`` elements, or of
-containers named as content where a page has neither, are not crossed.  Words score positive, tags and removed elements
+element name, role, class and id).  The outer edges of ``article`` and ``main`` elements (from
+the first one's start to the last one's end), or of containers named as content where a
+page has neither, are not crossed; borders between and inside them weigh as learned.  Words score positive, tags and removed elements
 negative; one linear scan finds the run with the largest sum.  The weights are log odds
 of lying inside the content, counted by a Spark job over labelled pages (those that mark
-their content with one ``article`` or ``main`` element) on top of the prior counts below.
+their content by closed ``article`` or ``main`` elements) on top of the prior counts below.
 
 Text of a block is decoded, its white space made one space and trimmed; the blocks of the
 run are joined in page order by one newline.  Nothing else is dropped.
@@ -43,13 +44,15 @@ BOILERPLATE = frozenset(
     "subscription signup login register share sharing social related recommended recommendations "
     "comment comments commentlist reply replies respond disqus discussion widget widgets toolbar pagination pager "
     "search searchbox skip contentinfo complementary".split())
+# a class that says what a container has, not what it is
+STATES = ("has-", "has_", "with-", "with_", "no-", "no_")
 HEADER_WORDS = frozenset(["header"])
 CONTENT_WORDS = frozenset("article entry post story content".split())
 
 # Prior counts (inside, outside) of a token kind, as from a hundred hand-labelled pages.
 PRIOR = {"words": (900, 100), "link words": (30, 70), "far words": (1, 99), "inline": (300, 100), "p": (300, 100),
          "heading": (150, 100), "list": (95, 100), "table": (95, 100), "quote": (150, 100), "block": (25, 100),
-         "removed": (10, 100), "inner": (300, 100), "landmark": (0, 1000), "page": (0, 1000)}
+         "removed": (10, 100), "inner": (300, 100), "border": (95, 100), "landmark": (0, 1000), "page": (0, 1000)}
 KINDS = {**{x: "inline" for x in INLINE}, **{x: "heading" for x in HEADINGS}, "p": "p",
          **{x: "list" for x in ("ul", "ol", "li", "dl", "dt", "dd")},
          **{x: "table" for x in ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup")},
@@ -66,11 +69,17 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPE = frozenset("article main section div body html table ul ol td th nav aside footer header form blockquote".split())
 
 
+def _names(found: dict) -> list[str]:
+    """The single classes and the id of an element."""
+    return [x for k in ("class", "id") for x in found.get(k, "").split()]
+
+
 def _is_removed(name: str, attrs: str, stack: list) -> bool:
     if name in REMOVED:
         return True
     if name in ("html", "body", "main"):
         return False
+    content = name == "article" or _is_content(name, attrs)
     in_article = any(x in LANDMARKS for x, _ in stack)
     if name == "header" and not in_article:
         return True
@@ -83,7 +92,9 @@ def _is_removed(name: str, attrs: str, stack: list) -> bool:
         if found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form",
                                              "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"):
             return True
-        named = {p.lower() for k in ("class", "id") for p in _PART.findall(found.get(k, ""))}
+        if content:                                  # words beside the content's own name are its state
+            return False
+        named = {p.lower() for x in _names(found) if not x.lower().startswith(STATES) for p in _PART.findall(x)}
         if named & BOILERPLATE:
             return True
         if named & HEADER_WORDS and name not in HEADINGS and not in_article and not named & CONTENT_WORDS:
@@ -96,19 +107,22 @@ def _is_content(name: str, attrs: str) -> bool:
     if name not in ("div", "section", "td") or "=" not in attrs:
         return False
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-    named = {p.lower() for k in ("class", "id") for p in _PART.findall(found.get(k, ""))}
-    return bool(named & CONTENT_WORDS) or found.get("role", "").lower() in ("main", "article")
+    parts = [{p.lower() for p in _PART.findall(x)} for x in _names(found)]
+    return any(x & CONTENT_WORDS and not x & BOILERPLATE for x in parts) or found.get("role", "").lower() in ("main", "article")
 
 
 def tokens(page: str | None) -> list[tuple]:
     """(kind, text, block, inside a landmark) per token; text is None for markup.  Landmarks
     are ``article`` and ``main``, or on pages without them the outermost containers
-    named as content (kind ``soft``).  Inside a removed element nothing is listed but the
+    named as content (kind ``soft``); all but the first start and the last end are
+    ``border``.  Inside a removed element nothing is listed but the
     element itself, once."""
     out = _tokens(page)
-    if any(t[0] == "landmark" for t in out):
-        return [("block" if t[0] == "soft" else t[0], *t[1:4]) for t in out]
-    return [(*t[:3], t[4]) for t in out]
+    edge, at = next(((x, 3) for x in ["landmark"] if any(t[0].startswith(x) for t in out)), ("soft", 4))
+    marks = [k for k, t in enumerate(out) if t[0].startswith(edge)]
+    outer = {k for k in marks[:1] if out[k][0] == edge} | {k for k in marks[-1:] if out[k][0] != edge}
+    return [(edge if k in outer else "border" if t[0].startswith(edge) else "block" if t[0].startswith("soft") else t[0],
+             t[1], t[2], t[at]) for k, t in enumerate(out)]
 
 
 def _tokens(page: str | None) -> list[tuple]:
@@ -157,7 +171,8 @@ def _tokens(page: str | None) -> list[tuple]:
             shown, was = not removed, soft
             close(k)
             if shown and not removed:
-                out.append(("soft" if was and not soft and name in ("div", "section", "td") else KINDS.get(name, "block"),
+                out.append(("soft end" if was and not soft and name in ("div", "section", "td") else
+                            "landmark end" if name in LANDMARKS else KINDS.get(name, "block"),
                             None, block, marks > 0, soft > 0))
             continue
         if name in _CLOSES_P or name in _SIBLINGS:
@@ -195,7 +210,7 @@ def _tokens(page: str | None) -> list[tuple]:
 
 
 def labelled(toks: list[tuple]) -> bool:
-    """Whether the page marks its content: one landmark element, with words."""
+    """Whether the page marks its content: closed landmark elements, with words."""
     return sum(k == "landmark" for k, *_ in toks) == 2 and any(t and t.strip() and inside for _, t, _, inside in toks)
 
 
@@ -212,7 +227,7 @@ def kind_of(tok: tuple, has_landmark: bool) -> str:
 
 def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Word kinds: positive, 1 at most; markup kinds: negative, by log odds of the counts
-    (inside, outside).  A landmark's border is never crossed."""
+    (inside, outside).  The landmarks' outer edge is never crossed."""
     out = {}
     for kind, (pi, po) in PRIOR.items():
         i, o = counts.get(kind, (0, 0))

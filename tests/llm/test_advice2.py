@@ -1,7 +1,7 @@
 """Findings of the second review: each test fails on the code before."""
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, quality
+from tessera.llm import decontaminate, htmltext, quality
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -49,3 +49,19 @@ def test_quality_catch_rates(spark):
     lost, caught, seen = (sum(not ok[i] for i in x) / len(x) for x in (good, bad, toxic))
     print(f"lost {lost:.3f} of {len(good)}, caught {caught:.3f} of {len(bad)} bad, {seen:.3f} of {len(toxic)} toxic")
     assert lost <= quality.LOSS and caught >= 0.75 and seen >= 0.25
+
+
+def text_of(page):
+    return htmltext.main_text(page, htmltext.weights({}))
+
+
+def test_html_inner_borders():
+    words = "several words of text that stand here for reading"
+    got = text_of(f"<body><p>menu here</p><main><h1>title</h1><p>intro {words}</p><article><p>body {words}</p></article><p>end {words}</p></main><p>foot</p></body>")
+    assert got == f"title\nintro {words}\nbody {words}\nend {words}"
+    for mark in ('article', 'div class="entry"'):
+        parts = "".join(f"<{mark}><p>part {k} {words}</p></{mark.split()[0]}>" for k in range(3))
+        assert text_of(f"<body><p>top</p>{parts}<p>foot</p></body>") == "\n".join(f"part {k} {words}" for k in range(3))
+    for mark in ('<article class="post has-comments related">', '<div class="post has-comments">', '<div class="wrap has-sidebar">'):
+        assert text_of(f"<body>{mark}<p>{words}</p></{mark[1:].split()[0]}></body>") == words
+    assert text_of(f'<body><article><p>{words}</p></article><div class="post-comments"><p>{words}</p></div></body>') == words
