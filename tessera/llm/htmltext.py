@@ -30,9 +30,13 @@ from .common import bounded_batches, col
 
 # Element names of the HTML standard by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes title textarea xmp svg math".split())
-REMOVED = frozenset("head nav footer aside form button select dialog menu object canvas audio video map".split()) | RAW
+RAW = frozenset("script style noscript template iframe noembed noframes title textarea xmp".split())
+REMOVED = frozenset("head nav footer aside form button select dialog menu object canvas audio video map svg math".split()) | RAW
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FOREIGN = frozenset(["svg", "math"])
+# start tags that end an open svg or math, by the standard
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+                     "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article main section".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark "
                    "q s samp small span strike strong sub sup time tt u var wbr".split())
 LANDMARKS = frozenset(["article", "main"])
@@ -175,6 +179,10 @@ def _tokens(page: str | None) -> list[tuple]:
                             "landmark end" if name in LANDMARKS else KINDS.get(name, "block"),
                             None, block, marks > 0, soft > 0))
             continue
+        foreign = next((i for i, x in enumerate(stack) if x[0] in FOREIGN), None)
+        if foreign is not None and name in BREAKOUT and all(x != "foreignobject" for x, _ in stack[foreign:]):
+            close(foreign)
+            foreign = None
         if name in _CLOSES_P or name in _SIBLINGS:
             ends = _SIBLINGS.get(name, {"p"})
             for i in range(len(stack) - 1, -1, -1):
@@ -193,7 +201,7 @@ def _tokens(page: str | None) -> list[tuple]:
                 out.append(("words", " ", block, marks > 0, soft > 0))
             if opens:
                 soft = len(stack) + 1
-        if name in RAW:                              # its content is not markup
+        if name in RAW and not (foreign is not None and m[3].endswith("/")):    # its content is not markup
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             if name not in INLINE:

@@ -65,3 +65,10 @@ def test_html_inner_borders():
     for mark in ('<article class="post has-comments related">', '<div class="post has-comments">', '<div class="wrap has-sidebar">'):
         assert text_of(f"<body>{mark}<p>{words}</p></{mark[1:].split()[0]}></body>") == words
     assert text_of(f'<body><article><p>{words}</p></article><div class="post-comments"><p>{words}</p></div></body>') == words
+
+
+def test_html_svg():
+    words = "several words of text that stand here for reading"
+    for icon in ("<svg class=i />", "<math/>", "<svg><path d=x/><title/></svg>", "<b><svg><path d=x></b>", "<svg><script>a</script><g>seen not</g></svg>", "<svg>"):
+        got = text_of(f"<body><article><p>one {words}</p><p>two {icon}</p><p>three {words}</p></article><p>foot <svg></svg></p></body>")
+        assert got == f"one {words}\ntwo\nthree {words}", icon
