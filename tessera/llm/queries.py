@@ -7,7 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmltext, jaccard, langid, linededup, mixing, quality, rules, tokencount
+from . import (centroids, chat, collocations, decontaminate, htmltext, jaccard, langid, linededup, mixing, pii, quality, rules,
+               tokencount)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -188,3 +189,110 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", F.col("__lines_removed").alias("n_removed"), "text")
+
+
+def _any_case(words) -> str:
+    return "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in words)
+
+
+#: (kind, pattern, group that holds the span, test of a match m)
+_DIGITS11 = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN11 = ("list_sum(list_transform(string_split(reverse({0}), ''), lambda c, i: case when i % 2 = 1 then cast(c as int) "
+           "else cast(c as int) * 2 - case when cast(c as int) > 4 then 9 else 0 end end)) % 10 = 0").format(_DIGITS11)
+_IBAN11 = ("list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(m, 1, 4), ''), "
+           "lambda c: case when c >= 'A' then cast(ascii(c) - 55 as varchar) else c end), ''), ''), lambda c: cast(c as bigint)), lambda a, b: (a * 10 + b) % 97) = 1")
+_PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0,
+     "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 or cast(coalesce(nullif(right(ltrim(x, '0'), 3), ''), '0') as int) > 255)) = 0"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", 0, f"length({_DIGITS11}) between 14 and 19 and {_LUHN11}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({_DIGITS11}) between 10 and 15"),
+    ("address", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)+", 0, r"regexp_matches(m, '[^\x00-\x7F]')"),
+    ("address", f"({_any_case(['https', 'http', 'ftps', 'sftp', 'ftp', 'ssh'])})" + r"://[^\x20\x09-\x0D/?#@:]+(:[^\x20\x09-\x0D/?#@]*)?@[A-Za-z0-9.-]+", 0, "true"),
+    ("account", f"({_any_case(['iban'])})" + r"[\x20:=#]{0,3}([A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?)", 2, _IBAN11),
+    ("account", f"({_any_case([c for c in pii.CUES if c != 'iban'])})" + r"(\x20([Nn][Uu][Mm][Bb][Ee][Rr]|[Nn][OoRr]))?[\x20:=#.]{1,3}([A-Z]{0,2}[0-9]+([\x20-][0-9]+)*)", 4,
+     f"length({_DIGITS11}) between 6 and 20"),
+]
+
+
+def _pii_sql() -> str:
+    parts = []
+    for kind, pattern, group, good in _PII:
+        p = "'" + pattern + "'"
+        size = "list_sum(list_transform({0}, lambda x: length(x)))"
+        parts.append(f"""
+select doc_id, {pii.KINDS.index(kind)} as k, '{kind}' as kind, coalesce({size.format('g[1:i]')}, 0) + coalesce({size.format('w[1:i]')}, 0) - length(m) as s, m
+from (select doc_id, g, w, v, unnest(generate_series(1, len(w))) as i, v[i] as m
+      from (select doc_id, string_split_regex(text, {p}) as g, regexp_extract_all(text, {p}, 0) as w, regexp_extract_all(text, {p}, {group}) as v from d))
+where {good}""")
+    return ("with d as (select doc_id, coalesce(text, '') as text from documents), f as (" + " union all ".join(parts) + """),
+x as (select doc_id, count(*) filter (k = 0) as n_email, count(*) filter (k = 1) as n_ip, count(*) filter (k = 2) as n_card, count(*) filter (k = 3) as n_phone,
+        string_agg(kind || ':' || s || ':' || (s + length(m)), ',' order by s, k, length(m)) filter (k < 4) as base,
+        string_agg(kind || ':' || s || ':' || (s + length(m)), ',' order by s, k, length(m)) as spans from f group by doc_id)
+select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join x on d.doc_id = x.doc_id
+""")
+
+
+@register("op11_personal_data", _pii_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal(table(spark, sf_dir, "documents")))
+
+
+def _collocation_sql(longest: int = collocations.MAX_WORDS) -> str:
+    cuts = " union all ".join(f"select lang, p, n, f as a, {k} as k, array_to_string(p[1:{k}], ' ') as x, array_to_string(p[{k + 1}:], ' ') as y from c where len(p) > {k}"
+                              for k in range(1, longest))
+    inside = " union all ".join(f"select lang, p[{a}:{a} + {m} - 1] as p, f from c where len(p) > {m} and len(p) >= {a + m - 1}"
+                                for m in range(2, longest) for a in range(1, longest - m + 2))
+    return f"""
+with d as (select coalesce(lang, 'und') as lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]') as pieces from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from (select lang, unnest(pieces) as piece from d)),
+i as (select lang, w, unnest(generate_series(1, len(w))) as i from w),
+g as (select lang, w[i:i + m - 1] as p from i, (select unnest(generate_series(1, {longest})) as m) where i + m - 1 <= len(w)),
+f as (select lang, p, count(*) as f from g group by lang, p),
+t as (select lang, sum(f) as n from f where len(p) = 1 group by lang),
+c as (select f.lang, p, f, n from f join t on f.lang = t.lang where len(p) > 1 and f >= {collocations.MIN_COUNT}),
+s as (select lang, array_to_string(p, ' ') as x, f from f where f >= {collocations.MIN_COUNT}),
+cut as ({cuts}),
+sc as (select cut.*, l.f as l, r.f as r, (1000::hugeint * a * n) // (l.f::hugeint * r.f) as score
+       from cut join s l on cut.lang = l.lang and cut.x = l.x join s r on cut.lang = r.lang and cut.y = r.x),
+b as (select *, row_number() over (partition by lang, p order by score, k) as nth from sc),
+gone as (select distinct c.lang, c.p from c join ({inside}) o on c.lang = o.lang and c.p = o.p and o.f >= c.f),
+ok as (select b.lang, array_to_string(b.p, ' ') as phrase, a, l, r, n, score from b left join gone on b.lang = gone.lang and b.p = gone.p where nth = 1 and gone.p is null),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from ok)
+select lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked where rank <= {collocations.TOP}
+"""
+
+
+@register("op12_collocations", _collocation_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _centroid_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS) -> str:
+    dims = centroids.DIMS
+    near = """
+a{r} as materialized (select id, vec_id, v, c, d as distance from (
+  select x.*, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d, row_number() over (partition by id order by d, c) as nth from x, c{r}) where nth = 1)"""
+    step = """,
+n{r} as (select c, j, sum(v[j])::bigint as s, count(*)::bigint as n from a{r}, (select unnest(generate_series(1, {dims})) as j) group by c, j),
+c{s} as materialized (select c{r}.c, coalesce(list((n{r}.s - ((n{r}.s % n) + n) % n) // n order by j) filter (n is not null), any_value(m)) as m
+  from c{r} left join n{r} on c{r}.c = n{r}.c group by c{r}.c),"""
+    body = "".join(near.format(r=r) + step.format(r=r, s=r + 1, dims=dims) for r in range(rounds)) + near.format(r=rounds)
+    return f"""
+with x as materialized (select row_number() over () as id, vec_id, list_transform(embedding, lambda e: cast(floor({centroids.SCALE} * cast(e as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(embedding) = {dims} and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+c0 as materialized (select row_number() over (order by h, v) - 1 as c, v as m from (select *, sha256('{centroids.SEED}:' || coalesce(cast(vec_id as varchar), '')) as h from x order by h, v limit {k})),
+{body}
+select vec_id, cast(a{rounds}.c as int) as cluster, distance, cast(sum(distance) over (partition by a{rounds}.c) as bigint) as cluster_inertia,
+  cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on a{rounds}.c = c{rounds}.c
+"""
+
+
+@register("op13_centroid_clusters", _centroid_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
