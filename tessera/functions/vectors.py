@@ -44,7 +44,7 @@ def jaccard_distance(u, v) -> Column:
 
 
 def hamming_distance(u, v) -> Column:
-    """Share of positions that differ."""
+    """Share of positions that differ; null for empty vectors."""
     u, v = _col(u), _col(v)
     d = F.aggregate(F.zip_with(u, v, lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, x: a + x)
-    return d / F.size(u)
+    return F.try_divide(d, F.size(u))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions.clean import _col
+from ..functions.tokens import ngrams
+from ..session import reliable_checkpoint
 from .ranking import global_index
 
 
@@ -84,6 +86,42 @@ def lexicon_token_matrix(df: DataFrame, key: str, tokens: Column, lexicon: DataF
     return toks.join(lexicon.select(term_col).distinct(), term_col, "left_semi")
 
 
+ANCHOR = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters, from one split of the text."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    if n == 1:
+        return F.array_distinct(chars)
+    return F.array_distinct(ngrams(chars, n, sep=""))
+
+
+def lexicon_substring_matrix(df: DataFrame, key: str, text: Column, lexicon: DataFrame, term_col: str = "term") -> DataFrame:   # F3 / F9
+    """(key, term): the terms of a lexicon *table* of any size that a text contains anywhere,
+    as ``contains`` finds them.
+
+    Every term is anchored by the one of its 3-character runs that the fewest texts hold (a
+    shorter term by itself); texts meet the anchors by an equi-join on their distinct runs, and
+    only the candidates are tested.  An empty term is in every text and is left out."""
+    terms = lexicon.select(F.col(term_col).cast("string").alias("term")).where(F.length("term") > 0).distinct()
+    sized = terms.withColumn("n", F.least(F.length("term"), F.lit(ANCHOR)))
+    docs = df.select(F.col(key).alias("__k"), text.alias("__text"))
+    sizes = [n for n in range(1, ANCHOR + 1) if n == ANCHOR or sized.where(F.col("n") == n).limit(1).count()]
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("__text"), n) for n in sizes])))
+    runs = F.when(F.col("n") == ANCHOR, _grams(F.col("term"), ANCHOR)).otherwise(F.array("term"))
+    of_terms = explode_rows(sized, ["term"], runs, "gram")
+    held = explode_rows(docs, ["__k"], grams, "gram").join(of_terms.select("gram").distinct(), "gram", "left_semi")
+    held = reliable_checkpoint(held)
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    # a run that no text holds rules its term out
+    best = (of_terms.join(counts, "gram", "left").groupBy("term")
+            .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("b")).where("b.df > 0"))
+    found = held.join(best.select("term", F.col("b.gram").alias("gram")), "gram").groupBy("__k").agg(F.collect_set("term").alias("__terms"))
+    hits = docs.join(found, "__k").select("__k", F.filter("__terms", lambda t: F.contains(F.col("__text"), t)).alias("__t"))
+    return explode_rows(hits, [F.col("__k").alias(key)], F.col("__t"), term_col)
+
+
 def top_terms(matrix: DataFrame, skip: int = 3, k: int = 300, term_col: str = "term") -> DataFrame:
     """Terms by number of hits, descending (ties by term); skip the first ``skip``,
     keep ``k`` - a top-k report over the small per-term table."""

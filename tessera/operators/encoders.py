@@ -117,7 +117,7 @@ def fit_target_encoding(train: DataFrame, col: str, target: str = "target",
 
 def apply_target_encoding(df: DataFrame, table: DataFrame, col: str, out_col: str,
                           by: Sequence[str] = (), noise_level: float = 0.0, seed: int = 1337,
-                          noise_key: Sequence[str] | None = None) -> DataFrame:
+                          noise_key: Sequence[str] | None = None, noise_method: str = "xxhash64") -> DataFrame:
     """Left join the fitted table; unseen values get the prior; optional noise (A8) drawn
     per ``noise_key`` (by default, all columns of the row)."""
     by = list(by)
@@ -131,27 +131,34 @@ def apply_target_encoding(df: DataFrame, table: DataFrame, col: str, out_col: st
         prior = table.select(F.first("prior")).scalar()
     val = F.coalesce(F.col("__enc"), prior)
     if noise_level:
-        val = add_noise(val, noise_level, seed, noise_key or df.columns)
+        val = add_noise(val, noise_level, seed, noise_key or df.columns, noise_method)
     out = out.withColumn(out_col, val).drop("__enc")
     return out.drop("prior") if by else out
 
 
-def keyed_uniform(seed: int, *key) -> Column:
+def keyed_uniform(seed: int, *key, method: str = "xxhash64") -> Column:
     """A draw from (0, 1) that depends on the seed and the key columns alone, not on the
-    partition or the place of the row."""
+    partition or the place of the row; ``md5`` takes it from a digest that SQL engines share."""
+    if method == "md5":
+        text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(_as_column(k).cast("string"), F.lit("")) for k in key])
+        return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11)
     return (h.cast("double") + 0.5) / float(1 << 53)
 
 
-def keyed_normal(seed: int, *key) -> Column:
+def _as_column(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def keyed_normal(seed: int, *key, method: str = "xxhash64") -> Column:
     """A standard normal draw by Box-Muller from two keyed uniform ones."""
-    radius = F.sqrt(-2.0 * F.log(keyed_uniform(2 * seed, *key)))
-    return radius * F.cos(2 * math.pi * keyed_uniform(2 * seed + 1, *key))
+    radius = F.sqrt(-2.0 * F.log(keyed_uniform(2 * seed, *key, method=method)))
+    return radius * F.cos(2 * math.pi * keyed_uniform(2 * seed + 1, *key, method=method))
 
 
-def add_noise(c: Column, noise_level: float, seed: int, key: Sequence[str]) -> Column:
+def add_noise(c: Column, noise_level: float, seed: int, key: Sequence[str], method: str = "xxhash64") -> Column:
     """x * (1 + level * N(0, 1)); the draw is a function of seed and row key."""
-    return c * (1.0 + F.lit(float(noise_level)) * keyed_normal(seed, *key))
+    return c * (1.0 + F.lit(float(noise_level)) * keyed_normal(seed, *key, method=method))
 
 
 def target_encode(train: DataFrame, test: DataFrame, cols, target: str = "target",
@@ -216,22 +223,23 @@ def polar_coords(df: DataFrame, col: str, normalize: bool = True,
 
     ``angle_unit='radian_as_is'`` feeds the degree value to sin/cos unchanged (as the
     reference does, quirk Q13); ``'degree'`` converts first.  Ranks above max(col)
-    get no angle.  With ``normalize`` both columns are min-max scaled.
+    get no angle.  With ``normalize`` both columns are min-max scaled; a constant one
+    becomes 0.
     """
     max_val = df.select(F.max(col)).scalar()
-    ranks = fit_labelcount(df, col).select(F.col("value").alias(col), F.col("rank").alias("__r"))
-    angle = F.when(F.col("__r") <= max_val, F.col("__r") * F.lit(360.0) / max_val)
+    ranks = fit_labelcount(df, col).where(F.col("value").isNotNull()).select(F.col("value").alias(col), F.col("rank").alias("__r"))
+    angle = F.when(F.col("__r") <= max_val, F.try_divide(F.col("__r") * F.lit(360.0), max_val))
     if angle_unit == "degree":
         angle = F.radians(angle)
-    out = (df.join(ranks, col, "left")
-           .withColumn(f"{col}_sin", F.sin(angle)).withColumn(f"{col}_cos", F.cos(angle))
-           .drop("__r"))
+    made = ranks.select(col, F.sin(angle).alias(f"{col}_sin"), F.cos(angle).alias(f"{col}_cos"))
     if normalize:
-        for c in (f"{col}_sin", f"{col}_cos"):
-            lo = out.select(F.min(c)).scalar()
-            hi = out.select(F.max(c)).scalar()
-            out = out.withColumn(c, (F.col(c) - lo) / (hi - lo))
-    return out
+        # every value of the table has a row, so the extremes of the table are those of the rows
+        names = [f"{col}_sin", f"{col}_cos"]
+        ends = made.agg(F.struct(*[f(c).alias(f"{f.__name__}{k}") for k, c in enumerate(names) for f in (F.min, F.max)])).scalar()
+        for k, c in enumerate(names):
+            lo, width = ends[f"min{k}"], ends[f"max{k}"] - ends[f"min{k}"]
+            made = made.withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce(F.try_divide(F.col(c) - lo, width), F.lit(0.0))))
+    return df.join(made, col, "left")
 
 
 # --- A14 ------------------------------------------------------------------------
@@ -243,7 +251,8 @@ def value_counts(df: DataFrame, col: str, name: str = "count") -> DataFrame:
 # --- A15 ------------------------------------------------------------------------
 def customer_features(df: DataFrame, id_col: str = "customer_id", index_col: str | None = None,
                       order_col: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """id / max(id), id / (row index + 1e-14), id frequency, first 1/2/3/4/6 digits.
+    """id / max(id) (null when that is 0), id / (row index + 1e-14), id frequency, first
+    1/2/3/4/6 digits.
 
     The row index is an explicit column (``index_col``) or the 0-based position in
     ``order_col`` order, computed without a single-partition window.
@@ -261,8 +270,8 @@ def customer_features(df: DataFrame, id_col: str = "customer_id", index_col: str
     s = F.col(id_col).cast("string")
     out = base.join(freq, id_col, "left").select(
         *keep,
-        (F.col(id_col) / mx).alias("customer_max_ratio"),
-        (F.col(id_col) / (F.col(index_col) + F.lit(1e-14))).alias("index_max_ratio"),
+        F.try_divide(F.col(id_col), mx).alias("customer_max_ratio"),
+        F.try_divide(F.col(id_col), F.col(index_col) + F.lit(1e-14)).alias("index_max_ratio"),
         "customer_count",
         *[F.substring(s, 1, k).cast("bigint").alias(n)
           for k, n in ((1, "cust_first"), (2, "cust_2first"), (3, "cust_3first"),
@@ -289,3 +298,14 @@ def hash_encode(df: DataFrame, cols: Sequence[str], n_components: int | None = N
     buckets = [_md5_mod(F.col(c), n) for c in cols]
     return df.select(*keep, *[sum(((b == k).cast("bigint") for b in buckets), F.lit(0).cast("bigint"))
                               .alias(f"{prefix}{k}") for k in range(n)])
+
+
+def signed_hash_features(df: DataFrame, cols: Sequence[str], n_features: int, keep: Sequence[str] = (),
+                         out_col: str = "hashed") -> DataFrame:   # A3
+    """Feature hashing with alternating signs: every ``column=value`` adds +1 or -1 (by a
+    further digit of its md5) at one of ``n_features`` places; null values add nothing."""
+    tokens = [F.concat(F.lit(c + "="), F.col(c).cast("string")) for c in cols]
+    place = [_md5_mod(t, n_features) for t in tokens]
+    sign = [F.when(F.substring(F.md5(t), 32, 1) >= "8", F.lit(-1.0)).otherwise(F.lit(1.0)) for t in tokens]
+    at = lambda k: sum((F.when(p == k, s).otherwise(F.lit(0.0)) for p, s in zip(place, sign)), F.lit(0.0))
+    return df.select(*keep, F.array(*[at(k) for k in range(n_features)]).alias(out_col))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,22 +26,41 @@ def stack_matrix(preds: DataFrame, row_key: str, labels: Sequence[str], models:
     return preds.withColumn("__c", tag).groupBy(row_key).pivot("__c", values).agg(F.avg(pred))
 
 
-def geometric_blend(preds: DataFrame, keys: Sequence[str], pred: str = "pred", name: str = "geo") -> DataFrame:   # M12
-    """exp(mean(ln p)) per group; any p <= 0 gives null."""
+def geometric_mean(pred: str = "pred") -> Column:
+    """exp(mean(ln p)) of a group; any p <= 0 gives null."""
     bad = F.max(F.when(F.col(pred) <= 0, 1).otherwise(0))
-    return preds.groupBy(*keys).agg(F.when(bad == 0, F.exp(F.avg(F.log(F.when(F.col(pred) > 0, F.col(pred))))))
-                                    .alias(name))
+    return F.when(bad == 0, F.exp(F.avg(F.log(F.when(F.col(pred) > 0, F.col(pred))))))
 
 
-def harmonic_blend(preds: DataFrame, keys: Sequence[str], pred: str = "pred", name: str = "harm") -> DataFrame:   # M12
+def harmonic_mean(pred: str = "pred") -> Column:
+    """n / sum(1 / p) of a group; any p <= 0 gives null."""
     bad = F.max(F.when(F.col(pred) <= 0, 1).otherwise(0))
-    return preds.groupBy(*keys).agg(F.when(bad == 0, F.count(pred) / F.sum(1.0 / F.col(pred))).alias(name))
+    return F.when(bad == 0, F.try_divide(F.count(pred), F.sum(F.try_divide(F.lit(1.0), F.col(pred)))))
 
 
-def weighted_blend(preds: DataFrame, keys: Sequence[str], weights: Mapping, model_col: str = "model",
-                   pred: str = "pred", name: str = "blend") -> DataFrame:   # M13
-    """sum(w * p) / sum(w) over models with a weight (a literal map, fixed size)."""
+def weighted_mean(weights: Mapping, model_col: str = "model", pred: str = "pred") -> Column:
+    """sum(w * p) / sum(w) over a group's models with a weight (a literal map, fixed size);
+    null when there is none or the weights sum to 0."""
     items = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
     w = F.try_element_at(F.create_map(*items), F.col(model_col))
-    return preds.where(w.isNotNull()).groupBy(*keys).agg(
-        (F.sum(w * F.col(pred)) / F.sum(w)).alias(name))
+    return F.try_divide(F.sum(w * F.col(pred)), F.sum(w))
+
+
+def geometric_blend(preds: DataFrame, keys: Sequence[str], pred: str = "pred", name: str = "geo") -> DataFrame:   # M12
+    return preds.groupBy(*keys).agg(geometric_mean(pred).alias(name))
+
+
+def harmonic_blend(preds: DataFrame, keys: Sequence[str], pred: str = "pred", name: str = "harm") -> DataFrame:   # M12
+    return preds.groupBy(*keys).agg(harmonic_mean(pred).alias(name))
+
+
+def weighted_blend(preds: DataFrame, keys: Sequence[str], weights: Mapping, model_col: str = "model",
+                   pred: str = "pred", name: str = "blend") -> DataFrame:   # M13
+    return preds.where(F.col(model_col).isin(*weights)).groupBy(*keys).agg(
+        weighted_mean(weights, model_col, pred).alias(name))
+
+
+def blends(preds: DataFrame, keys: Sequence[str], weights: Mapping, model_col: str = "model", pred: str = "pred") -> DataFrame:
+    """geo, harm and blend of every group, by one aggregate."""
+    return preds.groupBy(*keys).agg(geometric_mean(pred).alias("geo"), harmonic_mean(pred).alias("harm"),
+                                    weighted_mean(weights, model_col, pred).alias("blend"))

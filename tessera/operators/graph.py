@@ -1,39 +1,40 @@
 """Keyterm scores by PageRank on each document's word co-occurrence graph.
 
-Edges join adjacent distinct tokens (undirected, weighted by co-occurrence count);
-PageRank runs a fixed number of iterations as joins keyed by document, with a
-reliable checkpoint every few iterations to keep the lineage short.
+Edges join adjacent distinct tokens (undirected, weighted by co-occurrence count).  The
+rows are laid out by document once; numbering the nodes, weighing the edges and gathering
+a document's graph into one row are windows and aggregates that keep this layout,
+and the iterations run inside the row.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
 from ..functions.tokens import ngrams
-from ..session import reliable_checkpoint
+from ..session import spread_width
 
 
-def keyterm_scores(df: DataFrame, key: str, tokens: str, damping: float = 0.85, iterations: int = 10,
-                   checkpoint_every: int = 5) -> DataFrame:
-    pairs = explode_rows(df, [key], ngrams(tokens, 2, sep=None), "pr").where(F.col("pr")[0] != F.col("pr")[1])
+def keyterm_scores(df: DataFrame, key: str, tokens: str, damping: float = 0.85, iterations: int = 10) -> DataFrame:
+    """(key, keyterm_score): the largest rank of a document's words, 0 without an edge.  A
+    document is one row of its graph: its size is that of its distinct word pairs."""
+    docs = df.select(key, tokens).repartition(spread_width(df.sparkSession), key)
+    pairs = explode_rows(docs, [key], ngrams(tokens, 2, sep=None), "pr").where(F.col("pr")[0] != F.col("pr")[1])
     # both directions from one explode (no union of two branches of the same input)
     both = pairs.select(key, F.explode(F.array(
         F.struct(F.col("pr")[0].alias("a"), F.col("pr")[1].alias("b")),
         F.struct(F.col("pr")[1].alias("a"), F.col("pr")[0].alias("b")))).alias("e")).select(key, "e.a", "e.b")
     edges = both.groupBy(key, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    out_w = edges.groupBy(key, "a").agg(F.sum("w").alias("ow"))
-    edges = reliable_checkpoint(edges.join(out_w, [key, "a"]).select(key, "a", "b", (F.col("w") / F.col("ow")).alias("p")))
-    nodes = edges.select(key, F.col("a").alias("node")).distinct()
-    n = nodes.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    nodes = reliable_checkpoint(nodes.join(n, key))
-    rank = nodes.select(key, "node", (1.0 / F.col("n")).alias("r"))
-    for i in range(iterations):
-        contrib = (edges.join(rank.select(key, F.col("node").alias("a"), "r"), [key, "a"])
-                   .groupBy(key, F.col("b").alias("node")).agg(F.sum(F.col("p") * F.col("r")).alias("s")))
-        rank = (nodes.join(contrib, [key, "node"], "left")
-                .select(key, "node", ((1.0 - damping) / F.col("n") + damping * F.coalesce("s", F.lit(0.0))).alias("r")))
-        if (i + 1) % checkpoint_every == 0:
-            rank = reliable_checkpoint(rank)
-    best = rank.groupBy(key).agg(F.max("r").alias("keyterm_score"))
+    # every node is the a of some edge and the b of another: one numbering serves both
+    number = lambda c: F.dense_rank().over(Window.partitionBy(key).orderBy(c)) - 1
+    edges = edges.select(key, "b", (F.col("w") / F.sum("w").over(Window.partitionBy(key, "a"))).alias("p"), number("a").alias("i"))
+    edges = edges.select(key, number("b").alias("j"), "i", "p")
+    incoming = edges.groupBy(key, "j").agg(F.sort_array(F.collect_list(F.struct("i", "p"))).alias("e"))
+    graphs = incoming.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "e"))), lambda n: n["e"]).alias("g"))
+    n = F.size("g").cast("double")
+    start = F.transform("g", lambda _: 1.0 / n)
+    step = lambda rank: F.transform("g", lambda e: (1.0 - damping) / n + damping * F.aggregate(
+        e, F.lit(0.0), lambda s, x: s + x["p"] * F.get(rank, x["i"])))
+    ranks = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, lambda rank, _: step(rank))
+    best = graphs.select(key, F.array_max(ranks).alias("keyterm_score"))
     return df.select(key).join(best, key, "left").select(key, F.coalesce("keyterm_score", F.lit(0.0)).alias("keyterm_score"))

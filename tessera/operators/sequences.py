@@ -2,9 +2,8 @@
 (E1-E5, E7, E8, J5, V8).
 
 The vocabulary is the only globally ordered object and it is ranked with the
-distributed index (no single-partition window).  Token rows meet it by equi-join;
-with ``num_words`` the joined side holds at most ``num_words`` rows - a proven
-bound - so it is broadcast explicitly below ``BROADCAST_MAX_WORDS``.
+distributed index (no single-partition window).  Token rows meet it by equi-join; Spark
+broadcasts the vocabulary when its measured size allows it.
 """
 from __future__ import annotations
 
@@ -19,8 +18,6 @@ from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions.clean import _col
 from .ranking import global_index
 
-BROADCAST_MAX_WORDS = 2_000_000
-
 
 def char_tokens(c, lower: bool = True) -> Column:
     """Character-level tokens (code points), lower-cased like a char-level tokenizer."""
@@ -44,8 +41,6 @@ def texts_to_sequences(df: DataFrame, key: str, tokens: str, vocab: DataFrame,
     v = vocab.select("word", "index")
     if num_words is not None:
         v = v.where(F.col("index") < num_words)
-        if num_words <= BROADCAST_MAX_WORDS:
-            v = F.broadcast(v)
     pos = posexplode_rows(df, [key], F.col(tokens), "__p", "word")
     hit = pos.join(v, "word")
     seqs = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", "index"))).alias("__s"))
@@ -73,7 +68,8 @@ def spread_columns(df: DataFrame, seq: str, maxlen: int, prefix: str = "word",
 
 
 def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, nb_words: int | None = None,
-                    random_init: tuple[float, float] | None = None, seed: int = 1337) -> DataFrame:   # J5 / E7
+                    random_init: tuple[float, float] | None = None, seed: int = 1337,
+                    method: str = "xxhash64") -> DataFrame:   # J5 / E7
     """(index, vec) for vocabulary indices below ``nb_words``: the word's vector, or
     zeros (or seeded N(mean, std) draws) when the word has none."""
     v = vocab.select("word", "index")
@@ -86,7 +82,7 @@ def embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, nb_words: in
         from .encoders import keyed_normal
         mu, sd = random_init
         miss = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                           lambda i: (F.lit(mu) + F.lit(sd) * keyed_normal(seed, F.col("word"), i)).cast("float"))
+                           lambda i: (F.lit(mu) + F.lit(sd) * keyed_normal(seed, F.col("word"), i, method=method)).cast("float"))
     return j.select("index", "word", F.coalesce(F.col("vec"), miss).alias("vec"),
                     F.col("vec").isNull().alias("missing"))
 
@@ -109,8 +105,8 @@ def pool_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame) ->
 
 def sentence_vectors(df: DataFrame, key: str, tokens: Column, vectors: DataFrame) -> DataFrame:   # V8
     """Sum of word vectors (duplicates counted, missing words skipped) divided by its
-    L2 norm; documents without any vector get no row."""
+    L2 norm (a zero sum stays zero); documents without any vector get no row."""
     g = (_weighted_vectors(df, key, tokens, vectors).groupBy(key)
          .agg(Summarizer.sum(F.col("v"), F.col("n")).alias("s")).select(key, vector_to_array("s").alias("v")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    return g.select(key, F.transform("v", lambda x: x / norm).alias("vec"))
+    return g.select(key, F.transform("v", lambda x: F.coalesce(F.try_divide(x, norm), x)).alias("vec"))

@@ -120,11 +120,7 @@ FROM fm GROUP BY doc_id, split, label"""
 
 def _blends(spark, sf_dir):
     fm = EN.fold_mean(_oof(spark, sf_dir), ["doc_id", "split", "label", "model"])
-    keys = ["doc_id", "split", "label"]
-    g = EN.geometric_blend(fm, keys)
-    h = EN.harmonic_blend(fm, keys)
-    w = EN.weighted_blend(fm, keys, {0: 2.0, 1: 8.0})
-    return g.join(h, keys).join(w, keys, "left")
+    return EN.blends(fm, ["doc_id", "split", "label"], {0: 2.0, 1: 8.0})
 
 
 @register("m12_m13_blends", BLEND_SQL)

@@ -15,7 +15,7 @@ from ..operators.graph import keyterm_scores
 from ..sources.tables import read_table
 from .catalog import register
 from .q_models import LABELS, MODELS
-from .sqlfrag import str_list, ws_split
+from .sqlfrag import keyed_normal_sql, str_list, ws_split
 
 
 def _docs(spark, sf_dir):
@@ -143,13 +143,32 @@ def a3_feature_hasher(spark, sf_dir):
     return fh.transform(l).select("l_orderkey", "l_linenumber", vector_to_array("h").alias("hashed"))
 
 
-@register("a8_add_noise")
+@register("a3_signed_hashing", f"""WITH t AS (SELECT l_orderkey, l_linenumber, unnest(['l_returnflag=' || l_returnflag, 'l_shipdate=' || cast(l_shipdate as varchar)]) AS t FROM lineitem),
+h AS (SELECT l_orderkey, l_linenumber, {_md5_mod_sql('t', 5)} AS p, CASE WHEN substr(md5(t), 32, 1) >= '8' THEN -1.0 ELSE 1.0 END AS s FROM t WHERE t IS NOT NULL)
+SELECT l.l_orderkey, l.l_linenumber, {', '.join(f"(SELECT coalesce(sum(s), 0.0) FROM h WHERE h.l_orderkey = l.l_orderkey AND h.l_linenumber = l.l_linenumber AND p = {k}) AS h{k}" for k in range(5))}
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l""")
+def a3_signed_hashing(spark, sf_dir):
+    """Feature hashing with alternating signs into five places, summed per order line."""
+    l = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate")
+    h = A.signed_hash_features(l, ["l_returnflag", "l_shipdate"], 5, keep=["l_orderkey", "l_linenumber"])
+    return h.groupBy("l_orderkey", "l_linenumber").agg(*[F.sum(F.col("hashed")[k]).alias(f"h{k}") for k in range(5)])
+
+
+NOISE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@register("a8_add_noise", f"""WITH p AS (SELECT avg(l_quantity) AS prior FROM lineitem),
+e AS (SELECT l_partkey, avg(l_quantity) AS m, 1 / (1 + exp(-(count(*) - 20) / 5.0)) AS s FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_partkey)
+SELECT {', '.join(NOISE_KEY)}, l_extendedprice,
+  round((prior * (1 - s) + m * s) * (1.0 + 0.001 * {keyed_normal_sql(7, *NOISE_KEY)}), 6) AS enc
+FROM lineitem JOIN e USING (l_partkey), p""")
 def a8_add_noise(spark, sf_dir):
     """Multiplicative seeded noise on a smoothed target encoding, keyed by the row."""
     l = read_table(spark, sf_dir, "lineitem")
     table = A.fit_target_encoding(l, "l_partkey", "l_quantity", 20, 5)
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return A.apply_target_encoding(l.select(*key), table, "l_partkey", "enc", noise_level=1e-3, seed=7, noise_key=key)
+    out = A.apply_target_encoding(l.select(*NOISE_KEY, "l_extendedprice"), table, "l_partkey", "enc", noise_level=1e-3, seed=7,
+                                  noise_key=NOISE_KEY, noise_method="md5")
+    return out.select(*NOISE_KEY, "l_extendedprice", F.round("enc", 6).alias("enc"))
 
 
 @register("p16_p17_pick_target_columns", f"""WITH s AS (SELECT doc_id, round(avg(CASE WHEN model = 0 THEN pred END), 6) AS toxic_preds_model0,

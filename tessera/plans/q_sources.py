@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import clean, tokens as T
+from ..functions import clean, rules as R, tokens as T
 from ..functions.arrays import explode_rows
 from ..sources import files as IO
 from ..sources.tables import corpus, read_table
 from ..sources.wordvec import DERIVED_VECTOR_SQL, derived_vectors, read_word_vectors, write_word_vectors
 from .catalog import register
 from .q_models import LABELS, _blends, _oof, _oof_sql
+from .q_text import F1_SQL, _glove_sql, _wl
+from .sqlfrag import q, str_list, ws_split
 
 
 @register("s1_read_comments_csv", """SELECT CAST(d.doc_id AS VARCHAR) AS id, d.text AS comment_text, l.toxic,
@@ -128,7 +130,15 @@ def s9_run_parameters(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("p10_streaming_row_features")
+_STREAM_SQL = _glove_sql(lambda e: f"array_to_string(list_filter({ws_split(f'lower({_wl(e)})')}, lambda x: NOT list_contains({str_list(R.BASIC_STOPWORDS)}, x)), ' ')")
+_FILLED = f"(SELECT doc_id, coalesce(text, {q(R.NULL_TEXT_SENTINEL)}) AS text FROM documents)"
+
+
+@register("p10_streaming_row_features", f"""WITH c AS ({_STREAM_SQL.replace('documents', _FILLED)}), f AS ({F1_SQL.replace('documents', _FILLED)}),
+n AS (SELECT doc_id, CAST(length(text) AS BIGINT) AS len_q1, CAST(length(replace(text, ' ', '')) AS BIGINT) AS len_char_q1,
+        CAST(len({ws_split('text')}) AS BIGINT) AS len_word_q1 FROM {_FILLED})
+SELECT doc_id, c.text AS clean_text, f.* EXCLUDE (doc_id), n.* EXCLUDE (doc_id), l.toxic
+FROM c JOIN f USING (doc_id) JOIN n USING (doc_id) LEFT JOIN labels l USING (doc_id)""")
 def p10_streaming_row_features(spark, sf_dir):
     """Documents arriving as several parquet files run through the cleaning chain as
     a Structured Streaming query (availableNow) into a parquet sink joined with the

@@ -12,7 +12,7 @@ from ..operators import corpus as C, sequences as S, spelling as SP
 from ..sources.tables import read_table, text_pairs
 from ..sources.wordvec import DERIVED_VECTOR_SQL, derived_vectors
 from .catalog import register
-from .sqlfrag import q, str_list, ws_split
+from .sqlfrag import keyed_normal_sql, q, str_list, ws_split
 
 WORD_SQL = q(T.WORD)
 KERAS_SQL = (f"list_filter(string_split(translate(lower(text), {q(R.KERAS_FILTERS)}, "
@@ -285,6 +285,13 @@ def _has_others(x: str, w: str) -> str:
             f"length({w}) - length(replace({w}, c, '')) > length({x}) - length(replace({x}, c, '')))) = 0")
 
 
+def _shorter(t: str) -> str:
+    """(m, e): the words of ``t`` with up to two characters deleted."""
+    one = f"SELECT m, i, left(m, i - 1) || substr(m, i + 1) AS e FROM (SELECT m, unnest(range(1, length(m) + 1)) AS i FROM {t})"
+    return (f"SELECT m, m AS e FROM {t} UNION SELECT m, e FROM ({one}) UNION "
+            f"SELECT m, left(e, j - 1) || substr(e, j + 1) FROM (SELECT m, e, unnest(range(i, length(e) + 1)) AS j FROM ({one}))")
+
+
 @register("t12_spelling_correction", f"""WITH vw AS (
   SELECT unnest(regexp_extract_all(lower(text), {WORD_SQL}, 0)) AS w FROM documents),
 vc AS (SELECT w, count(*) AS n FROM vw GROUP BY w),
@@ -293,9 +300,11 @@ cw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORD_SQL}, 0)) AS
 known AS (SELECT word, word AS correction FROM cw SEMI JOIN voc USING (word)),
 oov AS (SELECT word FROM cw ANTI JOIN voc USING (word)),
 o1 AS (SELECT word, {_one_byte('word')} AS m FROM oov), v1 AS (SELECT *, {_one_byte('word')} AS m FROM voc),
+ods AS ({_shorter('o1')}), vds AS ({_shorter('v1')}),
+pairs AS (SELECT DISTINCT ods.m, vds.m AS k FROM ods JOIN vds USING (e)),
 near AS (SELECT o.word, o.m, v.m AS k, v.word AS cand, v.rank, damerau_levenshtein(o.m, v.m) AS d,
            regexp_replace(o.m, '[a-z]', '', 'g') AS nx, regexp_replace(v.m, '[a-z]', '', 'g') AS nw
-         FROM o1 o JOIN v1 v ON abs(length(o.m) - length(v.m)) <= 2 WHERE damerau_levenshtein(o.m, v.m) <= 2),
+         FROM pairs JOIN o1 o ON pairs.m = o.m JOIN v1 v ON pairs.k = v.m WHERE damerau_levenshtein(o.m, v.m) <= 2),
 enough AS (SELECT * FROM near WHERE {_has_others('nx', 'nw')}),
 far AS (SELECT * FROM enough WHERE nw <> '' AND d = 2),
 mids AS (SELECT m, regexp_replace(mid, '[a-z]', '', 'g') AS nm, mid FROM (
@@ -320,11 +329,15 @@ def t12_spelling_correction(spark, sf_dir):
     return SP.correct_words(conv, ranks)
 
 
-@register("e7_embedding_random_init")
+@register("e7_embedding_random_init", f"""WITH {_vocab_sql(KERAS_SQL)}, {BENCH_VEC_SQL}
+SELECT v.idx AS "index", v.word, bv.vec IS NULL AS missing,
+  {', '.join(f"round(coalesce(bv.vec[{i + 1}], 0.020940498 + 0.6441043 * {keyed_normal_sql(1337, 'v.word', str(i))}), 4) + 0.0 AS v{i}" for i in range(4))}
+FROM voc v LEFT JOIN bv USING (word) WHERE v.idx < 5000""")
 def e7_embedding_random_init(spark, sf_dir):
-    """Embedding rows for the vocabulary with seeded N(0.0209, 0.6441) draws for words
-    without a vector (rows check; misses counted in ``missing``)."""
+    """Embedding rows for the vocabulary (indices below 5000) with seeded N(0.0209, 0.6441)
+    draws for words without a vector; misses counted in ``missing``."""
     d = _docs(spark, sf_dir).select("doc_id", T.keras_words("text").alias("tok"))
     vocab = S.fit_vocabulary(d, "doc_id", "tok")
-    return S.embedding_table(vocab, _benchmark_vectors(spark, sf_dir), dim=4, nb_words=5000,
-                             random_init=(0.020940498, 0.6441043), seed=1337)
+    emb = S.embedding_table(vocab, _benchmark_vectors(spark, sf_dir), dim=4, nb_words=5000,
+                            random_init=(0.020940498, 0.6441043), seed=1337, method="md5")
+    return emb.select("index", "word", "missing", *[F.round(F.col("vec")[i].cast("double"), 4).alias(f"v{i}") for i in range(4)])

@@ -38,3 +38,11 @@ def ws_split(expr: str) -> str:
 
 def str_list(items: Sequence[str]) -> str:
     return "[" + ", ".join(q(i) for i in items) + "]"
+
+
+def keyed_normal_sql(seed: int, *key: str) -> str:
+    """The keyed draw of the encoders with ``method='md5'``."""
+    def uniform(k):
+        text = " || '|' || ".join([q(str(k)), *[f"coalesce(cast({c} as varchar), '')" for c in key]])
+        return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT::DOUBLE + 0.5) / {1 << 52}.0)"
+    return f"(sqrt(-2.0 * ln({uniform(2 * seed)})) * cos(2 * pi() * {uniform(2 * seed + 1)}))"

@@ -103,3 +103,58 @@ def submission(preds: DataFrame, key: str, labels: Sequence[str], label_col: str
 def append_parameters(spark: SparkSession, path: str, run: str, params: Mapping[str, object]) -> None:   # S9
     rows = [(run, str(k), str(v)) for k, v in params.items()]
     spark.createDataFrame(rows, "run string, key string, value string").write.mode("append").parquet(path)
+
+
+# --- blocks that meet by position -----------------------------------------------------
+def write_ordered(df: DataFrame, path: str, order: Sequence[str], drop: Sequence[str] = (), rows_per_file: int = 0) -> None:
+    """Parquet files whose names follow the given order; the order's columns may be left out,
+    the place of a row is then all that is known of it."""
+    df.orderBy(*order).drop(*drop).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def read_positions(spark: SparkSession, path: str, name: str = "position") -> DataFrame:   # S7 / J4
+    """The rows of a Parquet folder with their position: files by name, rows of a file as
+    stored.  Files are counted once, the offsets are a running sum over files; the position does
+    not depend on how the scan is split."""
+    from ..operators.ranking import global_prefix
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
+    starts = global_prefix(files, [F.col("__file").asc()], {"__start": F.col("n")}).select("__file", "__start")
+    return rows.join(starts, "__file").withColumn(name, (F.col("__start") + F.col("__row")).cast("long")).drop("__file", "__row", "__start")
+
+
+def glue(blocks: Sequence[DataFrame], position: str = "position") -> DataFrame:   # J4
+    """Blocks without a key side by side: joined on the position, missing places null."""
+    return functools.reduce(lambda a, b: a.join(b, position, "full"), blocks)
+
+
+# --- names as data ----------------------------------------------------------------------
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file of that very name, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.writeBytes(text)
+    out.close()
+
+
+def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modificationTime) of the files under ``root``; their content is not read.
+    Spark's scans leave files of no bytes out, and so does this."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+            .load(root).select("path", "length", "modificationTime"))
+
+
+def checkpoint_losses(files: DataFrame) -> DataFrame:   # M14
+    """(run, fold, loss, path) from names such as ``<run>/..._fold_<i>_..._<loss>.txt``: the run is
+    the folder, the loss the last ``_`` part up to its second point."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    loss = F.substring_index(F.substring_index(name, "_", -1), ".", 2).try_cast("double")
+    return (files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run"), F.regexp_extract(name, r"fold_([0-9]+)", 1).alias("fold"),
+                         loss.alias("loss"), "path")
+            .where("fold <> ''").withColumn("fold", F.col("fold").cast("int")))
+
+
+def least_losses(losses: DataFrame) -> DataFrame:   # M14
+    """(run, fold, n, loss): the least loss of every fold; files whose name holds none do not count."""
+    return (losses.where(F.col("loss").isNotNull()).groupBy("run", "fold")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.min("loss").alias("loss")))
