@@ -1,7 +1,8 @@
 """Chat formatting with DataFrame expressions only.
 
 The rows of a conversation are collected as structs, sorted by turn, adjacent turns of
-one role are merged by array aggregation, and the blocks are concatenated:
+one role are merged by array functions (each turn against the one before it, linear in the
+turns), and the pieces are concatenated:
 
     <|im_start|> role <|im_mid|> text (<|im_sep|> text)* <|im_end|> ...
 
@@ -40,21 +41,22 @@ def unescaped(text: Column) -> Column:
 def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                  text_col: str = "text") -> DataFrame:
     """conv_id and ``formatted``, one row per conversation."""
+    said = lambda c: F.coalesce(col(c).cast("string"), F.lit(""))
     turns = conversations.select(col(id_col).alias("conv_id"), F.struct(
-        col(turn_col).alias("turn"), escaped(col(role_col).cast("string")).alias("role"),
-        escaped(col(text_col).cast("string")).alias("text")).alias("t"))
+        col(turn_col).alias("turn"), said(role_col).alias("role"), said(text_col).alias("text")).alias("t"))
     sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    def add(acc: Column, t: Column) -> Column:
-        same = F.coalesce(acc["role"] == t["role"], F.lit(False))
-        body = F.when(same, F.concat(F.lit(SEP), t["text"])).otherwise(
-            F.concat(F.when(acc["role"].isNull(), "").otherwise(END), F.lit(START), t["role"], F.lit(MID), t["text"]))
-        return F.struct(t["role"].alias("role"), F.concat(acc["parts"], F.array(body)).alias("parts"))
-
-    # the blocks are collected as an array and joined once
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("parts"))
-    return sorted_turns.select("conv_id", F.concat(
-        F.aggregate("turns", start, add, lambda a: F.array_join(a["parts"], "")), F.lit(END)).alias("formatted"))
+    # every turn beside the one before it: a block goes on where the roles are equal
+    before = F.concat(F.array(F.lit(None)), F.slice("turns", 1, F.size("turns") - 1))
+
+    def piece(t: Column, b: Column) -> Column:
+        text = escaped(t["text"])
+        opened = F.concat(F.lit(START), escaped(t["role"]), F.lit(MID), text)
+        return (F.when(b.isNull(), opened).when(b["role"] == t["role"], F.concat(F.lit(SEP), text))
+                .otherwise(F.concat(F.lit(END), opened)))
+
+    pieces = F.zip_with(F.col("turns"), F.col("before"), piece)
+    return sorted_turns.select("conv_id", "turns", before.alias("before")).select(
+        "conv_id", F.concat(F.array_join(pieces, ""), F.lit(END)).alias("formatted"))
 
 
 def parsed(formatted: DataFrame) -> DataFrame:

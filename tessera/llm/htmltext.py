@@ -4,8 +4,9 @@ A page is read into tokens: tags, runs of words, and removed elements (menus, he
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; told by
 element name, role, class and id).  The outer edges of ``article`` and ``main`` elements (from
 the first one's start to the last one's end), or of containers named as content where a
-page has neither, are not crossed; borders between and inside them weigh as learned.  Words score positive, tags and removed elements
-negative; one linear scan finds the run with the largest sum.  The weights are log odds
+page has neither, are not crossed; borders between and inside them weigh as learned.  Words
+score positive, tags and removed elements negative (tags between two words count once); one
+linear scan finds the run with the largest sum.  The weights are log odds
 of lying inside the content, counted by a Spark job over labelled pages (those that mark
 their content by closed ``article`` or ``main`` elements) on top of the prior counts below.
 
@@ -48,6 +49,12 @@ BOILERPLATE = frozenset(
     "subscription signup login register share sharing social related recommended recommendations "
     "comment comments commentlist reply replies respond disqus discussion widget widgets toolbar pagination pager "
     "search searchbox skip contentinfo complementary".split())
+# words that beside those say nothing of their own: where all parts of a class are of the two
+# sets or a content's name, the class names a removed part inside content, too
+PLACES = frozenset("list area section box wrapper wrap container block form links link bar items item inner group slot unit "
+                   "posts articles stories left right top bottom site page global js".split())
+# elements that hold words of an article, never removed for a class
+TEXT_ELEMENTS = INLINE | HEADINGS | frozenset("p pre code blockquote figure figcaption table tbody thead tr td th li dt dd".split())
 # a class that says what a container has, not what it is
 STATES = ("has-", "has_", "with-", "with_", "no-", "no_")
 HEADER_WORDS = frozenset(["header"])
@@ -63,8 +70,12 @@ KINDS = {**{x: "inline" for x in INLINE}, **{x: "heading" for x in HEADINGS}, "p
          **{x: "quote" for x in ("blockquote", "pre", "figure", "figcaption", "hr")},
          "article": "landmark", "main": "landmark", "html": "page", "body": "page"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
+# a tag's attributes as the standard reads them: a quote opens a value only right behind the equals
+# sign, an unquoted value ends at white space or >; a quote that is never closed is none
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)"
+                    r"((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+|=)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s/>=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.S)
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _PART = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
                       "main nav ol p pre section table ul".split())
@@ -78,13 +89,12 @@ def _names(found: dict) -> list[str]:
     return [x for k in ("class", "id") for x in found.get(k, "").split()]
 
 
-def _is_removed(name: str, attrs: str, stack: list) -> bool:
+def _is_removed(name: str, attrs: str, in_article: bool, in_content: bool) -> bool:
     if name in REMOVED:
         return True
     if name in ("html", "body", "main"):
         return False
     content = name == "article" or _is_content(name, attrs)
-    in_article = any(x in LANDMARKS for x, _ in stack)
     if name == "header" and not in_article:
         return True
     if attrs and "=" in attrs or "hidden" in attrs:
@@ -96,12 +106,15 @@ def _is_removed(name: str, attrs: str, stack: list) -> bool:
         if found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form",
                                              "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"):
             return True
-        if content:                                  # words beside the content's own name are its state
+        if content or name in TEXT_ELEMENTS:         # words beside the content's own name are its state
             return False
-        named = {p.lower() for x in _names(found) if not x.lower().startswith(STATES) for p in _PART.findall(x)}
+        parts = [{p.lower() for p in _PART.findall(x)} for x in _names(found) if not x.lower().startswith(STATES)]
+        if in_content:                               # the class must name nothing else
+            return any(x & BOILERPLATE and x <= BOILERPLATE | PLACES | CONTENT_WORDS for x in parts)
+        named = set().union(*parts)
         if named & BOILERPLATE:
             return True
-        if named & HEADER_WORDS and name not in HEADINGS and not in_article and not named & CONTENT_WORDS:
+        if named & HEADER_WORDS and not in_article and not named & CONTENT_WORDS:
             return True
     return False
 
@@ -134,27 +147,36 @@ def _tokens(page: str | None) -> list[tuple]:
         return []
     out: list[tuple] = []
     stack: list[tuple[str, bool]] = []
-    block, removed, links, header = 0, 0, 0, 0
+    place: dict[str, list[int]] = {}                 # name -> where it is on the stack
+    scopes: list[int] = []
+    block, removed, links, header, headings = 0, 0, 0, 0, 0
     marks, soft = 0, 0                               # open landmarks; depth of the outermost content container
 
     def text(raw: str) -> None:
-        if raw and not removed and (not header or any(x in HEADINGS for x, _ in stack)):
+        if raw and not removed and (not header or headings):
             t = _html.unescape(raw) if "&" in raw else raw
             out.append(("link words" if links else "words", t, block, marks > 0, soft > 0))
 
     def close(k: int) -> None:
-        nonlocal removed, links, marks, block, header, soft
+        nonlocal removed, links, marks, block, header, headings, soft
         while len(stack) > k:
             name, gone = stack.pop()
+            place[name].pop()
+            if name in _SCOPE:
+                scopes.pop()
             removed -= gone
             links -= name == "a"
             marks -= name in LANDMARKS
             header -= name == "header"
+            headings -= name in HEADINGS
             if name not in INLINE:
                 block += 1
             if soft and len(stack) < soft:
                 soft = 0
 
+    def last(name: str) -> int:
+        return place[name][-1] if place.get(name) else -1
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -167,8 +189,8 @@ def _tokens(page: str | None) -> list[tuple]:
             continue
         name = m[2].lower()
         if m[1]:                                     # end tag
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is None:
+            k = last(name)
+            if k < 0:
                 if name == "p":
                     block += 1
                 continue
@@ -179,21 +201,18 @@ def _tokens(page: str | None) -> list[tuple]:
                             "landmark end" if name in LANDMARKS else KINDS.get(name, "block"),
                             None, block, marks > 0, soft > 0))
             continue
-        foreign = next((i for i, x in enumerate(stack) if x[0] in FOREIGN), None)
-        if foreign is not None and name in BREAKOUT and all(x != "foreignobject" for x, _ in stack[foreign:]):
+        foreign = min((place[x][0] for x in FOREIGN if place.get(x)), default=None)
+        if foreign is not None and name in BREAKOUT and last("foreignobject") < foreign:
             close(foreign)
             foreign = None
         if name in _CLOSES_P or name in _SIBLINGS:
-            ends = _SIBLINGS.get(name, {"p"})
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
+            k = max(map(last, _SIBLINGS.get(name, ("p",))))
+            if k >= 0 and k >= (scopes[-1] if scopes else -1):
+                close(k)
         if name not in INLINE:
             block += 1
-        gone = not removed and _is_removed(name, m[3], stack)
+        gone = not removed and _is_removed(name, m[3], marks > 0, marks > 0 or soft > 0)
+        closed = _SELF_CLOSED.search(m[3])
         if not removed:
             opens = not gone and not soft and _is_content(name, m[3])
             out.append(("removed" if gone else "soft" if opens else KINDS.get(name, "block"), None, block, marks > 0, soft > 0))
@@ -201,19 +220,23 @@ def _tokens(page: str | None) -> list[tuple]:
                 out.append(("words", " ", block, marks > 0, soft > 0))
             if opens:
                 soft = len(stack) + 1
-        if name in RAW and not (foreign is not None and m[3].endswith("/")):    # its content is not markup
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+        if name in RAW and not (foreign is not None and closed):    # its content is not markup
+            end = re.compile(rf"</{re.escape(name)}(?:[\s/][^>]*)?>", re.I).search(page, at)
             at = end.end() if end else n
             if name not in INLINE:
                 block += 1
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or closed:
             continue
+        place.setdefault(name, []).append(len(stack))
+        if name in _SCOPE:
+            scopes.append(len(stack))
         stack.append((name, bool(gone)))
         removed += bool(gone)
         links += name == "a"
         marks += name in LANDMARKS
         header += name == "header"
+        headings += name in HEADINGS
     return out
 
 
@@ -258,6 +281,26 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return a, b
 
 
+def one_by_run(scores: list[float], toks: list[tuple]) -> None:
+    """Markup between two words counts as its worst tag alone, so that a short title is not
+    cut off by the many tags behind it; outside content this holds for the tags of text
+    (paragraphs, lists, tables, inline), while containers count each."""
+    worst = at = None
+    for k, t in enumerate(toks):
+        if t[1] is not None:
+            if t[1].strip():
+                worst = at = None
+            continue
+        if not t[3] and t[0] in ("block", "removed", "border", "page", "landmark", "soft"):
+            continue
+        if worst is None or scores[k] < worst:
+            if at is not None:
+                scores[at] = 0.0
+            worst, at = scores[k], k
+        else:
+            scores[k] = 0.0
+
+
 def main_text(page: str | None, w: dict[str, float]) -> str:
     toks = tokens(page)
     has = any(t[0] in ("landmark", "soft") for t in toks)
@@ -265,6 +308,7 @@ def main_text(page: str | None, w: dict[str, float]) -> str:
     far = 0.3 if named else w["far words"]           # a container's name is weaker evidence than its element
     scores = [(far if k == "far words" else w[k]) * (len(t[1].split()) if t[1] is not None else 1)
               for t in toks for k in [kind_of(t, has)]]
+    one_by_run(scores, toks)
     a, b = best_run(scores)
     blocks: dict[int, list[str]] = {}
     for t in toks[a:b]:

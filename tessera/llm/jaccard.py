@@ -6,8 +6,7 @@ Documents with equal sets are one class; the join works on one set per class.
 Each run grows a tree of paths for every set: a node chooses the tokens whose hash, seeded
 with the node's path, lies under ``1 / (SIMILARITY * set size)`` (the least one if there is
 none), so sets that share most tokens choose shared ones.  Sets with one path are a
-bucket; a bucket of more than ``SMALL`` sets is split by the paths of the next
-level.  Buckets are brute-forced on sketches, large ones of the last level in pairs of
+bucket; one of more than ``SMALL`` sets is split by the paths of the next level.  Buckets are brute-forced on sketches, large ones of the last level in pairs of
 blocks, and give the edges of a spanning forest, never all pairs.  The number of runs
 follows from the target recall.
 
@@ -36,6 +35,9 @@ SIMILARITY = 0.8
 RECALL = 0.995
 SMALL = 64                                           # a bucket of so many sets is compared as it is
 BLOCK = 2048                                         # sets of a block
+BLOCK_TOKENS = 8 << 20                               # and their tokens: 64 MB
+RANGE = 2 << 20                                      # tokens of the sets of two blocks compared at once
+ROUNDS = 1000                                        # of a component search; more is an error
 BINS = 128                                           # of a sketch
 CELLS = 4 << 20                                      # of the dense part of a set matrix
 
@@ -196,6 +198,17 @@ def sketch_edges(batches):
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, summed over ranges of the token hashes of about
+    ``RANGE`` tokens each."""
+    ranges = max(1, sum(map(len, sets)) // RANGE)
+    if ranges == 1:
+        return _shared(sets)
+    ends = [np.searchsorted(u, np.arange(1, ranges, dtype=np.uint64) * np.uint64(2**64 // ranges)) for u in sets]
+    cuts = [np.r_[0, e, len(u)] for e, u in zip(ends, sets)]
+    return sum(_shared([u[c[r]:c[r + 1]] for u, c in zip(sets, cuts)]) for r in range(ranges))
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections; tokens of one set only are left out, the dense matrix
     of the others is made in slices of at most ``CELLS`` cells."""
     owner = np.repeat(np.arange(len(sets)), [len(u) for u in sets])
@@ -240,9 +253,10 @@ def verify(batches):
                                          names=["rid", "links", "root"])
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """node, comp (its least node) of every node of an edge list (u, v), by alternating
-    large-star and small-star steps; each round is a stored table."""
+    large-star and small-star steps until nothing changes; each round is a stored table.
+    The steps needed grow with the logarithm of the nodes; past ``rounds`` of them it raises."""
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(rounds):
@@ -257,14 +271,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not stable after {rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
     return stored(stars.unionByName(stars.select(F.col("comp").alias("node"), "comp")).distinct())
 
 
-def _blocked(rows: DataFrame, group: str, count: str, keep: list[str]) -> DataFrame:
-    """``rows`` with (group, bi, bj): each pair of blocks of a group meets in one place."""
-    nb = F.ceil(F.col(count) / F.lit(BLOCK)).cast("int")
-    r = rows.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
+def _blocked(rows: DataFrame, group: str, blocks, keep: list[str]) -> DataFrame:
+    """``rows`` with (group, bi, bj), a group dealt into ``blocks`` (a column): each pair of
+    blocks of a group meets in one place."""
+    r = rows.withColumn("nb", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     r = r.select(group, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rid", *keep)
     return r.repartition(group, "bi", "bj").sortWithinPartitions(group, "bi", "bj", "rid")
@@ -281,33 +297,31 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
         .withColumn("rid", F.monotonically_increasing_id()))
 
-    # buckets: level by level, only what is too large goes on
+    # buckets: a path of one token, of two where the first is shared by too many
     leaves = reps.select("rid", F.explode("paths").alias("p")).select("rid", "p.p1", "p.p2")
-    one = leaves.select("p1", "rid").distinct()
-    n1 = stored(one.groupBy("p1").agg(F.count("*").alias("size")).where("size > 1"))
-    first = one.join(n1.where(F.col("size") <= SMALL), "p1").select(F.col("p1").alias("bucket"), "rid", "size")
-    two = leaves.join(n1.where(F.col("size") > SMALL).select("p1"), "p1", "left_semi").select("p2", "rid").distinct()
-    n2 = two.groupBy("p2").agg(F.count("*").alias("size")).where("size > 1")
-    second = two.join(n2, "p2").select(F.col("p2").alias("bucket"), "rid", "size")
-    members = first.unionByName(second).join(reps.select("rid", "sketch"), "rid")
-    edges = _blocked(members, "bucket", "size", ["sketch"]).mapInArrow(sketch_edges, "u bigint, v bigint")
+    n1 = stored(leaves.select("p1", "rid").distinct().groupBy("p1").agg(F.count("*").alias("size")).where("size > 1"))
+    rows = leaves.join(n1, "p1").select("rid", F.when(F.col("size") <= SMALL, F.col("p1")).otherwise(F.col("p2")).alias("bucket")).distinct()
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = rows.join(sizes, "bucket").join(reps.select("rid", "sketch"), "rid")
+    edges = _blocked(members, "bucket", F.ceil(F.col("size") / BLOCK), ["sketch"]).mapInArrow(sketch_edges, "u bigint, v bigint")
     groups = components(edges)
 
     # exact comparison inside the candidate groups, on sets read anew from the texts
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
-    wanted = stored(groups.join(sizes, "comp").withColumnRenamed("node", "rid").join(reps.select("rid", "weight", "pick"), "rid")
-                    .select("rid", "comp", "size", "weight", F.col("pick.doc_id").alias("__id"), F.col("pick.th").alias("__th")))
+    found = groups.withColumnRenamed("node", "rid").join(reps.select("rid", "weight", "pick", "n"), "rid")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("bigint").alias("blocks")
+    wanted = stored(found.join(found.groupBy("comp").agg(blocks), "comp")
+                    .select("rid", "comp", "blocks", "weight", F.col("pick.doc_id").alias("__id"), F.col("pick.th").alias("__th")))
     texts = docs.select(col(id_col).alias("doc_id"), row_hash(col(text_col)).alias("th"), col(text_col).cast("string").alias("text"))
     texts = texts.join(checked_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
-    hashed = texts.select("comp", "size", "rid", "weight", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    hashed = texts.select("comp", "blocks", "rid", "weight", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
 
     def to_sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([u.tobytes() for u in _sets(b.column(4))], pa.binary())],
-                                             names=["comp", "size", "rid", "weight", "tokens"])
+                                             names=["comp", "blocks", "rid", "weight", "tokens"])
 
-    sets = hashed.mapInArrow(to_sets, "comp bigint, size bigint, rid bigint, weight bigint, tokens binary")
-    checked = stored(_blocked(sets, "comp", "size", ["block", "weight", "tokens"])
+    sets = hashed.mapInArrow(to_sets, "comp bigint, blocks bigint, rid bigint, weight bigint, tokens binary")
+    checked = stored(_blocked(sets, "comp", F.col("blocks"), ["block", "weight", "tokens"])
                      .mapInArrow(verify, "rid bigint, links bigint, root bigint"))
     classes = components(checked.where("rid <> root").select(F.col("rid").alias("u"), F.col("root").alias("v")))
     links = checked.groupBy("rid").agg(F.sum("links").alias("links"))
