@@ -15,8 +15,9 @@ Counts are summed across shards in three steps, each with what the one before ha
 3. phrases of three and more words in an index of the stretches whose pairs all were
    found often enough.
 
-No phrase of ``min_count`` occurrences is lost, since none of its parts is rarer.  Ids of words
-are those of the stored table of frequent words, so rows between the steps are numbers.
+No phrase of ``min_count`` occurrences is lost, since none of its parts is rarer.  Between the
+steps a phrase is the ids of its words, and a shard's counts travel in packed rows, one for
+each bucket of phrases by hash; as many buckets as keep the counts that meet in one bounded.
 
 Defined results: a null text is empty; a null language is ``und``; an empty table gives no
 row; equal rows all count; scores are exact (decimal products, integer division); ranks of a
@@ -30,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import global_index
 from .common import bounded_batches, checked_broadcast, col, stored
 
 MIN_COUNT = 100
@@ -37,6 +39,7 @@ MAX_WORDS = 5
 TOP = 2000
 NO_LANG = "und"
 SHARD_WORDS = 2_000_000
+BUCKET_WORDS = 2_000_000
 SALTS = 64
 
 #: A-Z to lower case, ends of pieces to \n, tab to blank
@@ -204,19 +207,69 @@ def _ints(column, kind=np.int64) -> np.ndarray:
     return column.to_numpy().astype(kind)
 
 
-PAIRS = "shard long, p long, s long, n long, state binary, ids binary"
+def _packed(cols: list[np.ndarray]) -> bytes:
+    """int64 columns of one length, sorted by the first: its steps and the other columns, byte by
+    byte, compressed."""
+    first = np.diff(cols[0], prepend=0)
+    raw = b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in [first, *cols[1:]])
+    return len(cols[0]).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def pairs_of_shard(tokens: pa.Table, frequent: pa.Table) -> pa.Table:
-    """The pairs (p, s) of frequent words of one shard with their counts, and one row that
-    holds what is left of its sequence (numbers of the frequent words, their ids)."""
-    kinds = [("shard", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("state", pa.binary()), ("ids", pa.binary())]
+def _unpacked(b: bytes, width: int) -> list[np.ndarray]:
+    n = int.from_bytes(b[:8], "little")
+    raw = pa.decompress(b[8:], decompressed_size=8 * n * width, codec="zstd", asbytes=True)
+    cols = [np.ascontiguousarray(np.frombuffer(raw[8 * n * k:8 * n * (k + 1)], np.uint8).reshape(8, n).T).view("<i8").ravel() for k in range(width)]
+    return [np.cumsum(cols[0]), *cols[1:]]
+
+
+def _cells(cols: list[np.ndarray], keys: int, buckets: int):
+    """(bucket, packed rows): the rows dealt to buckets by a hash of their first ``keys`` columns."""
+    h = np.zeros(len(cols[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in cols[:keys]:
+            h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort([*cols[:keys][::-1], bucket])
+    at = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
+    for a, z in zip(at, np.r_[at[1:], len(order)]):
+        rows = order[a:z]
+        yield int(bucket[rows[0]]), _packed([c[rows] for c in cols])
+
+
+def _summed(cols: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a row of each distinct key, number of the key of each row, summed counts)."""
+    if len(cols) == 2 and max(int(c.max(initial=0)) for c in cols) < 2**31:
+        order = np.argsort((cols[0] << 32) | cols[1], kind="stable")
+    else:
+        order = np.lexsort(cols[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in cols:
+        s = c[order]
+        new[1:] |= s[1:] != s[:-1]
+    key = np.empty(len(order), np.int64)
+    key[order] = np.cumsum(new) - 1
+    return order[new], key, np.bincount(key, weights=n, minlength=int(new.sum())).astype(np.int64)
+
+
+PAIRS = [("shard", pa.int64()), ("bucket", pa.int64()), ("cell", pa.binary()), ("state", pa.binary()), ("ids", pa.binary())]
+
+
+def _table(kinds: list, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+
+def pairs_of_shard(tokens: pa.Table, frequent: pa.Table, buckets: int) -> pa.Table:
+    """The pairs of frequent words of one shard with their counts, a packed row for each
+    bucket of pairs, and one row that holds what is left of its sequence (numbers of the
+    frequent words, their ids)."""
     if not tokens.num_rows or not frequent.num_rows:
-        return pa.Table.from_arrays([pa.array([], t) for _, t in kinds], names=[n for n, _ in kinds])
+        return _table(PAIRS, [])
     shard = tokens.column("shard")[0].as_py()
     x = _unpack(tokens.column("tokens")[0].as_py())
     local, ids = _ints(frequent.column("local")), _ints(frequent.column("gid"))
-    by = np.argsort(ids, kind="stable")              # any fixed order; the rows come in none
+    by = np.argsort(ids, kind="stable")              # the rows come in no order
     local, ids = local[by], np.r_[np.int64(-1), ids[by]]
     number = np.zeros(max(int(x.max(initial=0)), int(local.max())) + 1, np.int32)
     number[local] = np.arange(1, len(local) + 1)
@@ -224,12 +277,30 @@ def pairs_of_shard(tokens: pa.Table, frequent: pa.Table) -> pa.Table:
     x = x[(x > 0) | (np.r_[np.int32(1), x[:-1]] > 0)]        # one 0 between stretches
     index = WordIndex(x, 2)
     words = index.single()
-    two = index.extended(words, "left") if len(words.size) else None
-    n = len(two.size) if two else 0
-    w = two.words if two else np.zeros((0, 2), np.int64)
-    return pa.Table.from_arrays([
-        pa.array(np.full(n + 1, shard)), pa.array(np.r_[ids[w[:, 0]], -1]), pa.array(np.r_[ids[w[:, 1]], -1]), pa.array(np.r_[two.size if two else [], 0].astype(np.int64)),
-        pa.array([None] * n + [_pack(x)], pa.binary()), pa.array([None] * n + [ids.tobytes()], pa.binary())], names=[k for k, _ in kinds])
+    rows = [(shard, None, None, _pack(x), ids.tobytes())]
+    if len(words.size):
+        two = index.extended(words, "left")
+        rows += [(shard, b, cell, None, None) for b, cell in _cells([ids[two.words[:, 0]], ids[two.words[:, 1]], two.size], 2, buckets)]
+    return _table(PAIRS, rows)
+
+
+KNOWN = [("part", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("f", pa.int64()), ("known", pa.binary())]
+
+
+def frequent_pairs(cells: pa.Table, min_count: int) -> pa.Table:
+    """One bucket of pairs summed over its shards: a row (p, s, f) for each frequent pair, and a
+    packed row for each shard with those it holds."""
+    parts = [_unpacked(c.as_py(), 3) for c in cells.column("cell")]
+    p, s, n = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    shard = np.repeat(_ints(cells.column("shard")), [len(x[0]) for x in parts])
+    first, key, total = _summed([p, s], n)
+    rows = [(None, int(p[i]), int(s[i]), int(t), None) for i, t in zip(first, total) if t >= min_count]
+    good = total[key] >= min_count
+    p, s, shard = p[good], s[good], shard[good]
+    order = np.lexsort((s, p, shard))
+    at = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]) if len(order) else []
+    rows += [(int(shard[order[a]]), None, None, None, _packed([p[order[a:z]], s[order[a:z]]])) for a, z in zip(at, np.r_[at[1:], len(order)])]
+    return _table(KNOWN, rows)
 
 
 def stretches(x: np.ndarray, ids: np.ndarray, p: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -256,26 +327,39 @@ def stretches(x: np.ndarray, ids: np.ndarray, p: np.ndarray, s: np.ndarray) -> n
     return out
 
 
-def phrases_of_shard(state: pa.Table, pairs: pa.Table, max_words: int) -> pa.Table:
-    """Phrases of three and more words of one shard: w1.. (-1 after the last), n."""
-    names = [f"w{k}" for k in range(1, max_words + 1)] + ["n"]
-    parts = []
-    if state.num_rows and pairs.num_rows and max_words > 2:
-        x = _unpack(state.column("state")[0].as_py())
-        ids = np.frombuffer(state.column("ids")[0].as_py(), np.int64)
-        x = stretches(x, ids, _ints(pairs.column("p")), _ints(pairs.column("s")))
-        index = WordIndex(x, max_words)
-        now = index.single()
-        for length in range(2, max_words + 1):
-            if not len(now.size):
-                break
-            now = index.extended(now, "right" if length % 2 else "left")
-            if length > 2 and len(now.size):
-                w = np.full((len(now.size), max_words), -1, np.int64)
-                w[:, :length] = ids[now.words]
-                parts.append(np.c_[w, now.size])
-    rows = np.concatenate(parts) if parts else np.zeros((0, max_words + 1), np.int64)
-    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(max_words + 1)], names=names)
+CELLS = [("bucket", pa.int64()), ("cell", pa.binary())]
+
+
+def phrases_of_shard(state: pa.Table, known: pa.Table, max_words: int, buckets: int) -> pa.Table:
+    """Phrases of three and more words of one shard with their counts (ids, -1 after the
+    last), packed by bucket."""
+    if not state.num_rows or not known.num_rows or max_words < 3:
+        return _table(CELLS, [])
+    x = _unpack(state.column("state")[0].as_py())
+    ids = np.frombuffer(state.column("ids")[0].as_py(), np.int64)
+    pairs = [_unpacked(k.as_py(), 2) for k in known.column("known")]
+    x = stretches(x, ids, *(np.concatenate([q[k] for q in pairs]) for k in range(2)))
+    index = WordIndex(x, max_words)
+    now = index.single()
+    rows = []
+    for length in range(2, max_words + 1):
+        if not len(now.size):
+            break
+        now = index.extended(now, "right" if length % 2 else "left")
+        if length > 2 and len(now.size):
+            w = np.full((len(now.size), max_words), -1, np.int64)
+            w[:, :length] = ids[now.words]
+            rows += _cells([*w.T, now.size], max_words, buckets)
+    return _table(CELLS, rows)
+
+
+def frequent_phrases(cells: pa.Table, max_words: int, min_count: int) -> pa.Table:
+    """One bucket of phrases summed over its shards: w1.., f of the frequent ones."""
+    parts = [_unpacked(c.as_py(), max_words + 1) for c in cells.column("cell")]
+    cols = [np.concatenate([x[k] for x in parts]) for k in range(max_words + 1)]
+    first, _, total = _summed(cols[:-1], cols[-1])
+    good = total >= min_count
+    return pa.Table.from_arrays([pa.array(c[first[good]]) for c in cols[:-1]] + [pa.array(total[good])], names=[f"w{k}" for k in range(1, max_words + 1)] + ["f"])
 
 
 def counted_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
@@ -287,17 +371,21 @@ def counted_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     entries = made.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "e")).select(
         "shard", "lang", (F.col("k") + 1).alias("local"), F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
     totals = made.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("n"))
-    frequent = stored(entries.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
-                      .withColumn("gid", F.monotonically_increasing_id()))
+    frequent = entries.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
+    frequent = stored(global_index(frequent, [F.col("lang"), F.col("word")], "gid"))
     here = entries.join(checked_broadcast(frequent.select("lang", "word", "gid")), ["lang", "word"]).select(F.col("shard").alias("part"), "local", "gid")
-    first = stored(made.select("shard", "tokens").groupBy("shard").cogroup(here.groupBy("part")).applyInArrow(pairs_of_shard, PAIRS))
-    pairs = first.where("state is null").select("shard", "p", "s", "n")
-    two = stored(pairs.groupBy("p", "s").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count))
-    known = pairs.join(checked_broadcast(two.select("p", "s")), ["p", "s"]).select(F.col("shard").alias("part"), "p", "s")
+    # a bucket holds the counts of about BUCKET_WORDS occurrences
+    buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
+    first = stored(made.select("shard", "tokens").groupBy("shard").cogroup(here.groupBy("part")).applyInArrow(
+        lambda a, b: pairs_of_shard(a, b, buckets), "shard long, bucket long, cell binary, state binary, ids binary"))
+    second = stored(first.where("cell is not null").select("bucket", "shard", "cell").groupBy("bucket").applyInArrow(
+        lambda t: frequent_pairs(t, min_count), "part long, p long, s long, f long, known binary"))
+    two = second.where("part is null").select("p", "s", "f")
     w = [f"w{k}" for k in range(1, max_words + 1)]
-    rows = (first.where("state is not null").select("shard", "state", "ids").groupBy("shard").cogroup(known.groupBy("part"))
-            .applyInArrow(lambda a, b: phrases_of_shard(a, b, max_words), ", ".join(f"{c} long" for c in w) + ", n long"))
-    longer = rows.groupBy(*w).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    third = (first.where("state is not null").select("shard", "state", "ids").groupBy("shard")
+             .cogroup(second.where("part is not null").select("part", "known").groupBy("part"))
+             .applyInArrow(lambda a, b: phrases_of_shard(a, b, max_words, buckets), "bucket long, cell binary"))
+    longer = third.groupBy("bucket").applyInArrow(lambda t: frequent_phrases(t, max_words, min_count), ", ".join(f"{c} long" for c in [*w, "f"]))
     none = [F.lit(-1).cast("long").alias(c) for c in w[2:]]
     phrases = two.select(F.col("p").alias("w1"), F.col("s").alias("w2"), *none, "f").unionByName(longer)
     length = sum((F.col(c) >= 0).cast("int") for c in w)
