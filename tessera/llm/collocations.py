@@ -16,8 +16,9 @@ Counts are summed across shards in three steps, each with what the one before ha
    found often enough.
 
 No phrase of ``min_count`` occurrences is lost, since none of its parts is rarer.  Between the
-steps a phrase is the ids of its words, and a shard's counts travel in packed rows, one for
-each bucket of phrases by hash; as many buckets as keep the counts that meet in one bounded.
+steps a phrase is the ids of its words, and a shard's counts travel in arrays or packed rows, one for
+each bucket of words or phrases by hash; as many buckets as keep the counts that meet in one
+bounded.
 
 Defined results: a null text is empty; a null language is ``und``; an empty table gives no
 row; equal rows all count; scores are exact (decimal products, integer division); ranks of a
@@ -25,14 +26,15 @@ language are by score, count (both descending) and phrase (UTF-8 bytes).
 """
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import global_index
-from .common import bounded_batches, checked_broadcast, col, stored
+from .common import bounded_batches, col, stored
 
 MIN_COUNT = 100
 MAX_WORDS = 5
@@ -253,22 +255,66 @@ def _summed(cols: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[new], key, np.bincount(key, weights=n, minlength=int(new.sum())).astype(np.int64)
 
 
-PAIRS = [("shard", pa.int64()), ("bucket", pa.int64()), ("cell", pa.binary()), ("state", pa.binary()), ("ids", pa.binary())]
-
-
 def _table(kinds: list, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
-def pairs_of_shard(tokens: pa.Table, frequent: pa.Table, buckets: int) -> pa.Table:
+WORDS = [("bucket", pa.int64()), ("shard", pa.int64()), ("lang", pa.string()), ("locals", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
+FREQUENT = [("part", pa.int64()), ("gid", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("known", pa.binary())]
+
+
+def words_by_bucket(shard: int, lang: str, words: list[str], counts: list[int], buckets: int) -> list[tuple]:
+    """The words of one shard dealt to buckets by a hash: a row of ``WORDS`` for each."""
+    found: dict[int, tuple] = {}
+    for k, (w, n) in enumerate(zip(words, counts), 1):
+        row = found.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, ([], [], []))
+        for column, x in zip(row, (k, w, n)):
+            column.append(x)
+    return [(b, shard, lang, *row) for b, row in sorted(found.items())]
+
+
+def frequent_words(cells: pa.Table, min_count: int, buckets: int) -> pa.Table:
+    """One bucket of words summed over its shards: a row (gid, lang, word, f) for each frequent
+    word, and a packed row (gid, local number) for each shard with those it holds.  The
+    ids of all buckets together are nearly dense."""
+    lists = cells.column("words").to_pylist()
+    size = np.array([len(x) for x in lists])
+    words = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
+    langs = cells.column("lang").combine_chunks().dictionary_encode()
+    count = np.array([n for x in cells.column("counts").to_pylist() for n in x], np.int64)
+    local = np.array([n for x in cells.column("locals").to_pylist() for n in x], np.int64)
+    both = np.repeat(langs.indices.to_numpy().astype(np.int64), size) * len(words.dictionary) + words.indices.to_numpy()
+    key, code = np.unique(both, return_inverse=True)
+    total = np.bincount(code, weights=count, minlength=len(key)).astype(np.int64)
+    names = [(langs.dictionary[int(k) // len(words.dictionary)].as_py(), words.dictionary[int(k) % len(words.dictionary)].as_py()) if t >= min_count else None
+             for k, t in zip(key, total)]
+    good = sorted(np.flatnonzero(total >= min_count), key=lambda k: names[k])
+    bucket = cells.column("bucket")[0].as_py()
+    gid = np.full(len(names), -1, np.int64)
+    gid[good] = np.arange(len(good)) * buckets + bucket
+    rows = [(None, int(gid[k]), *names[k], int(total[k]), None) for k in good]
+    start = np.cumsum(size) - size
+    for shard, a, n in zip(cells.column("shard").to_pylist(), start, size):
+        g, here = gid[code[a:a + n]], local[a:a + n]
+        o = np.argsort(g[g >= 0], kind="stable")
+        if len(o):
+            rows.append((shard, None, None, None, None, _packed([g[g >= 0][o], here[g >= 0][o]])))
+    return _table(FREQUENT, rows)
+
+
+PAIRS = [("shard", pa.int64()), ("bucket", pa.int64()), ("cell", pa.binary()), ("state", pa.binary()), ("ids", pa.binary())]
+
+
+def pairs_of_shard(tokens: pa.Table, known: pa.Table, buckets: int) -> pa.Table:
     """The pairs of frequent words of one shard with their counts, a packed row for each
     bucket of pairs, and one row that holds what is left of its sequence (numbers of the
     frequent words, their ids)."""
-    if not tokens.num_rows or not frequent.num_rows:
+    if not tokens.num_rows or not known.num_rows:
         return _table(PAIRS, [])
     shard = tokens.column("shard")[0].as_py()
     x = _unpack(tokens.column("tokens")[0].as_py())
-    local, ids = _ints(frequent.column("local")), _ints(frequent.column("gid"))
+    cells = [_unpacked(k.as_py(), 2) for k in known.column("known")]
+    ids, local = (np.concatenate([c[k] for c in cells]) for k in range(2))
     by = np.argsort(ids, kind="stable")              # the rows come in no order
     local, ids = local[by], np.r_[np.int64(-1), ids[by]]
     number = np.zeros(max(int(x.max(initial=0)), int(local.max())) + 1, np.int32)
@@ -368,14 +414,21 @@ def counted_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     occur ``min_count`` times."""
     bounded_batches(docs.sparkSession)
     made = stored(shards(docs, text_col, lang_col, shard_words))
-    entries = made.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "e")).select(
-        "shard", "lang", (F.col("k") + 1).alias("local"), F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
     totals = made.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("n"))
-    frequent = entries.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
-    frequent = stored(global_index(frequent, [F.col("lang"), F.col("word")], "gid"))
-    here = entries.join(checked_broadcast(frequent.select("lang", "word", "gid")), ["lang", "word"]).select(F.col("shard").alias("part"), "local", "gid")
     # a bucket holds the counts of about BUCKET_WORDS occurrences
     buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
+
+    def split(batches):
+        for b in batches:
+            for shard, lang, words, counts in zip(*[c.to_pylist() for c in b.columns]):
+                rows = words_by_bucket(shard, lang, words, counts, buckets)
+                yield from _table(WORDS, rows).to_batches()
+
+    cells = made.select("shard", "lang", "words", "counts").mapInArrow(split, "bucket long, shard long, lang string, locals array<long>, words array<string>, counts array<long>")
+    vocabulary = stored(cells.groupBy("bucket").applyInArrow(lambda t: frequent_words(t, min_count, buckets),
+                                                             "part long, gid long, lang string, word string, f long, known binary"))
+    frequent = vocabulary.where("part is null").select("gid", "lang", "word", "f")
+    here = vocabulary.where("part is not null").select("part", "known")
     first = stored(made.select("shard", "tokens").groupBy("shard").cogroup(here.groupBy("part")).applyInArrow(
         lambda a, b: pairs_of_shard(a, b, buckets), "shard long, bucket long, cell binary, state binary, ids binary"))
     second = stored(first.where("cell is not null").select("bucket", "shard", "cell").groupBy("bucket").applyInArrow(

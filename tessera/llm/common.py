@@ -5,6 +5,7 @@ so further columns of the input (whatever they are called) are never touched.
 """
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 
@@ -37,13 +38,37 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store, whatever file system that is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``stored`` writes inside the block are removed at its end: for callers that have
+    written what they want of them."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps neither recompute
     it nor depend on the executors that made it.  Its files also give the planner a
-    true size, so small tables are broadcast by Spark's own size check."""
+    true size, so small tables are broadcast by Spark's own size check.  They stay until the
+    ``scratch`` block around them ends; without one they are the caller's to remove."""
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), "tessera-llm", uuid.uuid4().hex)
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,11 +5,13 @@ other characters is one space), hashed into ``2**BITS`` cells, damped by
 ``1 + log(count)``, weighted by inverse document frequency and normalised.  Each
 language has up to ``clusters`` centroids (spherical k-means); a text gets the language
 of the centroid with the largest cosine, which is also its score.  A text further from
-its centroid than the language's ``reject`` quantile of training distances is marked
+its centroid than the ``reject`` quantile of the language's training distances is marked
 ``rejected``; the nearest language is still reported.
 
 The fit reads at most about ``per_lang`` labelled rows of each language, chosen by a hash
-of id and text (the documented bound of the sample); prediction reads whole texts.
+of id and text (the documented bound of the sample); prediction reads whole texts.  The
+centroids are a stored table, sent to the tasks in shards of at most ``SHARD_LANGS`` languages, one
+scan of the texts per shard; the nearest of all shards counts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with
 a null language are never learned from; without any learned language every row is
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, col, stored
+from .common import bounded_batches, checked_broadcast, col, stored
 
 BITS = 13
 PER_LANG = 600
 CLUSTERS = 4
 ROUNDS = 8
-MAX_LANGS = 2000                                     # bound of the broadcast: languages x clusters x 2**BITS cells
+SHARD_LANGS = 256                                    # languages whose centroids go to the tasks at once: 32 MB at four clusters
 _CELLS = 1 << BITS
 _LETTER: np.ndarray | None = None
 
@@ -106,7 +108,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                         F.pmod(F.xxhash64(F.lit(8), col(id_col), col(text_col)), F.lit(1 << 30)).alias("u")).where("lang is not null and text is not null")
     share = (rows.groupBy("lang").count()
              .select("lang", (F.lit(float(per_lang)) / F.col("count") * (1 << 30)).alias("below")))
-    sample = rows.join(F.broadcast(share.orderBy("lang").limit(MAX_LANGS)), "lang").where("u < below")
+    sample = rows.join(checked_broadcast(stored(share)), "lang").where("u < below")
 
     def encode(batches):
         for b in batches:
@@ -133,42 +135,70 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
             full[i] = _vector(dense, idf)
         full = full[np.lexsort(full[:, :8].T)]       # an order that does not depend on the partitioning
         c, sims = _centroids(full, clusters)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.tolist() for x in c],
-                             "least": float(np.quantile(sims, 1 - reject))})
+        c = c[np.lexsort(c.T[::-1])]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroids": [c.astype("<f4").tobytes()], "least": float(np.quantile(sims, 1 - reject))})
 
-    got = vectors.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, least double").collect()
-    got = sorted(got, key=lambda r: (r["lang"], r["centroid"]))
-    return {"idf": idf, "langs": [r["lang"] for r in got], "least": [r["least"] for r in got],
-            "centroids": np.array([r["centroid"] for r in got], np.float32).reshape(len(got), _CELLS)}
+    table = stored(vectors.groupBy("lang").applyInPandas(cluster, "lang string, centroids binary, least double"))
+    return {"idf": idf, "table": table, "langs": table.count()}
 
 
-def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _nearest(text: str | None, m: dict) -> tuple[int, float]:
+    """Number of the nearest centroid and its cosine; (-1, 0) for a text without letters."""
+    c = gram_counts(text)
+    if c is None or not len(m["of"]):
+        return -1, 0.0
+    at = np.flatnonzero(c)
+    v = (1 + np.log(c[at])) * m["idf"][at]
+    norm = np.linalg.norm(v)
+    sims = m["centroids"][:, at] @ (v / norm if norm > 0 else v).astype(np.float32)
+    k = int(np.argmax(sims))
+    return k, float(sims[k])
+
+
+def _shard(model: dict, k: int, shards: int) -> dict:
+    """The centroids of one shard of languages, languages and centroids in order."""
+    rows = model["table"].where(F.pmod(F.xxhash64("lang"), F.lit(shards)) == k).collect() if model["langs"] else []
+    rows.sort(key=lambda r: r["lang"])
+    each = [np.frombuffer(r["centroids"], "<f4").reshape(-1, _CELLS) for r in rows]
+    return {"idf": model["idf"], "langs": [r["lang"] for r in rows], "least": [r["least"] for r in rows],
+            "of": np.repeat(np.arange(len(rows)), [len(c) for c in each]).tolist(),
+            "centroids": np.concatenate(each) if each else np.zeros((0, _CELLS), np.float32)}
+
+
+def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", shard_langs: int = SHARD_LANGS) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) and rejected for every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shards = max(1, -(-model["langs"] // shard_langs))
     src = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
 
-    def run(batches):
-        m = shared.value
-        for b in batches:
-            lang, score, rejected = [], [], []
-            for text in b.column(1).to_pylist():
-                c = gram_counts(text)
-                if c is None or not m["langs"]:
-                    lang.append("und"), score.append(0.0), rejected.append(True)
-                    continue
-                at = np.flatnonzero(c)
-                v = (1 + np.log(c[at])) * m["idf"][at]
-                norm = np.linalg.norm(v)
-                sims = m["centroids"][:, at] @ (v / norm if norm > 0 else v).astype(np.float32)
-                k = int(np.argmax(sims))
-                lang.append(m["langs"][k]), score.append(round(min(1.0, max(0.0, float(sims[k]))), 6))
-                rejected.append(bool(sims[k] < m["least"][k]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                                              pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
-
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    def scanner(shared):
+        def run(batches):
+            m = shared.value
+            for b in batches:
+                lang, score, rejected = [], [], []
+                for text in b.column(1).to_pylist():
+                    k, s = _nearest(text, m)
+                    lang.append("und" if k < 0 else m["langs"][m["of"][k]])
+                    score.append(round(min(1.0, max(0.0, s)), 6))
+                    rejected.append(k < 0 or bool(s < m["least"][m["of"][k]]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                                                  pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+        return run
+
+    schema = "doc_id {}, lang_pred string, score double, rejected boolean"
+    kind = src.schema["doc_id"].dataType.simpleString()
+    if shards == 1:
+        return src.mapInArrow(scanner(spark.sparkContext.broadcast(_shard(model, 0, 1))), schema.format(kind))
+    keyed = stored(src.withColumn("row_key", F.monotonically_increasing_id()))
+    parts = None
+    for k in range(shards):
+        shared = spark.sparkContext.broadcast(_shard(model, k, shards))
+        p = stored(keyed.select(F.col("row_key").alias("doc_id"), "text").mapInArrow(scanner(shared), schema.format("bigint")))
+        shared.destroy()
+        parts = p if parts is None else parts.unionByName(p)
+    best = parts.groupBy(F.col("doc_id").alias("row_key")).agg(F.min(F.struct((-F.col("score")).alias("s"), "lang_pred", "score", "rejected")).alias("b"))
+    return keyed.select("row_key", "doc_id").join(best, "row_key").select("doc_id", "b.lang_pred", "b.score", "b.rejected")
 
 
 def held_out(id_col: Column) -> Column:

@@ -103,7 +103,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
                     weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target, taken and
-    copies; the size is counted anew in the same scan that filters by the threshold."""
+    copies (each behind ``mix_`` where the input has a column of that name); the size is counted
+    anew in the same scan that filters by the threshold."""
     sizes = stored(sized(docs, id_col, source_col, text_col))
     edge = stored(thresholds(sizes, targets(sizes, weights, share, cap)))
     named = {c: f"__mix_{c}" for c in edge.columns}
@@ -118,4 +119,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     d = d.withColumn("__mix_size", size).where("__mix_size > 0")
     extra = {"size": F.col("__mix_size"), "source_size": F.col("__mix_source_size"), "target": F.col("__mix_target"),
              "taken": F.col("__mix_size") * F.col("__mix_copies"), "copies": F.col("__mix_copies")}
-    return d.select(*[col(c) for c in docs.columns], *[v.alias(k) for k, v in extra.items() if k not in docs.columns])
+    # a column of the input keeps its name; the mix's own is then called mix_...
+    free = lambda k: k if k not in docs.columns else free("mix_" + k)
+    return d.select(*[col(c) for c in docs.columns], *[v.alias(free(k)) for k, v in extra.items()])

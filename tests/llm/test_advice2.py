@@ -48,7 +48,7 @@ def test_quality_catch_rates(spark):
     toxic = {r["doc_id"] for r in labels.where("toxic = 1").collect()} - bad
     lost, caught, seen = (sum(not ok[i] for i in x) / len(x) for x in (good, bad, toxic))
     print(f"lost {lost:.3f} of {len(good)}, caught {caught:.3f} of {len(bad)} bad, {seen:.3f} of {len(toxic)} toxic")
-    assert lost <= quality.LOSS and caught >= 0.75 and seen >= 0.25
+    assert lost <= quality.LOSS + quality.LOW_LOSS and caught >= 0.9 and seen >= 0.25
 
 
 def text_of(page):

@@ -1,4 +1,6 @@
 """Personal data, collocations and centroid clusters against brute force; edge frames."""
+import math
+import os
 import random
 import re
 from collections import Counter
@@ -7,8 +9,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tessera.llm import centroids, collocations, pii
+from tessera.llm import centroids, chat, collocations, common, htmltext, langid, mixing, pii, rules
 
 FINDER = pii.Finder()
 
@@ -184,3 +187,146 @@ def test_cluster_edges(spark):
     assert [tuple(r)[:5] for r in centroids.cluster(one)[0].collect()] == [(4, 0, 0, 0, 0)]
     with pytest.raises(Exception, match="too large"):
         centroids.cluster(spark.createDataFrame([(4, [1e9] * 64)], "vec_id long, embedding array<double>"))[0].count()
+
+
+# -- language ID by plain dictionaries ----------------------------------------------------------
+
+M32 = 0xFFFFFFFF
+
+
+def cells(text):
+    """Cell -> count, one character at a time."""
+    t, out = " ", Counter()
+    for c in (text or "").lower():
+        if c.isalpha():
+            t += c
+        elif t[-1] != " ":
+            t += " "
+    t += "" if t[-1] == " " else " "
+    two = []
+    for c in t:
+        out[(ord(c) * 0x9E3779B1 & M32) >> 32 - langid.BITS] += 1
+    for a, b in zip(t, t[1:]):
+        two.append((ord(a) * 0x85EBCA6B & M32) ^ (ord(b) * 0xC2B2AE35 + 0x27D4EB2F & M32))
+        out[(two[-1] * 0x9E3779B1 & M32) >> 32 - langid.BITS] += 1
+    for x, c in zip(two, t[2:]):
+        three = (x * 0x165667B1 & M32) ^ (ord(c) * 0xD3A2646C + 0xFD7046C5 & M32)
+        out[(three * 0x85EBCA77 & M32) >> 32 - langid.BITS] += 1
+    return out
+
+
+def test_languages_against_dictionaries(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    d = d.where("length(text) < 3000").withColumn("lang", F.concat("lang", F.lit("-"), (F.col("doc_id") % 3).cast("string")))
+    rows = [r for r in d.collect() if any(c.isalpha() for c in r["text"])]
+    model = langid.fit(d)
+    df = Counter(c for r in rows for c in cells(r["text"]))
+    idf = {c: math.log((1 + len(rows)) / (1 + n)) + 1 for c, n in df.items()}
+
+    def unit(v):
+        n = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / n for k, x in v.items()} if n else v
+
+    vector = {r["doc_id"]: unit({c: (1 + math.log(n)) * idf[c] for c, n in cells(r["text"]).items()}) for r in rows}
+    whole = langid._shard(model, 0, 1)
+    centroids = [(whole["langs"][k], dict(enumerate(c.tolist()))) for k, c in zip(whole["of"], whole["centroids"])]
+    cosine = lambda v, c: sum(x * c[k] for k, x in v.items())
+    # the centroids are the directions of the texts nearest to them
+    for lang in whole["langs"]:
+        own = [c for k, c in centroids if k == lang]
+        assert len(own) <= langid.CLUSTERS
+        groups = [Counter() for _ in own]
+        for r in rows:
+            if r["lang"] == lang:
+                v = vector[r["doc_id"]]
+                groups[max(range(len(own)), key=lambda j: cosine(v, own[j]))].update(v)
+        for g, c in zip(groups, own):
+            assert not g or cosine(unit(g), c) > 0.99
+    want = {}
+    for r in rows:
+        best = max(range(len(centroids)), key=lambda j: cosine(vector[r["doc_id"]], centroids[j][1]))
+        want[r["doc_id"]] = (centroids[best][0], cosine(vector[r["doc_id"]], centroids[best][1]))
+    ranked = {r["doc_id"]: sorted((cosine(vector[r["doc_id"]], c) for _, c in centroids), reverse=True)[:2] for r in rows}
+    for shard_langs in (256, 3):                             # one scan and several
+        got = {r["doc_id"]: r for r in langid.predict(d, model, shard_langs=shard_langs).collect()}
+        for i, (lang, s) in want.items():
+            assert abs(got[i]["score"] - s) < 1e-4
+            assert got[i]["lang_pred"] == lang or ranked[i][0] - ranked[i][1] < 1e-4
+
+
+def test_more_languages_than_a_shard(spark):
+    """Every language is learned, the last by name too."""
+    rows = [(k, f"{chr(0x4E00 + 7 * k) * 3} {chr(0x4E00 + 7 * k + 1) * 2}", f"l{k:03d}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    for n in (256, 7):
+        assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model, shard_langs=n).collect()} == {k: x for k, _, x in rows}
+
+
+# -- rule cascade, chat ties, mixed columns, scratch tables ------------------------------------------
+
+def test_kept_documents_agree_with_the_cascade(spark, edge, empty):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r["doc_id"] for r in rules.assess(d).where("kept").collect()}
+    for order in (None, list(reversed(rules.NEEDS))):
+        assert {r["doc_id"] for r in rules.kept_documents(d, order=order).collect()} == want
+    assert rules.kept_documents(edge).columns == edge.columns and rules.kept_documents(empty).count() == 0
+    order = rules.order_of(d)
+    assert sorted(order) == sorted(rules.NEEDS) and rules.order_of(d.repartition(5), sample_rows=50)
+
+
+def test_chat_ties_go_by_text(spark):
+    rows = [(1, 0, "user", "<|x"), (1, 0, "user", "<a"), (1, 1, "assistant", None)]
+    out = chat.parsed(chat.format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))).first()
+    assert [list(b["texts"]) for b in out["blocks"]] == [["<a", "<|x"], [""]]
+    long = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(20_000)], "conv_id int, turn int, role string, text string")
+    assert len(chat.parsed(chat.format_chats(long)).first()["blocks"][0]["texts"]) == 20_000
+
+
+def test_mix_keeps_its_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "mine")], "doc_id long, text string, source string, taken string")
+    out = mixing.mixed_documents(docs)
+    assert out.first()["taken"] == "mine" and out.first()["mix_taken"] == 2 and "copies" in out.columns
+
+
+def test_scratch_tables_go(spark):
+    with common.scratch(spark):
+        t = common.stored(spark.range(3))
+        path = t.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path))
+
+
+# -- pages: article text that must stay --------------------------------------------------------------
+
+def shown(page):
+    return htmltext.main_text(page, htmltext.weights({}))
+
+
+W = "several words of text that stand here for reading"
+
+
+@pytest.mark.parametrize("page,kept", [
+    (f"<article><p>one {W}</p><img alt=Bob's src=x><p>two {W}</p><p>it's three {W}</p></article>", ["one", "two", "three"]),
+    (f"<article><p>{W}</p><pre><code>x = 1 <span class=\"hljs-comment\"># the answer</span></code></pre><p>end {W}</p></article>", ["# the answer", "end"]),
+    (f"<article><p class=\"share-price\">prices rose {W}</p><div class=\"search-results-explained\"><p>how it works {W}</p></div></article>", ["prices rose", "how it works"]),
+    (f"<article><p>one {W}</p><script>var x = '<p>';</script foo><p>two {W}</p></article>", ["one", "two"]),
+    ("<article><h1>News</h1>" + "<div><img src=a.png></div>" * 12 + f"<p>story {W}</p></article>", ["News", "story"]),
+    (f"<div><p>first {W} {W}</p><ul>" + "".join(f"<li><a href=/{k}>link {k}</a></li>" for k in range(30)) + f"</ul><p>last {W} {W} {W} {W}</p></div>", ["first", "last"]),
+    (f"<article><p title=\"a>two {W}</p></article>", ["two"]),
+    (f"<article><a href=/x/>label</a><p>one {W}</p></article>", ["one"]),
+])
+def test_page_text_that_stays(page, kept):
+    text = shown(page)
+    assert all(k in text for k in kept) and "<" not in text.replace("<p>", "") and "title=" not in text, text
+
+
+def test_page_parts_that_go():
+    text = shown(f"<article><p>one {W}</p><div class='comment-list'><p>nice post</p></div><div class='related-posts'>more here</div>"
+                 f"<div class='ad'>buy</div><aside>side</aside><p>two {W}</p></article>")
+    assert "one" in text and "two" in text and not any(x in text for x in ("nice post", "more here", "buy", "side"))
+
+
+def test_page_depth_takes_linear_time():
+    for page in ("<div>" * 100_000 + "word", "<b>" * 100_000 + "</i>" * 1000 + "word", "<p><div>" + "<b>" * 50_000 + "<hr>" * 50_000):
+        shown(page)
