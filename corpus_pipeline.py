@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, linededup, mixing, quality
-from tessera.llm.common import col
+from tessera.llm.common import col, delete, scratch
 from tessera.session import ensure_checkpoint_dir
 
 
@@ -59,11 +59,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each one's result stored in the shared folder."""
+    """The stages applied to ``documents``, each one's result stored in the shared folder until
+    the next one is written."""
     folder = os.path.join(ensure_checkpoint_dir(spark), "corpus-pipeline", uuid.uuid4().hex)
-    docs = _table(spark, sf_dir, "documents")
+    docs, last = _table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):                         # a stage's own tables go with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return docs
