@@ -124,6 +124,29 @@ def lags_panel(df: DataFrame, start: int, end: int, features=None, only_target:
     return out.select(*keep, entity, date, *masked)
 
 
+def lags_long(df: DataFrame, start: int, features=None, only_target: bool = False, agg_func: str = "mean",
+              entity: str = "customer_id", date: str = "date", target: str = "target", keep: Sequence[str] = ()) -> DataFrame:   # L3
+    """The incremental lags in long layout, for panels of any length: (*keep, entity, date, lag,
+    {f}_lag) for every row of month ``start`` or later and every lag j with start + j before the
+    row's month; the value covers the entity's months up to start + j.  A row of the first
+    month has no lag and so no line.  Months are gathered per entity (one struct each)."""
+    feats = _features(features, only_target, target)
+    _check(agg_func)
+    cols = [f"{f}__{k}" for f in feats for k in ("s", "n", "lo", "hi")]
+    months = _partials(df, entity, date, feats).groupBy(entity).agg(F.collect_list(F.struct(F.col(date).alias("__m"), *cols)).alias("__p"))
+    rows = df.where(F.col(date) > start).select(*keep, entity, date).join(months, entity)
+    rows = rows.select(*keep, entity, date, "__p", F.explode(F.sequence(F.lit(0), (F.col(date) - start - 1).cast("int"))).alias("lag"))
+    known = F.filter("__p", lambda p: p["__m"] <= F.lit(start) + F.col("lag"))
+    rows = rows.select(*keep, entity, date, "lag", known.alias("__p"))
+
+    def value(f: str) -> Column:
+        total = lambda c: F.aggregate("__p", F.lit(0.0), lambda a, p: a + F.coalesce(p[c].cast("double"), F.lit(0.0)))
+        each = lambda c: F.transform("__p", lambda p: p[c])
+        return _finish(f, agg_func, total(f"{f}__s"), total(f"{f}__n"), F.array_min(each(f"{f}__lo")), F.array_max(each(f"{f}__hi")))
+
+    return rows.select(*keep, entity, date, "lag", *[value(f).alias(f"{f}_lag") for f in feats])
+
+
 def prepare_lags_data(train: DataFrame, test: DataFrame, start_train: int = 1, end_train: int = 11,
                       start_test: int = 12, end_test: int = 15, **kw) -> tuple[DataFrame, DataFrame]:   # L3
     return (lags_panel(train, start_train, end_train, **kw),

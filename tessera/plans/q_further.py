@@ -1,12 +1,13 @@
 """Nearest rows (N4), lexicon tables found anywhere in a text (F3, F9), blocks glued by
-position (J4, S8), losses read from file names (M14) and totally random trees (V10)."""
+position (J4, S8), losses read from file names (M14), totally random trees (V10) and lags of
+long panels (L3)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import textstats, tokens as T
 from ..functions.arrays import explode_rows
-from ..operators import corpus as C, knn
+from ..operators import corpus as C, knn, lags as L
 from ..operators.trees import random_trees
 from ..sources import files as IO
 from ..sources.tables import read_table
@@ -140,3 +141,19 @@ def v10_totally_random_trees(spark, sf_dir):
                                                  (F.col("p_partkey") % 17).alias("r"))
     out = random_trees(p, ["p_size", "price", "r"], n_trees=TREES, max_depth=DEPTH)
     return out.select("p_partkey", *[f"tree{t}" for t in range(TREES)])
+
+
+# --- L3: incremental lags of a panel of any length ------------------------------------------------------
+@register("l3_lags_long", """WITH p AS (SELECT o_orderkey, o_custkey AS customer_id, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 + 40 * (o_orderkey % 2) AS date,
+  o_totalprice AS target FROM orders),
+m AS (SELECT customer_id, date, max(target) AS hi FROM p GROUP BY customer_id, date),
+r AS (SELECT o_orderkey, customer_id, date, unnest(range(0, greatest(date - 60, 0))) AS lag FROM p WHERE date > 60)
+SELECT r.o_orderkey, r.customer_id, r.date, CAST(r.lag AS INTEGER) AS lag, max(m.hi) AS target_lag
+FROM r LEFT JOIN m ON m.customer_id = r.customer_id AND m.date <= 60 + r.lag GROUP BY ALL""")
+def l3_lags_long(spark, sf_dir):
+    """The running maximum up to every month from 60 on, one line per lag; by rule half of the
+    orders lie 40 months later, so the panel goes on past month 79."""
+    o = read_table(spark, sf_dir, "orders")
+    date = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1 + 40 * (F.col("o_orderkey") % 2)).cast("int")
+    panel = o.select("o_orderkey", F.col("o_custkey").alias("customer_id"), date.alias("date"), F.col("o_totalprice").alias("target"))
+    return L.lags_long(panel, 60, only_target=True, agg_func="max", keep=["o_orderkey"])

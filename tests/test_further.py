@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus as C, graph, knn, sequences as S
+from tessera.operators import corpus as C, graph, knn, lags as L, sequences as S
 from tessera.operators.trees import random_trees
 from tessera.sources import files as IO
 
@@ -142,3 +142,13 @@ def test_sequences_leave_the_broadcast_to_spark(spark):
     vocab = spark.createDataFrame([("a", 1)], "word string, index long")
     plan = S.texts_to_sequences(df, "id", "tok", vocab, num_words=10)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" not in plan
+
+
+def test_lags_past_any_month(spark):
+    rows = [(1, 0, 5.0), (1, 90, 7.0), (1, 95, 1.0), (2, 92, None), (2, 93, 3.0)]
+    df = spark.createDataFrame(rows, "customer_id int, date int, target double")
+    got = {(r["customer_id"], r["date"], r["lag"]): r["target_lag"] for r in L.lags_long(df, 90, only_target=True, agg_func="max").collect()}
+    assert got == {**{(1, 95, j): 7.0 for j in range(5)}, (2, 92, 0): None, (2, 92, 1): None, (2, 93, 0): None, (2, 93, 1): None, (2, 93, 2): None}
+    mean = {(r["customer_id"], r["date"], r["lag"]): r["target_lag"] for r in L.lags_long(df, 0, only_target=True).collect()}
+    assert mean[1, 95, 89] == 5.0 and mean[1, 95, 90] == 6.0 and len(mean) == 90 + 95 + 92 + 93
+    assert L.lags_long(df.where("date < 0"), 0, only_target=True).count() == 0
