@@ -51,3 +51,22 @@ def map_tokens_by_table(df: DataFrame, key: str, tokens: str, table: DataFrame,
             .withColumn(out_col, F.coalesce(F.transform("__s", lambda s: s["__r"]),
                                             F.array().cast("array<string>")))
             .drop("__s"))
+
+
+_PIECES = r"[^\x00-\x7F]+|[\x00-\x7F]+"
+
+
+def repair_text(df: DataFrame, key: str, text: str, transliterate: bool = False, out_col: str | None = None) -> DataFrame:   # P12
+    """``df`` with doubly encoded characters put back (and, with ``transliterate``, letters brought
+    to ASCII where Unicode decomposes them).  A text is cut into runs of ASCII and of other
+    characters; each distinct run of the latter is repaired once and only the changed ones are
+    joined back, to the texts that hold one.  Null texts stay null; ``key`` is unique."""
+    from ..functions.repair import ascii_letters, undoubled
+    out_col = out_col or text
+    pieces = F.regexp_extract_all(_col(text), F.lit(_PIECES), 0)
+    pos = posexplode_rows(df, [key], pieces, "__p", "__t").where(F.col("__t").rlike(r"^[^\x00-\x7F]"))
+    runs = pos.select("__t").distinct()
+    fixed = runs.select("__t", (ascii_letters if transliterate else undoubled)("__t").alias("__d")).where(F.col("__d") != F.col("__t"))
+    new = pos.join(fixed, "__t").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("__t", "__d"))).alias("__m"))
+    mended = F.array_join(F.transform(pieces, lambda t: F.coalesce(F.try_element_at("__m", t), t)), "")
+    return df.join(new, key, "left").withColumn(out_col, F.when(F.col("__m").isNull(), _col(text)).otherwise(mended)).drop("__m")

@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint, spread_width
@@ -147,7 +147,7 @@ def mlp_stacker(train: DataFrame, test: DataFrame, key: str, features, labels, h
 def feature_importances(model, features: Sequence[str], top: int = 25) -> DataFrame:   # O2
     """Importances of a fitted tree model as a DataFrame, top ``top`` by value.
     The vector has one entry per feature (a bounded, driver-sized object)."""
-    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession()
     imp = model.featureImportances.toArray().tolist()
     df = spark.createDataFrame(list(zip(features, [float(x) for x in imp])), "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(top)

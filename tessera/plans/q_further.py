@@ -157,3 +157,93 @@ def l3_lags_long(spark, sf_dir):
     date = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1 + 40 * (F.col("o_orderkey") % 2)).cast("int")
     panel = o.select("o_orderkey", F.col("o_custkey").alias("customer_id"), date.alias("date"), F.col("o_totalprice").alias("target"))
     return L.lags_long(panel, 60, only_target=True, agg_func="max", keep=["o_orderkey"])
+
+
+# --- E6: counted neighbourhoods -------------------------------------------------------------------------
+WINDOW, PPMI_SHIFT, PPMI_LEAST = 3, 2.0, 60
+CO_SQL = f"""tok AS (SELECT row_number() OVER () AS id, regexp_extract_all(lower(text), {WORD_SQL}, 0) AS t FROM conversations),
+pl AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM tok), d AS (SELECT unnest(range(1, {WINDOW + 1})) AS d),
+one AS (SELECT t[i] AS a, t[i + d] AS b, 6 // d AS n FROM pl, d WHERE i + d <= len(t)),
+co AS (SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT a, b, n FROM one UNION ALL SELECT b, a, n FROM one) GROUP BY a, b)"""
+
+
+def _cooccurrences(spark, sf_dir):
+    from ..operators import cooccurrence as W
+    return W.cooccurrences(read_table(spark, sf_dir, "conversations"), T.words("text"), WINDOW)
+
+
+@register("e6_cooccurrence", f"WITH {CO_SQL} SELECT a, b, n FROM co WHERE n >= 12")
+def e6_cooccurrence(spark, sf_dir):
+    """Distance-weighted neighbours of the conversations' words (in sixths), those of two and more."""
+    return _cooccurrences(spark, sf_dir).where("n >= 12")
+
+
+@register("e6_ppmi", f"""WITH {CO_SQL}, s AS (SELECT a, sum(n) AS s FROM co GROUP BY a HAVING sum(n) >= {PPMI_LEAST}),
+v AS (SELECT co.a, co.b, ln(n * (SELECT sum(s) FROM s)::DOUBLE / (x.s::DOUBLE * y.s)) - ln({PPMI_SHIFT}) AS p FROM co JOIN s x ON co.a = x.a JOIN s y ON co.b = y.a)
+SELECT a, b, round(p, 6) AS ppmi FROM v WHERE p > 0""")
+def e6_ppmi(spark, sf_dir):
+    """Shifted positive PMI of words whose neighbourhoods weigh ten and more."""
+    from ..operators import cooccurrence as W
+    return W.shifted_ppmi(_cooccurrences(spark, sf_dir), PPMI_SHIFT, PPMI_LEAST).select("a", "b", r6("ppmi").alias("ppmi"))
+
+
+@register("e6_ppmi_vectors")
+def e6_ppmi_vectors(spark, sf_dir):
+    """Word vectors of five dimensions from the PPMI table (directions: rows check)."""
+    from ..operators import cooccurrence as W
+    return W.word_vectors(W.shifted_ppmi(_cooccurrences(spark, sf_dir), PPMI_SHIFT, PPMI_LEAST), dim=5)
+
+
+# --- T11: tags in context -----------------------------------------------------------------------------------
+ARTICLES = ["the", "a", "la", "le", "der", "die", "de", "el"]
+ENDINGS = ["ed", "ing", "er", "en", "ar", "ment"]
+
+
+def _hmm_sql():
+    arts, ends = (", ".join(f"'{x}'" for x in xs) for xs in (ARTICLES, ENDINGS))
+    cost = lambda p: f"CAST(round(ln({p}) * 1000000) AS BIGINT)"
+    return f"""WITH RECURSIVE tok AS (SELECT conv_id * 1000 + turn AS id, role, regexp_extract_all(lower(text), {WORD_SQL}, 0) AS t FROM conversations),
+w AS (SELECT id, role, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i, t FROM tok),
+tg AS (SELECT id, i, w, CASE WHEN list_contains([{arts}], w) THEN 'A' WHEN i > 1 AND list_contains([{arts}], t[i - 1]) THEN 'N'
+  WHEN {' OR '.join(f"suffix(w, '{e}')" for e in ENDINGS)} THEN 'V' ELSE 'W' END AS tag FROM w WHERE role = 'user'),
+names AS (SELECT DISTINCT tag FROM tg), nt AS (SELECT count(*) AS n FROM names), nv AS (SELECT count(DISTINCT w) AS n FROM tg),
+st AS (SELECT coalesce(lag(tag) OVER (PARTITION BY id ORDER BY i), '') AS p, tag FROM tg),
+sc AS (SELECT p, tag, count(*) AS n FROM st GROUP BY p, tag), sp AS (SELECT p, sum(n) AS n FROM sc GROUP BY p),
+tr AS (SELECT a.p, b.tag, {cost('(coalesce(sc.n, 0) + 1) / (coalesce(sp.n, 0) + nt.n)::DOUBLE')} AS c
+  FROM (SELECT tag AS p FROM names UNION ALL SELECT '') a CROSS JOIN names b CROSS JOIN nt LEFT JOIN sc ON sc.p = a.p AND sc.tag = b.tag LEFT JOIN sp ON sp.p = a.p),
+tt AS (SELECT tag, count(*) AS n FROM tg GROUP BY tag), wc AS (SELECT w, tag, count(*) AS n FROM tg GROUP BY w, tag),
+em AS (SELECT x.w, tt.tag, {cost('(coalesce(wc.n, 0) + 1) / (tt.n + nv.n + 1)::DOUBLE')} AS c
+  FROM (SELECT DISTINCT w FROM w) x CROSS JOIN tt CROSS JOIN nv LEFT JOIN wc ON wc.w = x.w AND wc.tag = tt.tag),
+v(id, i, tag, s, path) AS (
+  SELECT w.id, w.i, em.tag, tr.c + em.c, [em.tag] FROM w JOIN em ON em.w = w.w JOIN tr ON tr.p = '' AND tr.tag = em.tag WHERE w.i = 1
+  UNION ALL
+  SELECT id, i, tag, m.s + c, list_append(m.path, tag) FROM (
+    SELECT w.id, w.i, em.tag, em.c, min(struct_pack(s := -(v.s + tr.c), p := v.tag, path := v.path)) AS b FROM v JOIN w ON w.id = v.id AND w.i = v.i + 1
+      JOIN em ON em.w = w.w JOIN tr ON tr.p = v.tag AND tr.tag = em.tag GROUP BY w.id, w.i, em.tag, em.c) x,
+    LATERAL (SELECT -b.s AS s, b.path AS path) m),
+best AS (SELECT v.id, min(struct_pack(s := -s, t := tag, path := path)).path AS path FROM v JOIN (SELECT id, max(i) AS n FROM w GROUP BY id) z ON z.id = v.id AND z.n = v.i GROUP BY v.id)
+SELECT tok.id, coalesce(array_to_string(path, ' '), '') AS tags FROM tok LEFT JOIN best ON best.id = tok.id"""
+
+
+@register("t11_tags_in_context", _hmm_sql())
+def t11_tags_in_context(spark, sf_dir):
+    """Tags of all turns by a model of the users' turns, which are tagged by a rule that looks at
+    the word before."""
+    from ..operators.tagging import fit_tagger, tag_in_context
+    turns = read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", T.words("text").alias("tokens"))
+    before = F.concat(F.array(F.lit("")), F.col("tokens"))
+    rule = F.transform(F.arrays_zip(F.col("tokens").alias("w"), F.slice(before, 1, F.size("tokens")).alias("p")), lambda x: F.when(x["w"].isin(ARTICLES), "A")
+                       .when(x["p"].isin(ARTICLES), "N").when(x["w"].rlike(f"({'|'.join(ENDINGS)})$"), "V").otherwise("W"))
+    model = fit_tagger(turns.where("role = 'user'").select("tokens", rule.alias("tags")))
+    return tag_in_context(turns, "id", "tokens", model).select("id", F.array_join("tags", " ").alias("tags"))
+
+
+# --- P12: text repair ------------------------------------------------------------------------------------------
+@register("p12_fix_unicode", "SELECT doc_id, text FROM documents")
+def p12_fix_unicode(spark, sf_dir):
+    """Texts of which a third is broken once and a third twice (UTF-8 read as Latin-1), repaired."""
+    from ..operators.lexicon import repair_text
+    broken = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    t = F.col("text")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, broken(t)).when(F.col("doc_id") % 3 == 1, broken(broken(t))).otherwise(t).alias("text"))
+    return repair_text(d, "doc_id", "text")
