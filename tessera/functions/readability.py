@@ -3,8 +3,8 @@
 Counts: sentences = runs of . ! ? (at least 1), words = whitespace tokens holding a
 letter, syllables = vowel groups per word (at least 1), letters = letters, polysyllables
 = words of 3+ syllables.  The published formulas are applied to those counts over
-the whole text.  Dale-Chall and difficult-words need an easy-word list and are left
-to a caller-supplied table.
+the whole text.  Dale-Chall and difficult words need a table of easy words and are in
+``operators/lexicon.py``.
 """
 from __future__ import annotations
 

@@ -70,3 +70,19 @@ def repair_text(df: DataFrame, key: str, text: str, transliterate: bool = False,
     new = pos.join(fixed, "__t").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("__t", "__d"))).alias("__m"))
     mended = F.array_join(F.transform(pieces, lambda t: F.coalesce(F.try_element_at("__m", t), t)), "")
     return df.join(new, key, "left").withColumn(out_col, F.when(F.col("__m").isNull(), _col(text)).otherwise(mended)).drop("__m")
+
+
+def difficult_words(df: DataFrame, key: str, text: str, easy: DataFrame, word_col: str = "word") -> DataFrame:   # F12
+    """(key, difficult_words, dale_chall_readability_score) by a caller's table of easy words: a
+    text's different words of two and more syllables that the table lacks, and the published
+    score over their share of the words.  Null score without words."""
+    from ..functions.readability import VOWELS, counts
+    from ..functions.tokens import words
+    hard = F.filter(F.array_distinct(words(text)), lambda w: F.size(F.regexp_extract_all(w, F.lit(VOWELS), 0)) >= 2)
+    found = posexplode_rows(df, [key], hard, "__p", "__w").join(easy.select(F.lower(word_col).alias("__w")).distinct(), "__w", "left_anti")
+    n = found.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    d = df.select(key, counts(text).alias("c")).join(n, key, "left").select(key, "c", F.coalesce("__n", F.lit(0)).cast("bigint").alias("difficult_words"))
+    w = F.col("c.words").cast("double")
+    share = 100.0 * F.col("difficult_words") / w
+    score = 0.1579 * share + 0.0496 * (w / F.col("c.sentences")) + F.when(share > 5, 3.6365).otherwise(0.0)
+    return d.select(key, "difficult_words", F.when(w > 0, score).alias("dale_chall_readability_score"))

@@ -247,3 +247,63 @@ def p12_fix_unicode(spark, sf_dir):
     t = F.col("text")
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, broken(t)).when(F.col("doc_id") % 3 == 1, broken(broken(t))).otherwise(t).alias("text"))
     return repair_text(d, "doc_id", "text")
+
+
+# --- F12: scores by a table of easy words --------------------------------------------------------------------
+@register("f12_difficult_words", f"""WITH tok AS (SELECT doc_id, text, regexp_extract_all(lower(text), {WORD_SQL}, 0) AS t FROM documents),
+easy AS (SELECT w FROM (SELECT unnest(t) AS w FROM tok) GROUP BY w HAVING count(*) >= 30),
+h AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(t) AS w FROM tok) WHERE len(regexp_extract_all(w, '[aeiouy]+', 0)) >= 2
+  AND w NOT IN (SELECT w FROM easy) GROUP BY doc_id),
+c AS (SELECT tok.doc_id, coalesce(n, 0) AS d, len(list_filter({ws_split('text')}, lambda w: regexp_matches(w, '\\p{{L}}')))::DOUBLE AS w,
+  greatest(1, len(regexp_extract_all(text, '[.!?]+', 0))) AS s FROM tok LEFT JOIN h USING (doc_id))
+SELECT doc_id, CAST(d AS BIGINT) AS difficult_words, round(CASE WHEN w > 0 THEN 0.1579 * (100.0 * d / w) + 0.0496 * (w / s)
+  + CASE WHEN 100.0 * d / w > 5 THEN 3.6365 ELSE 0.0 END END, 6) AS dale_chall_readability_score FROM c""")
+def f12_difficult_words(spark, sf_dir):
+    """Dale-Chall score and difficult words; easy are the words found 30 times and more."""
+    from ..operators.lexicon import difficult_words
+    d = read_table(spark, sf_dir, "documents")
+    easy = explode_rows(d, [], T.words("text"), "word").groupBy("word").count().where("count >= 30")
+    out = difficult_words(d, "doc_id", "text", easy)
+    return out.select("doc_id", "difficult_words", r6("dale_chall_readability_score").alias("dale_chall_readability_score"))
+
+
+# --- V6: topics of pairs ----------------------------------------------------------------------------------------
+TOPICS = 3
+
+
+def _topics_sql(steps: int = 2):
+    u = f"((('0x' || substr(md5('1337|' || term || '|' || z), 1, 13))::BIGINT::DOUBLE + 0.5) / {1 << 52}.0)"
+    toks = lambda c: f"regexp_extract_all(lower({c}), {WORD_SQL}, 0)"
+    even = f"SELECT DISTINCT id, z, 1.0 / {TOPICS} AS s FROM {{}}, zs"
+
+    def deal(c, shares, topics):
+        return (f"SELECT c.id, c.term, z, c.n * t.s * p.s / nullif(sum(t.s * p.s) OVER (PARTITION BY c.id, c.term), 0) AS r "
+                f"FROM {c} c JOIN {topics} p USING (term) JOIN {shares} t USING (id, z)")
+
+    share = lambda r: f"SELECT id, z, sum(r) / sum(sum(r)) OVER (PARTITION BY id) AS s FROM {r} GROUP BY id, z"
+    ctes = [f"zs AS (SELECT unnest(range({TOPICS})) AS z)",
+            "pr AS (SELECT a.conv_id * 1000 + a.turn AS id, a.text AS q1, b.text AS q2 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)",
+            f"c0 AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({toks('q1')} || {toks('q2')}) AS term FROM pr) GROUP BY id, term)",
+            f"p0 AS (SELECT term, z, {u} / sum({u}) OVER (PARTITION BY z) AS s FROM (SELECT DISTINCT term FROM c0), zs)", f"t0 AS ({even.format('c0')})"]
+    for k in range(steps):
+        ctes += [f"r{k} AS ({deal('c0', f't{k}', f'p{k}')})", f"t{k + 1} AS ({share(f'r{k}')})",
+                 f"p{k + 1} AS (SELECT term, z, sum(r) / sum(sum(r)) OVER (PARTITION BY z) AS s FROM r{k} GROUP BY term, z)"]
+    for q in ("q1", "q2"):
+        ctes += [f"c{q} AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({toks(q)}) AS term FROM pr) GROUP BY id, term)", f"{q}_0 AS ({even.format('c' + q)})"]
+        for k in range(steps):
+            ctes += [f"{q}_{k + 1} AS ({share('(' + deal('c' + q, f'{q}_{k}', f'p{steps}') + ')')})"]
+    out = ", ".join(f"round(coalesce((SELECT s FROM {q}_{steps} x WHERE x.id = pr.id AND x.z = {z}), 1.0 / {TOPICS}), 6) AS {n}_topic{z}"
+                    for q, n in (("q1", "one"), ("q2", "two")) for z in range(TOPICS))
+    return f"WITH {', '.join(ctes)} SELECT id, {out} FROM pr"
+
+
+@register("v6_topics", _topics_sql())
+def v6_topics(spark, sf_dir):
+    """Three topics fitted on both texts of a pair of turns by two steps from a drawn start, and the
+    topic shares of each text."""
+    from ..operators.topics import pair_topics
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("q2"))
+    pairs = conv.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("q1"), "q2")
+    out = pair_topics(pairs, "id", T.words("q1"), T.words("q2"), TOPICS, steps=2, method="md5")
+    return out.select("id", *[r6(c).alias(c) for c in out.columns if c != "id"])

@@ -134,3 +134,30 @@ def test_repair_examples(spark):
     got = {r["id"]: r["text"] for r in repair_text(df, "id", "text").collect()}
     assert got == {1: "für x ü", 2: None, 3: "plain", 4: "", 5: "für"}
     assert {r["id"]: r["t"] for r in repair_text(df, "id", "text", transliterate=True, out_col="t").collect()}[1] == "fur x u"
+
+
+def test_topics_part_two_vocabularies(spark):
+    from tessera.operators.topics import fit_topics, pair_topics, topic_shares
+    rnd = random.Random(2)
+    rows = [(k, [rnd.choice("abcd") for _ in range(20)] if k % 2 else [rnd.choice("wxyz") for _ in range(20)], [rnd.choice("abcd")] * 5 if k % 2 else []) for k in range(40)]
+    df = spark.createDataFrame([*rows, (90, [], None), (91, ["new"], ["q"])], "id int, one array<string>, two array<string>")
+    out = {r["id"]: r for r in pair_topics(df.where("id < 90"), "id", F.col("one"), F.col("two"), 2, steps=25).collect()}
+    side = {i: max((0, 1), key=lambda z: r[f"one_topic{z}"]) for i, r in out.items()}
+    assert len({side[i] for i in out if i % 2}) == 1 and len({side[i] for i in out if not i % 2}) == 1 and side[0] != side[1]
+    assert all(abs(r["one_topic0"] + r["one_topic1"] - 1) < 1e-9 for r in out.values())
+    assert out[0]["two_topic0"] == 0.5                       # no words: even shares
+    counts = df.select("id", F.explode("one").alias("term")).groupBy("id", "term").count().withColumnRenamed("count", "tf")
+    topics = fit_topics(counts.where("id < 90"), "id", 2, steps=3)
+    sums = topics.agg(F.sum("p0"), F.sum("p1")).first()
+    assert all(abs(x - 1) < 1e-9 for x in sums)
+    late = {r["id"]: (r["topic0"], r["topic1"]) for r in topic_shares(df, "id", F.col("one"), topics, steps=2).collect()}
+    assert late[90] == late[91] == (0.5, 0.5)
+
+
+def test_difficult_words(spark):
+    from tessera.operators.lexicon import difficult_words
+    df = spark.createDataFrame([(1, "Apple banana banana cat. Dog"), (2, ""), (3, None)], "id int, text string")
+    easy = spark.createDataFrame([("APPLE",)], "word string")
+    got = {r["id"]: (r["difficult_words"], r["dale_chall_readability_score"]) for r in difficult_words(df, "id", "text", easy).collect()}
+    assert got[1][0] == 1 and abs(got[1][1] - (0.1579 * 20 + 0.0496 * 5 + 3.6365)) < 1e-9
+    assert got[2] == (0, None) and got[3] == (0, None)
