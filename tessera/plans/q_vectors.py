@@ -331,7 +331,7 @@ def t12_spelling_correction(spark, sf_dir):
 
 @register("e7_embedding_random_init", f"""WITH {_vocab_sql(KERAS_SQL)}, {BENCH_VEC_SQL}
 SELECT v.idx AS "index", v.word, bv.vec IS NULL AS missing,
-  {', '.join(f"round(coalesce(bv.vec[{i + 1}], 0.020940498 + 0.6441043 * {keyed_normal_sql(1337, 'v.word', str(i))}), 4) + 0.0 AS v{i}" for i in range(4))}
+  {', '.join(f"round(coalesce(bv.vec[{i + 1}], (0.020940498 + 0.6441043 * {keyed_normal_sql(1337, 'v.word', str(i))})::REAL::DOUBLE), 4) + 0.0 AS v{i}" for i in range(4))}
 FROM voc v LEFT JOIN bv USING (word) WHERE v.idx < 5000""")
 def e7_embedding_random_init(spark, sf_dir):
     """Embedding rows for the vocabulary (indices below 5000) with seeded N(0.0209, 0.6441)
