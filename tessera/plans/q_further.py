@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textstats, tokens as T
 from ..functions.arrays import explode_rows
+from ..functions.treebank import treebank_sql
 from ..operators import corpus as C, knn, lags as L
 from ..operators.trees import random_trees
 from ..sources import files as IO
@@ -307,3 +308,33 @@ def v6_topics(spark, sf_dir):
     pairs = conv.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("q1"), "q2")
     out = pair_topics(pairs, "id", T.words("q1"), T.words("q2"), TOPICS, steps=2, method="md5")
     return out.select("id", *[r6(c).alias(c) for c in out.columns if c != "id"])
+
+
+# --- T1: Treebank tokens -----------------------------------------------------------------------------------------
+def _treebank_sql():
+    kind = "regexp_replace(regexp_replace(lower(t), '^[^\\p{L}\\p{N}]+', ''), '[^\\p{L}\\p{N}.]+$', '')"
+    like = lambda q: f"(dot * ln({q}) + (n - dot) * ln(1 - {q}))"
+    inner = "(length(word) - length(replace(word, '.', '')))"
+    return f"""WITH w AS (SELECT doc_id, unnest(x) AS t, unnest(range(len(x))) AS p FROM (SELECT doc_id, {ws_split('text')} AS x FROM documents)),
+k AS (SELECT *, {kind} AS k FROM w),
+c AS (SELECT regexp_replace(k, '\\.$', '') AS word, count(*) FILTER (suffix(k, '.')) AS dot, count(*) AS n FROM k WHERE k <> '' GROUP BY 1),
+tot AS (SELECT sum(dot)::DOUBLE / sum(n)::DOUBLE AS q FROM c),
+abbr AS (SELECT word FROM (SELECT word, (-2 * ({like('q')} - {like('0.99::DOUBLE')})) * exp(-(length(word) - {inner})::DOUBLE) * ({inner} + 1)
+  * pow((length(word) - {inner})::DOUBLE, -(n - dot)::DOUBLE) AS score FROM c, tot WHERE regexp_matches(word, '\\p{{L}}') AND dot > 0) WHERE score >= 0.3),
+e AS (SELECT k.*, regexp_extract(t, '([.!?]+)["''\\)\\]\\}}»”]*$', 1) AS e, abbr.word IS NOT NULL AS short,
+  regexp_matches(coalesce(lead(t) OVER (PARTITION BY doc_id ORDER BY p), ''), '^[^\\p{{L}}\\p{{N}}]*\\p{{Lu}}') AS capital
+  FROM k LEFT JOIN abbr ON suffix(k, '.') AND abbr.word = regexp_replace(k, '\\.$', '')),
+s AS (SELECT doc_id, p, t, CASE WHEN e = '' THEN 0 WHEN regexp_matches(e, '[!?]') THEN 1 WHEN length(e) > 1 THEN capital::INT
+  ELSE (NOT short AND NOT regexp_full_match(k, '\\p{{L}}\\.'))::INT END AS s FROM e),
+n AS (SELECT *, coalesce(sum(s) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM s),
+g AS (SELECT doc_id, no, string_agg(t, ' ' ORDER BY p) AS x FROM n GROUP BY doc_id, no),
+o AS (SELECT doc_id, string_agg(array_to_string({ws_split(treebank_sql('x'))}, ' '), ' ' ORDER BY no) AS tokens FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(tokens, '') AS tokens FROM documents d LEFT JOIN o USING (doc_id)"""
+
+
+@register("t1_treebank_tokens", _treebank_sql())
+def t1_treebank_tokens(spark, sf_dir):
+    """Treebank tokens of every text, sentence by sentence, abbreviations learned from all texts."""
+    from ..operators.sentences import tokenize_texts
+    d = read_table(spark, sf_dir, "documents")
+    return tokenize_texts(d, "doc_id", "text").select("doc_id", F.array_join("tokens", " ").alias("tokens"))
