@@ -64,3 +64,13 @@ def blends(preds: DataFrame, keys: Sequence[str], weights: Mapping, model_col: s
     """geo, harm and blend of every group, by one aggregate."""
     return preds.groupBy(*keys).agg(geometric_mean(pred).alias("geo"), harmonic_mean(pred).alias("harm"),
                                     weighted_mean(weights, model_col, pred).alias("blend"))
+
+
+def pick_target_columns(columns: Sequence[str], col: str = "toxic") -> list[str]:   # P16
+    """Names containing ``col`` (for 'toxic' without 'severe' ones), sorted."""
+    return sorted({c for c in columns if col in c and not (col == "toxic" and "severe" in c)})
+
+
+def feature_list(columns: Sequence[str], targets: Sequence[str]) -> list[str]:   # P17
+    """The columns that are no targets, sorted."""
+    return sorted(set(columns) - set(targets))

@@ -218,29 +218,18 @@ def target_engineering(df: DataFrame, target: str = "target", bin_width: float =
 
 # --- N15 ------------------------------------------------------------------------
 def duplicate_columns(df: DataFrame, key: str, cols: Sequence[str] | None = None) -> list[str]:
-    """Columns equal (null-safe) to an earlier column, on all rows.
-
-    One aggregate computes an order-free fingerprint per column - sum and xor of
-    xxhash64(key, value) - candidates with equal fingerprints are confirmed with one
-    more aggregate of null-safe inequalities.  ``key`` must be unique.
-    """
+    """The names that ``duplicate_columns_frame`` finds, sorted (at most one per column)."""
     cols = [c for c in (cols or df.columns) if c != key]
-    fp = df.select(*[F.struct(F.sum(F.xxhash64(F.col(key), F.col(c)) % 1000003),
-                              F.bit_xor(F.xxhash64(F.col(key), F.col(c)))).alias(c) for c in cols]).first()
-    groups: dict = {}
-    for c in cols:
-        groups.setdefault(tuple(fp[c]), []).append(c)
-    pairs = [(g[0], c) for g in groups.values() if len(g) > 1 for c in g[1:]]
-    if not pairs:
-        return []
-    checks = df.select(*[F.count_if(~F.col(a).cast("string").eqNullSafe(F.col(b).cast("string")))
-                         .alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return sorted({b for i, (a, b) in enumerate(pairs) if checks[f"p{i}"] == 0})
+    return sorted(r["column_name"] for r in duplicate_columns_frame(df, key, cols).collect())
 
 
 def duplicate_columns_frame(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """``duplicate_columns`` as a DataFrame (column_name) - the confirming aggregate is
-    unpivoted on the executors; only the fingerprint row reaches the driver."""
+    """(column_name): columns equal (null-safe) to an earlier column, on all rows.
+
+    One aggregate computes an order-free fingerprint per column - sum and xor of
+    xxhash64(key, value) - and candidates with equal fingerprints are confirmed with one
+    more aggregate of null-safe inequalities.  ``key`` must be unique; only the fingerprint row
+    reaches the driver."""
     cols = list(cols)
     fp = df.select(*[F.struct(F.sum(F.xxhash64(F.col(key), F.col(c)) % 1000003),
                               F.bit_xor(F.xxhash64(F.col(key), F.col(c)))).alias(c) for c in cols]).first()

@@ -13,7 +13,8 @@ from ..functions.arrays import explode_rows
 from ..operators import encoders as A, lexicon as LX
 from ..operators.graph import keyterm_scores
 from ..sources.tables import read_table
-from .catalog import register
+from . import q_vectors  # noqa: F401  (its twins are used below)
+from .catalog import ORACLE_SQL, register
 from .q_models import LABELS, MODELS
 from .sqlfrag import keyed_normal_sql, str_list, ws_split
 
@@ -185,19 +186,17 @@ def p16_p17_pick_target_columns(spark, sf_dir):
     from .q_models import _oof
     oof = _oof(spark, sf_dir).where(F.col("split") == "train")
     m = EN.stack_matrix(oof, "doc_id", LABELS, MODELS)
-    cols = pick_target_columns(m.columns, "toxic")
+    cols = EN.pick_target_columns(m.columns, "toxic")
     return m.select("doc_id", *[F.round(c, 6).alias(c) for c in cols])
 
 
-def pick_target_columns(columns, col: str = "toxic"):
-    """Names containing ``col`` (for 'toxic' also dropping 'severe' ones), sorted (P16);
-    the sorted set difference is the P17 helper."""
-    picked = [c for c in columns if col in c and not (col == "toxic" and "severe" in c)]
-    return sorted(set(picked))
-
-
-def feature_list(columns, targets):
-    return sorted(set(columns) - set(targets))
+@register("p17_feature_list", f"SELECT doc_id, comment_freq, num_alpha_0, num_words_0 FROM ({ORACLE_SQL['j4_feature_assembly']})")
+def p17_feature_list(spark, sf_dir):
+    """The assembled features without the targets, in sorted order."""
+    from ..operators import ensemble as EN
+    from .q_vectors import j4_feature_assembly
+    x = j4_feature_assembly(spark, sf_dir)
+    return x.select(*EN.feature_list(x.columns, LABELS))
 
 
 F15_SQL = f"""WITH RECURSIVE tok AS (
