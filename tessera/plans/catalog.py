@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from . import q_flagship, q_text, q_tabular  # noqa: F401
-    for mod in ("q_vectors", "q_models", "q_ml", "q_sources", "q_more", "q_edge", "q_degenerate", "q_further"):
+    for mod in ("q_vectors", "q_models", "q_ml", "q_sources", "q_more", "q_edge", "q_degenerate", "q_further", "q_boosting"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:  # modules added as coverage grows

@@ -90,3 +90,9 @@ def spread_width(spark: SparkSession) -> int:
     """Partitions for an explicit spread: the session's shuffle width, which the user
     sizes to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store, whatever file system that is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
