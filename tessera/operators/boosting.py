@@ -133,18 +133,18 @@ def _sums(columns: list) -> pa.RecordBatch:
 
 def _best_cuts(sums: DataFrame, l2: float, min_rows: int) -> DataFrame:
     """(model, node, best): the cut with the largest gain of every node, ties to the first feature
-    and bin.  A window holds the bins of one feature in one node."""
-    total = sums.groupBy("model", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"])
-    whole = Window.partitionBy("model", "node", "feature")
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    s = total.select("model", "node", "feature", "bin", *[F.sum(c).over(w).alias(n + c) for n, w in (("l", upto), ("t", whole)) for c in "ghn"])
-    real = lambda c: c.cast("double") / SCALE
-    part = lambda g, h: real(g) * real(g) / (real(h) + l2)
-    c = F.col
-    gain = part(c("lg"), c("lh")) + part(c("tg") - c("lg"), c("th") - c("lh")) - part(c("tg"), c("th"))
-    s = s.withColumn("loss", F.when(c("node") < 0, 0.0).when((c("ln") >= min_rows) & (c("tn") - c("ln") >= min_rows), -gain))
-    return (s.where((c("node") < 0) | (c("loss") < 0)).groupBy("model", "node")
-            .agg(F.min(F.struct("loss", "feature", "bin", "lg", "lh", "tg", "th", "tn")).alias("best")))
+    and bin.  A window holds the bins of one feature in one node.  Tasks hand over sums, which a
+    partial aggregate would not shorten, so one shuffle serves the totals and the windows."""
+    part = lambda g, h: f"({g}) / {SCALE}D * (({g}) / {SCALE}D) / (({h}) / {SCALE}D + {float(l2)}D)"
+    run = ", ".join(f"sum({c}) OVER upto AS l{c}, sum({c}) OVER one AS t{c}" for c in "ghn")
+    return sums.sparkSession.sql(f"""
+        WITH total AS (SELECT model, node, feature, bin, sum(g) AS g, sum(h) AS h, sum(n) AS n FROM {{sums}} GROUP BY ALL),
+        cut AS (SELECT model, node, feature, bin, {run} FROM total
+            WINDOW one AS (PARTITION BY model, node, feature), upto AS (PARTITION BY model, node, feature ORDER BY bin)),
+        scored AS (SELECT *, CASE WHEN node < 0 THEN 0D WHEN ln >= {int(min_rows)} AND tn - ln >= {int(min_rows)}
+            THEN -({part('lg', 'lh')} + {part('tg - lg', 'th - lh')} - {part('tg', 'th')}) END AS loss FROM cut)
+        SELECT model, node, min(struct(loss, feature, bin, lg, lh, tg, th, tn)) AS best FROM scored
+        WHERE node < 0 OR loss < 0 GROUP BY model, node""", sums=sums.repartition("model", "node", "feature"))
 
 
 def binned(df: DataFrame, key: str, models: Boosted) -> DataFrame:
