@@ -1,4 +1,4 @@
-"""Gradient boosted trees for every bag, fold and label in one pass per level (M4, M7, M8).
+"""Gradient boosted trees for every bag, fold and label in one pass per level (M4-M8, O2).
 
 Features become bins once.  A row carries its bins, its labels, its fold in each bag and one
 margin per model, so each level of one tree of *all* models is one scan: every task sums the
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import delete_folder, ensure_checkpoint_dir, spread_width
-from .folds import label_argmax, label_sum, stratified_kfold
+from .folds import holdout_split, label_argmax, label_sum, stratified_kfold
 from .models import label_features
 
 SCALE = 1 << 24
@@ -61,7 +61,7 @@ def _bins(features: Sequence[str], edges: Sequence[Sequence[float]]) -> Column:
         x = F.col(c).cast("double")
         below = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, e: n + (e < x).cast("int")) if cuts else F.lit(0)
         return F.when(x.isNull() | F.isnan(x), len(cuts) + 1).otherwise(below).cast("int")
-    return F.array(*[one(c, e) for c, e in zip(features, edges)])
+    return F.array(*[one(c, e) for c, e in zip(features, edges)] or [F.lit(0)])
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -155,7 +155,8 @@ def binned(df: DataFrame, key: str, models: Boosted) -> DataFrame:
 def fit_boosted(train: DataFrame, key: str, features: Sequence[str] | Mapping, labels: Sequence[str], n_folds: int = 5,
                 n_bags: int = 1, seed: int = 1337, rounds: int = 20, depth: int = 3, step: float = 0.1, l2: float = 1.0,
                 min_rows: int = 20, patience: int = 10, edges: Mapping[str, Sequence[float]] | None = None, n_bins: int = 32,
-                stratify: bool | str = True, method: str = "xxhash", store_every: int = 5) -> tuple[Boosted, DataFrame]:
+                stratify: bool | str = True, method: str = "xxhash", store_every: int = 5,
+                fold_cols: Sequence[str] | None = None) -> tuple[Boosted, DataFrame]:
     """Models of all bags, labels and folds, and the binned rows they were fitted on.
 
     A model is fitted on the rows outside its fold and keeps the round whose log loss on the fold
@@ -163,7 +164,9 @@ def fit_boosted(train: DataFrame, key: str, features: Sequence[str] | Mapping, l
     ``patience`` rounds after that.  It starts at the log odds of its rows, half a row added to
     either class, so a constant label or an empty table is sound.  Margins are stored every
     ``store_every`` rounds, so a scan walks few trees.  ``features``: a list, or a mapping as in
-    ``label_features``.  Null labels do not count for that label.
+    ``label_features``.  Null labels do not count for that label.  ``fold_cols``: the caller's
+    folds, a column per bag, instead of stratified ones; a row in none of ``n_folds`` folds is
+    fitted on by every model.
     """
     spark, labels = train.sparkSession, list(labels)
     by_label = [label_features(features, lab) for lab in labels]
@@ -172,12 +175,14 @@ def fit_boosted(train: DataFrame, key: str, features: Sequence[str] | Mapping, l
         raise ValueError("boosting takes at least one feature and one label")
     edges = edges or bin_edges(train, names, n_bins)
     cuts = [[float(v) for v in sorted(edges[c])] for c in names]
+    n_bags = len(fold_cols) if fold_cols else n_bags
     width, per, models = max((len(e) for e in cuts), default=0) + 2, n_folds, n_bags * len(labels) * n_folds
     allowed = [[names.index(c) for c in by_label[m // per % len(labels)]] for m in range(models)]
 
-    dealt = train.select(key, *[c for c in dict.fromkeys([*names, *labels]) if c != key])
+    dealt = train.select(key, *[c for c in dict.fromkeys([*names, *labels]) if c != key],
+                         *[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(f"__fold{b}") for b, c in enumerate(fold_cols or [])])
     stratum = label_argmax(labels) if stratify == "argmax" else label_sum(labels) if stratify else F.lit(0)
-    for b in range(n_bags):
+    for b in range(0 if fold_cols else n_bags):
         dealt = stratified_kfold(dealt, key, stratum, n_folds, seed + b, method, out_col=f"__fold{b}")
     y = F.array(*[F.coalesce(F.col(lab).cast("double"), F.lit(UNKNOWN)) for lab in labels])
     rows = dealt.select(F.col(key).alias("__key"), _bins(names, cuts).alias("__bins"), y.alias("__y"),
@@ -293,6 +298,22 @@ def boosted_fold_run(train: DataFrame, test: DataFrame | None, key: str, feature
     return out.select(F.col("__key").alias(key), "bag", "label", "fold", "split", "pred")
 
 
+def boosted_bag_run(train: DataFrame, test: DataFrame | None, key: str, features, labels, split_size: float = 0.2,
+                    seed: int = 1337, n_bags: int = 1, method: str = "xxhash", **how) -> DataFrame:   # M5
+    """A hold-out split per bag (seed + bag), a model per bag and label stopped by it:
+    (key, bag, label, split, pred) of the held-out (``valid``) and the test rows."""
+    held = [f"__held{b}" for b in range(n_bags)]
+    for b, c in enumerate(held):
+        train = holdout_split(train, key, split_size, seed + b, method, out_col=c).withColumn(c, F.when(F.col(c), 0).otherwise(-1))
+    out = boosted_fold_run(train, test, key, features, labels, n_folds=1, fold_cols=held, **how)
+    return out.select(key, "bag", "label", F.when(F.col("split") == "train", "valid").otherwise(F.col("split")).alias("split"), "pred")
+
+
+def full_boosted(train: DataFrame, key: str, features, labels, **how) -> Boosted:   # M6
+    """A model per label on all rows, all rounds kept."""
+    return fit_boosted(train.withColumn("__none", F.lit(-1)), key, features, labels, n_folds=1, fold_cols=["__none"], **how)[0]
+
+
 def model_table(spark: SparkSession, models: Boosted) -> DataFrame:
     """The nodes of all kept trees, the prior as round -1: (bag, label, fold, round, node,
     feature, cut, value, gain); ``cut`` is the largest value that goes left, null where only
@@ -312,6 +333,34 @@ def model_table(spark: SparkSession, models: Boosted) -> DataFrame:
     return spark.createDataFrame(out, "bag int, label string, fold int, round int, node int, feature string, cut double, value double, gain double")
 
 
+def from_table(nodes: DataFrame) -> Boosted:   # M7
+    """The models of a ``model_table``, for example one read from a store; its size is the
+    models', whatever they were fitted on.  Bins are cut where a tree cuts."""
+    rows = nodes.collect()
+    if not rows:
+        raise ValueError("the table holds no model")
+    labels = sorted({r["label"] for r in rows})
+    folds, bags = max(r["fold"] for r in rows) + 1, max(r["bag"] for r in rows) + 1
+    features = sorted({r["feature"] for r in rows if r["feature"] is not None})
+    edges = [sorted({r["cut"] for r in rows if r["feature"] == c and r["cut"] is not None}) for c in features]
+    count, size = folds * bags * len(labels), (1 << (max(r["node"] for r in rows) + 1).bit_length()) - 1
+    prior, best = [0.0] * count, [0] * count
+    trees = [{} for _ in range(max(r["round"] for r in rows) + 1)]
+    for r in rows:
+        m = (r["bag"] * len(labels) + labels.index(r["label"])) * folds + r["fold"]
+        if r["round"] < 0:
+            prior[m] = r["value"]
+            continue
+        best[m] = max(best[m], r["round"] + 1)
+        feature, last, value, gain = trees[r["round"]].setdefault(m, (np.full(size, -1), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)))
+        value[r["node"]] = r["value"]
+        if r["feature"] is not None:
+            k = features.index(r["feature"])
+            feature[r["node"]], gain[r["node"]] = k, r["gain"]
+            last[r["node"]] = len(edges[k]) if r["cut"] is None else edges[k].index(r["cut"])
+    return Boosted(features, edges, labels, folds, bags, prior, trees, best, [])
+
+
 def gain_importances(nodes: DataFrame, top: int = 25) -> DataFrame:   # O2
     """Share of all gain by label and feature over bags and folds, the first ``top`` of each label."""
     by = nodes.where("feature IS NOT NULL").groupBy("label", "feature").agg(F.sum("gain").alias("gain"))

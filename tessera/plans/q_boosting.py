@@ -1,9 +1,10 @@
-"""Boosted trees of all bags, folds and labels in one pass per level (M4, M7, M8, O2)."""
+"""Boosted trees of all bags, folds and labels in one pass per level (M4-M8, O2)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import boosting as B
+from ..sources.files import scratch_dir
 from ..sources.tables import corpus
 from .catalog import register
 from .q_ml import FEATURES, _split
@@ -16,6 +17,8 @@ NAMES = ["chars", "blanks", "capitals", "digits"]
 EDGES = {c: [2.0 ** k for k in range(1, 14)] for c in NAMES}
 FOLDS, BAGS, ROUNDS, DEPTH, STEP, L2, LEAST = 3, 2, 2, 2, 0.3, 1.0, 5
 
+HOW = {"rounds": ROUNDS, "depth": DEPTH, "step": STEP, "l2": L2, "min_rows": LEAST, "edges": EDGES, "store_every": 1}
+
 
 def _frame(spark, sf_dir):
     """Counts of characters by kind; no digit at all counts as missing."""
@@ -26,23 +29,25 @@ def _frame(spark, sf_dir):
 
 def _fit(spark, sf_dir):
     f = _frame(spark, sf_dir)
-    return f, B.fit_boosted(f.where("split = 'train'"), "doc_id", BY_LABEL, LABELS, n_folds=FOLDS, n_bags=BAGS, seed=SEED, rounds=ROUNDS,
-                            depth=DEPTH, step=STEP, l2=L2, min_rows=LEAST, edges=EDGES, method="knuth", store_every=1)
+    return f, B.fit_boosted(f.where("split = 'train'"), "doc_id", BY_LABEL, LABELS, n_folds=FOLDS, n_bags=BAGS, seed=SEED, method="knuth", **HOW)
+
+
+HELD = f"CASE WHEN {H_SQL} % 1000000 < 200000 THEN 0 ELSE -1 END"
+STRATA = [f"(row_number() OVER (PARTITION BY toxic + quality ORDER BY {H_SQL.replace(str(SEED), str(SEED + b))}, doc_id) - 1) % {FOLDS}" for b in range(BAGS)]
 
 
-def _grown_sql() -> str:
-    """The growth spelled out, one CTE per step; ``s<r>`` holds the margins after r rounds."""
+def _grown_sql(folds: int, deal: list[str]) -> str:
+    """The growth spelled out, one CTE per step; ``s<r>`` holds the margins after r rounds.
+    ``deal``: a row's fold in each bag."""
     scale, n = f"{B.SCALE}::DOUBLE", len(LABELS)
     count = {c: "length(text)" if p is None else f"length(regexp_replace(text, '{p}', '', 'g'))" for c, p in KINDS.items()}
     count["digits"] = f"nullif({count['digits']}, 0)"
     bins = ", ".join(f"coalesce(len(list_filter({EDGES[c]}, lambda e: e < {count[c]})), {len(EDGES[c]) + 1})" for c in NAMES)
-    deal = ", ".join(f"(row_number() OVER (PARTITION BY toxic + quality ORDER BY {H_SQL.replace(str(SEED), str(SEED + b))}, doc_id) - 1) % {FOLDS} AS fold{b}"
-                     for b in range(BAGS))
     mine = [[NAMES.index(c) for c in BY_LABEL[None] + BY_LABEL[lab]] for lab in LABELS]
-    ctes = [f"x AS (SELECT doc_id, toxic, quality, fold0, fold1, l.doc_id IS NOT NULL AS known, [{bins}] AS b FROM documents LEFT JOIN (SELECT *, {deal} FROM labels) l USING (doc_id))",
-            f"mo AS (SELECT unnest(range({BAGS * n * FOLDS})) AS m)",
-            f"""mr AS (SELECT doc_id, m, known, b, CASE m // {FOLDS} % {n} WHEN 0 THEN toxic ELSE quality END AS y,
-              known AND CASE m // {FOLDS * n} WHEN 0 THEN fold0 ELSE fold1 END = m % {FOLDS} AS mine FROM x, mo)""",
+    ctes = [f"x AS (SELECT doc_id, toxic, quality, folds, l.doc_id IS NOT NULL AS known, [{bins}] AS b FROM documents LEFT JOIN (SELECT *, [{', '.join(deal)}] AS folds FROM labels) l USING (doc_id))",
+            f"mo AS (SELECT unnest(range({len(deal) * n * folds})) AS m)",
+            f"""mr AS (SELECT doc_id, m, known, b, CASE m // {folds} % {n} WHEN 0 THEN toxic ELSE quality END AS y,
+              known AND folds[m // {folds * n} + 1] = m % {folds} AS mine FROM x, mo)""",
             "pr AS (SELECT m, ln((count(*) FILTER (y = 1) + 0.5::DOUBLE) / (count(*) FILTER (y = 0) + 0.5::DOUBLE)) AS p FROM mr WHERE known AND NOT mine GROUP BY m)",
             "s0 AS (SELECT mr.*, p AS margin FROM mr JOIN pr USING (m))"]
     part = lambda g, h: f"(({g}) / {scale}) * (({g}) / {scale}) / (({h}) / {scale} + {L2}::DOUBLE)"
@@ -52,7 +57,7 @@ def _grown_sql() -> str:
         for d in range(DEPTH):
             ctes += [f"""h{r}_{d} AS (SELECT m, node, k, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM (SELECT m, node, unnest(b) AS bin, unnest(range(len(b))) AS k,
                   CAST(round((p - y) * {scale}) AS BIGINT) AS g, CAST(round(p * (1 - p) * {scale}) AS BIGINT) AS h FROM n{r}_{d} WHERE known AND NOT mine AND node >= {2 ** d - 1})
-                  WHERE list_contains(CASE m // {FOLDS} % {n} WHEN 0 THEN {mine[0]} ELSE {mine[1]} END, k) GROUP BY ALL)""",
+                  WHERE list_contains(CASE m // {folds} % {n} WHEN 0 THEN {mine[0]} ELSE {mine[1]} END, k) GROUP BY ALL)""",
                      f"""c{r}_{d} AS (SELECT m, node, k, bin, {', '.join(f'sum({c}) OVER (PARTITION BY m, node, k ORDER BY bin) AS l{c}, sum({c}) OVER (PARTITION BY m, node, k) AS t{c}' for c in 'ghn')} FROM h{r}_{d})""",
                      f"""b{r}_{d} AS (SELECT * FROM (SELECT *, {part('lg', 'lh')} + {part('tg - lg', 'th - lh')} - {part('tg', 'th')} AS gain FROM c{r}_{d}
                   WHERE ln >= {LEAST} AND tn - ln >= {LEAST}) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY m, node ORDER BY gain DESC, k, bin) = 1)""",
@@ -66,12 +71,12 @@ def _grown_sql() -> str:
     return "WITH " + ",\n".join(ctes)
 
 
-def _named_sql(m: str) -> str:
-    return (f"CAST({m} // {FOLDS * len(LABELS)} AS INTEGER) AS bag, CASE {m} // {FOLDS} % {len(LABELS)} WHEN 0 THEN '{LABELS[0]}' ELSE '{LABELS[1]}' END AS label, "
-            f"CAST({m} % {FOLDS} AS INTEGER) AS fold")
+def _named_sql(m: str, folds: int = FOLDS) -> str:
+    return (f"CAST({m} // {folds * len(LABELS)} AS INTEGER) AS bag, CASE {m} // {folds} % {len(LABELS)} WHEN 0 THEN '{LABELS[0]}' ELSE '{LABELS[1]}' END AS label, "
+            f"CAST({m} % {folds} AS INTEGER) AS fold")
 
 
-@register("m4_m8_boosted_folds", f"""{_grown_sql()}
+@register("m4_m8_boosted_folds", f"""{_grown_sql(FOLDS, STRATA)}
 SELECT doc_id, {_named_sql('m')}, CASE WHEN known THEN 'train' ELSE 'test' END AS split, round(1 / (1 + exp(-margin)), 6) AS pred
 FROM every JOIN best USING (m, r) WHERE mine OR NOT known""")
 def m4_m8_boosted_folds(spark, sf_dir):
@@ -86,7 +91,7 @@ def m4_m8_boosted_folds(spark, sf_dir):
 
 def _gains_sql() -> str:
     cuts = " UNION ALL ".join(f"SELECT {r} AS r, m, k, gain FROM b{r}_{d}" for r in range(ROUNDS) for d in range(DEPTH))
-    return f"""{_grown_sql()},
+    return f"""{_grown_sql(FOLDS, STRATA)},
 g AS (SELECT {_named_sql('m')}, ({NAMES})[k + 1] AS feature, gain FROM ({cuts}) c JOIN best USING (m) WHERE c.r < best.r),
 s AS (SELECT label, feature, sum(gain) AS gain FROM g GROUP BY label, feature)
 SELECT label, feature, round(gain / sum(gain) OVER (PARTITION BY label), 6) AS importance FROM s"""
@@ -100,6 +105,28 @@ def o2_gain_importances(spark, sf_dir):
     return B.gain_importances(nodes, top=len(NAMES)).select("label", "feature", F.round("importance", 6).alias("importance"))
 
 
+@register("m5_boosted_bag_run", f"""{_grown_sql(1, [HELD])}
+SELECT doc_id, {_named_sql('m', 1).rsplit(',', 1)[0]}, CASE WHEN known THEN 'valid' ELSE 'test' END AS split, round(1 / (1 + exp(-margin)), 6) AS pred
+FROM every JOIN best USING (m, r) WHERE mine OR NOT known""")
+def m5_boosted_bag_run(spark, sf_dir):
+    """A fifth of the labelled rows held out; both labels fitted on the others, the best round kept."""
+    f = _frame(spark, sf_dir)
+    out = B.boosted_bag_run(f.where("split = 'train'"), f.where("split = 'test'"), "doc_id", BY_LABEL, LABELS, 0.2, SEED, method="knuth", **HOW)
+    return out.withColumn("pred", F.round("pred", 6))
+
+
+@register("m6_m7_boosted_saved_model", f"""{_grown_sql(1, ['-1'])}
+SELECT doc_id, {_named_sql('m', 1)}, round(1 / (1 + exp(-margin)), 6) AS pred FROM s{ROUNDS} WHERE NOT known""")
+def m6_m7_boosted_saved_model(spark, sf_dir):
+    """Models of all labelled rows, stored as a table of nodes, read back and applied to the others."""
+    f = _frame(spark, sf_dir)
+    path = scratch_dir(spark, "boosted")
+    B.model_table(spark, B.full_boosted(f.where("split = 'train'"), "doc_id", BY_LABEL, LABELS, **HOW)).write.parquet(path)
+    models = B.from_table(spark.read.parquet(path))
+    out = B.predict_boosted(models, B.binned(f.where("split = 'test'"), "doc_id", models), own_fold=False)
+    return out.select(F.col("__key").alias("doc_id"), "bag", "label", "fold", F.round("pred", 6).alias("pred"))
+
+
 @register("m4_boosted_quantile_run")
 def m4_boosted_quantile_run(spark, sf_dir):
     """Thirty rounds on quantile bins of the text statistics, five folds, both labels, early stopping."""

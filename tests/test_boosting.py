@@ -127,6 +127,33 @@ def test_edges(spark):
     assert B.gain_importances(nodes).count() <= 2
 
 
+def test_stored_models_predict_the_same(spark, tmp_path):
+    df = data(spark)
+    models, _ = B.fit_boosted(df, "id", ["a", "b"], ["z", "y"], n_folds=2, rounds=4, depth=3, min_rows=5)
+    B.model_table(spark, models).write.parquet(str(tmp_path / "nodes"))
+    back = B.from_table(spark.read.parquet(str(tmp_path / "nodes")))
+    tables = [{(r["__key"], r["label"], r["fold"]): r["pred"] for r in B.predict_boosted(m, B.binned(df, "id", m), own_fold=False).collect()}
+              for m in (models, back)]
+    assert len(tables[0]) == 300 * 4 and tables[0] == tables[1]
+    assert B.from_table(B.model_table(spark, back)).best == back.best
+    bare = B.from_table(B.model_table(spark, back).where("round < 0"))                  # priors alone
+    assert B.predict_boosted(bare, B.binned(df, "id", bare), own_fold=False).select("pred").distinct().count() <= 4
+    with pytest.raises(ValueError):
+        B.from_table(B.model_table(spark, back).limit(0))
+
+
+def test_hold_out_and_full_fit(spark):
+    df = data(spark)
+    test = data(spark, 20, seed=9)
+    out = B.boosted_bag_run(df, test, "id", ["a", "b"], ["y", "z"], n_bags=2, rounds=4, patience=2)
+    held = {r["id"] for b in (0, 1) for r in out.where(f"split = 'valid' AND bag = {b} AND label = 'y'").collect()}
+    assert 60 < len(held) < 160 and out.where("split = 'test'").count() == 20 * 2 * 2
+    full = B.full_boosted(df, "id", ["a", "b"], ["y"], rounds=4, min_rows=5)
+    assert full.best == [4] and full.folds == full.bags == 1
+    known = df.where("y IS NOT NULL")
+    assert abs(full.prior[0] - math.log((known.where("y = 1").count() + 0.5) / (known.where("y = 0").count() + 0.5))) < 1e-9
+
+
 def test_bins(spark):
     df = spark.createDataFrame([(None,), (float("nan"),), (1.0,), (1.5,), (9.0,)], "x double")
     got = [r[0] for r in df.select(B._bins(["x"], [[1.0, 2.0]])).collect()]
