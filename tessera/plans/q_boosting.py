@@ -42,7 +42,7 @@ def _grown_sql(folds: int, deal: list[str]) -> str:
     scale, n = f"{B.SCALE}::DOUBLE", len(LABELS)
     count = {c: "length(text)" if p is None else f"length(regexp_replace(text, '{p}', '', 'g'))" for c, p in KINDS.items()}
     count["digits"] = f"nullif({count['digits']}, 0)"
-    bins = ", ".join(f"coalesce(len(list_filter({EDGES[c]}, lambda e: e < {count[c]})), {len(EDGES[c]) + 1})" for c in NAMES)
+    bins = ", ".join(f"CASE WHEN {count[c]} IS NULL THEN {len(EDGES[c]) + 1} ELSE len(list_filter({EDGES[c]}, lambda e: e < {count[c]})) END" for c in NAMES)
     mine = [[NAMES.index(c) for c in BY_LABEL[None] + BY_LABEL[lab]] for lab in LABELS]
     ctes = [f"x AS (SELECT doc_id, toxic, quality, folds, l.doc_id IS NOT NULL AS known, [{bins}] AS b FROM documents LEFT JOIN (SELECT *, [{', '.join(deal)}] AS folds FROM labels) l USING (doc_id))",
             f"mo AS (SELECT unnest(range({len(deal) * n * folds})) AS m)",
