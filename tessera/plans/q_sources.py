@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, rules as R, tokens as T
 from ..functions.arrays import explode_rows
+from ..session import spread_width
 from ..sources import files as IO
 from ..sources.tables import corpus, read_table
 from ..sources.wordvec import DERIVED_VECTOR_SQL, derived_vectors, read_word_vectors, write_word_vectors
@@ -130,6 +131,7 @@ def s9_run_parameters(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+STREAM_BATCHES = 4
 _STREAM_SQL = _glove_sql(lambda e: f"array_to_string(list_filter({ws_split(f'lower({_wl(e)})')}, lambda x: NOT list_contains({str_list(R.BASIC_STOPWORDS)}, x)), ' ')")
 _FILLED = f"(SELECT doc_id, coalesce(text, {q(R.NULL_TEXT_SENTINEL)}) AS text FROM documents)"
 
@@ -142,14 +144,16 @@ FROM c JOIN f USING (doc_id) JOIN n USING (doc_id) LEFT JOIN labels l USING (doc
 def p10_streaming_row_features(spark, sf_dir):
     """Documents arriving as several parquet files run through the cleaning chain as
     a Structured Streaming query (availableNow) into a parquet sink joined with the
-    labels (stream-static); the sink is read back."""
+    labels (stream-static); the sink is read back.  The files are as many as the session's
+    partitions and come in four batches, so a batch keeps all tasks busy."""
     from ..streaming import start_cleaning_stream
     root = IO.scratch_dir(spark, "stream")
     docs = read_table(spark, sf_dir, "documents")
-    docs.repartition(4, "doc_id").write.mode("overwrite").parquet(f"{root}/in")
+    files = max(STREAM_BATCHES, spread_width(spark), docs.rdd.getNumPartitions())
+    docs.repartition(files, "doc_id").write.mode("overwrite").parquet(f"{root}/in")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     q = start_cleaning_stream(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", lookup=labels,
-                              max_files_per_trigger=1)
+                              max_files_per_trigger=-(-files // STREAM_BATCHES))
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
