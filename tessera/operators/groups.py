@@ -14,6 +14,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_few
+
 # statistic name -> aggregate; the allow-list replaces free-form aggregate strings
 STATISTICS = {
     "mean": F.avg,
@@ -48,7 +50,7 @@ def group_transform(df: DataFrame, by: str, feats: Sequence[str], statistics,
                     name_fmt: str = "{by}_by_{f}_{stat}") -> DataFrame:
     """Row-broadcast form: every row gets its group's statistics (null key -> null)."""
     stats = group_stats(df, by, feats, statistics, name_fmt)
-    return df.join(stats, by, "left")
+    return df.join(broadcast_few(stats, by), by, "left")
 
 
 def group_feat_by_feat(df: DataFrame, by: str, feats: Sequence[str], statistic="mean",

@@ -31,3 +31,18 @@ def test_stream_batches_hold_a_file_for_every_task(spark, monkeypatch):
     n = p10_streaming_row_features(spark, SF001).count()
     assert n == spark.read.parquet(f"{SF001}/documents.parquet").count()
     assert seen["files"] >= 8 and 2 <= seen["per_batch"] < seen["files"]
+
+
+def test_few_groups_leave_the_rows_in_place(spark):
+    df = _flags(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [_plan(G.group_transform(df, "flag", ["x"], "mean")), _plan(A.target_mean_encode(df, "flag", "x")), _plan(A.count_encode(df, "flag"))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+    got = {r["flag"]: r["m"] for r in A.target_mean_encode(df, "flag", "x").groupBy("flag").agg(F.max("flag_target_mean").alias("m")).collect()}
+    want = {r["flag"]: r["m"] for r in df.groupBy("flag").agg(F.avg("x").alias("m")).collect()}
+    assert got == want
