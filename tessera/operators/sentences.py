@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import posexplode_rows
 from ..functions.tokens import whitespace_split
 from ..functions.treebank import treebank_tokens
-from ..session import reliable_checkpoint
+from ..session import broadcast_few, reliable_checkpoint
 
 LEAST_SCORE = 0.3
 SURE = 0.99                                          # how often an abbreviation has its period
@@ -53,7 +53,11 @@ def split_sentences(df: DataFrame, key: str, text: str, abbreviations: DataFrame
     where a capital follows."""
     pos = posexplode_rows(df, [key], whitespace_split(F.col(text)), "p", "t").withColumn("k", _kind(F.col("t")))
     short = abbreviations.select(F.col("word").alias("__w"), F.lit(True).alias("__short"))
-    pos = pos.join(short, F.when(F.col("k").endswith("."), _bare(F.col("k"))) == F.col("__w"), "left")
+    # words without a period meet nothing: a key with a blank, which no word has, spreads them over
+    # the tasks (as nulls they would all be one task's)
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(key, "p"), F.lit(4096)).cast("string"))
+    pos = pos.withColumn("__k", F.when(F.col("k").endswith("."), _bare(F.col("k"))).otherwise(spread))
+    pos = pos.join(broadcast_few(short, "__w"), F.col("__k") == F.col("__w"), "left")
     by = Window.partitionBy(key).orderBy("p")        # a text's words
     end = F.regexp_extract("t", r"([.!?]+)[\"'\)\]\}»”]*$", 1)
     capital = F.coalesce(F.lead("t").over(by), F.lit("")).rlike(r"^[^\p{L}\p{N}]*\p{Lu}")

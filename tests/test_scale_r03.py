@@ -46,3 +46,20 @@ def test_few_groups_leave_the_rows_in_place(spark):
     got = {r["flag"]: r["m"] for r in A.target_mean_encode(df, "flag", "x").groupBy("flag").agg(F.max("flag_target_mean").alias("m")).collect()}
     want = {r["flag"]: r["m"] for r in df.groupBy("flag").agg(F.avg("x").alias("m")).collect()}
     assert got == want
+
+
+def test_words_without_a_period_are_spread(spark):
+    from tessera.operators import sentences as SE
+    df = spark.range(400).select("id", F.lit("One word more than two. Then dr. Smith came").alias("t"))
+    abbr = spark.createDataFrame([("dr", 1.0)], "word string, score double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = SE.split_sentences(df, "id", "t", abbr)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = [r[0] for r in out.where("id = 7").orderBy("no").select("sentence").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == ["One word more than two.", "Then dr. Smith came"]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
