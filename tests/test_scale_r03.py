@@ -81,3 +81,15 @@ def test_sequences_shuffle_texts_not_words(spark):
     assert got == {1: [2, 1], 2: [], 3: [1], 4: []}
     # no exchange by word: rows meet the vocabulary where their text is
     assert "hashpartitioning(word" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_deletion_keys_need_no_shuffle(spark):
+    from tessera.operators import spelling as SP
+    df = spark.createDataFrame([("aab", 1), ("ab", 2), ("x", 3)], "word string, rank long")
+    out = SP._deletions(df, ["word", "rank"], 1)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    e = spark.createDataFrame([("aab", "aab"), ("aab", "ab"), ("aab", "aa"), ("ab", "ab"), ("ab", "a"), ("ab", "b"), ("x", "x"), ("x", "")], "word string, e string")
+    want = {tuple(r) for r in e.select("word", F.xxhash64(F.lit("d"), "e")).collect()}
+    assert {(r["word"], r["key"]) for r in out.collect()} == want
+    words = spark.createDataFrame([("aabb",), ("xy",), ("ab",), ("qqqqq",)], "word string")
+    assert {tuple(r) for r in SP.correct_words(words, df).collect()} == {("aabb", "aab"), ("xy", "x"), ("ab", "ab"), ("qqqqq", "qqqqq")}
