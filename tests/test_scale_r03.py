@@ -93,3 +93,17 @@ def test_deletion_keys_need_no_shuffle(spark):
     assert {(r["word"], r["key"]) for r in out.collect()} == want
     words = spark.createDataFrame([("aabb",), ("xy",), ("ab",), ("qqqqq",)], "word string")
     assert {tuple(r) for r in SP.correct_words(words, df).collect()} == {("aabb", "aab"), ("xy", "x"), ("ab", "ab"), ("qqqqq", "qqqqq")}
+
+
+
+def test_substring_runs_are_not_stored(spark, monkeypatch):
+    stored = []
+    keep = C.reliable_checkpoint
+    monkeypatch.setattr(C, "reliable_checkpoint", lambda df: stored.append(keep(df)) or stored[-1])
+    texts = {1: "abcdef xyz", 2: "bcd", 3: "", 4: None, 5: "xy zabc"}
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    terms = ["abc", "bcde", "z", "xy", "qqq", "abcdef x", ""]
+    got = {tuple(r) for r in C.lexicon_substring_matrix(df, "id", F.col("t"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {(k, t) for k, x in texts.items() for t in terms if t and x and t in x}
+    # what is stored grows with the terms, not with the texts
+    assert sum(s.count() for s in stored) <= len(terms)
