@@ -105,5 +105,9 @@ def test_substring_runs_are_not_stored(spark, monkeypatch):
     terms = ["abc", "bcde", "z", "xy", "qqq", "abcdef x", ""]
     got = {tuple(r) for r in C.lexicon_substring_matrix(df, "id", F.col("t"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
     assert got == {(k, t) for k, x in texts.items() for t in terms if t and x and t in x}
+    # rows of one key: each is searched for itself, a hit is listed once a row
+    two = spark.createDataFrame([(1, "abc z"), (1, "abc"), (1, "z")], "id long, t string")
+    pairs = [tuple(r) for r in C.lexicon_substring_matrix(two, "id", F.col("t"), spark.createDataFrame([("abc",), ("z",)], "term string")).collect()]
+    assert sorted(pairs) == [(1, "abc"), (1, "abc"), (1, "z"), (1, "z")]
     # what is stored grows with the terms, not with the texts
-    assert sum(s.count() for s in stored) <= len(terms)
+    assert sum(s.count() for s in stored[:1]) <= len(terms)
