@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions.clean import _col
-from ..session import broadcast_few
+from ..session import reliable_checkpoint
 from .ranking import global_index
 
 
@@ -42,10 +42,10 @@ def texts_to_sequences(df: DataFrame, key: str, tokens: str, vocab: DataFrame,
     v = vocab.select("word", "index")
     if num_words is not None:
         v = v.where(F.col("index") < num_words)
-    # beside a broadcast vocabulary word rows stay where their text is and are gathered per text
+    # stored, the vocabulary has a size Spark can plan by; beside a broadcast one word rows stay where their text is and are gathered per text
     # before any shuffle
     pos = posexplode_rows(df, [key], F.col(tokens), "__p", "word")
-    hit = pos.join(broadcast_few(v, "index"), "word")
+    hit = pos.join(reliable_checkpoint(v), "word")
     seqs = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", "index"))).alias("__s"))
     return (df.join(seqs, key, "left")
             .withColumn(out_col, F.coalesce(F.transform("__s", lambda s: s["index"]),
