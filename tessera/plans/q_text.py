@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean, rules as R, textstats, tokens as T
-from ..functions.arrays import explode_rows
 from ..operators import corpus as C
 from ..sources.tables import read_table
 from .catalog import register
@@ -175,9 +174,7 @@ def t4_skipgrams(spark, sf_dir):
           "SELECT g AS gram, CAST(count(*) AS BIGINT) AS cnt FROM (SELECT unnest(list_transform("
           "range(1, length(text) - 1), lambda i: substring(text, i, 3))) AS g FROM documents) GROUP BY g")
 def t5_chargram_counts(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return (explode_rows(d, [], T.chargrams("text", 3), "gram")
-            .groupBy("gram").agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
+    return C.chargram_counts(_docs(spark, sf_dir), "text", 3)
 
 
 @register("t6_remove_stops",

@@ -109,3 +109,20 @@ def test_substring_runs_are_not_stored(spark, monkeypatch):
     assert sorted(pairs) == [(1, "abc"), (1, "abc"), (1, "z"), (1, "z")]
     # what is stored grows with the terms, not with the texts
     assert sum(s.count() for s in stored[:1]) <= len(terms)
+
+
+def test_chargrams_are_counted_in_their_batch(spark, monkeypatch):
+    from collections import Counter
+
+    from tessera.plans import q_text
+    texts = ["abcab", "", None, "x", "yz", "aé\U0001F600é\n", "\U0001F600" * 5, "abc", "\x00ab", "a"] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(q_text, "_docs", lambda spark, d: df)
+    out = q_text.t5_chargram_counts(spark, "")
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()      # no row for every character
+    want = Counter(t[i:i + 3] for t in texts if t for i in range(len(t) - 2))
+    assert {r["gram"]: r["cnt"] for r in out.collect()} == want
+    monkeypatch.setattr(C, "GRAM_CHARS", 4)
+    for n in (1, 2, 3, 4):
+        want = Counter(t[i:i + n] for t in texts if t for i in range(len(t) - n + 1))
+        assert {r["gram"]: r["cnt"] for r in C.chargram_counts(df, "text", n).collect()} == want
