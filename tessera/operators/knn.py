@@ -14,6 +14,7 @@ go through the driver; blocks of vectors and slices of queries meet by a shuffle
 """
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 import numpy as np
@@ -26,6 +27,7 @@ from .numeric import _known
 
 LEAST = 1e-6
 FAR = float("inf")
+CELLS_AT_ONCE = 200_000       # distances of a slice of rows to all pivots or boxes
 
 
 def _matrix(column) -> np.ndarray:
@@ -52,13 +54,32 @@ def _pattern(x: np.ndarray) -> np.ndarray:
     return (~np.isnan(x)) @ (1 << np.arange(x.shape[1]))
 
 
+def _slices(x: np.ndarray, others: int):
+    """First row and rows of slices that meet ``others`` rows in bounded memory."""
+    size = max(1, CELLS_AT_ONCE // max(others, 1))
+    return [(a, x[a:a + size]) for a in range(0, max(len(x), 1), size)]
+
+
+def _cells(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The nearest pivot of every row; rows known in all columns look at such pivots alone, by
+    one product (which cell a row is in does not change the result)."""
+    cell = np.zeros(len(x), np.int64)
+    whole, known = np.flatnonzero(~np.isnan(pivots).any(axis=1)), ~np.isnan(x).any(axis=1)
+    if len(whole):
+        p = pivots[whole]
+        cell[known] = np.concatenate([whole[((p * p).sum(axis=1) - 2 * (q @ p.T)).argmin(axis=1)] for _, q in _slices(x[known], len(p))])
+        x = x[~known]
+    rest = [_gaps(q, pivots, pivots).argmin(axis=1) for _, q in _slices(x, len(pivots))]
+    cell[~known if len(whole) else slice(None)] = np.concatenate(rest)
+    return cell
+
+
 def _with_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     """x, n, pattern (bits of the known columns), cell."""
     def run(batches):
         for b in batches:
             x = _matrix(b.column(0))
-            d = _gaps(x, pivots, pivots)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_pattern(x).astype(np.int64)), pa.array(d.argmin(axis=1).astype(np.int32))],
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_pattern(x).astype(np.int64)), pa.array(_cells(x, pivots).astype(np.int32))],
                                              names=["x", "n", "pattern", "cell"])
     return vectors.select("x", "n").mapInArrow(run, "x array<double>, n long, pattern long, cell int")
 
@@ -111,11 +132,14 @@ def _kept(rows: DataFrame, k: int) -> DataFrame:
 
 
 def impute_knn(df: DataFrame, cols: Sequence[str], k: int = 5, pivots: int = 64, block: int = 2048) -> DataFrame:   # N4
-    """``df`` with the missing values (null or NaN) of ``cols`` imputed, as doubles.  A value stays
+    """``df`` with the missing values (null or NaN) of ``cols`` imputed, as doubles, by at least
+    ``pivots`` cells and as many as the square root of the vectors.  A value stays
     null where no row that knows the column shares a known column with its row."""
     x = F.array(*[_known(df, c).cast("double") for c in cols])
     rows = df.withColumn("__x", x)
     vectors = reliable_checkpoint(rows.groupBy(F.col("__x").alias("x")).agg(F.count(F.lit(1)).alias("n")))
+    # cells shrink as the vectors grow in number: by the square root, as pivots and cells both cost
+    pivots = max(pivots, math.isqrt(vectors.count()))
     picked = vectors.orderBy(F.xxhash64("x"), "x").limit(pivots).collect()      # ``pivots`` rows
     if not picked:
         return rows.select(*[F.col("__x")[list(cols).index(c)].alias(c) if c in cols else F.col(c) for c in df.columns])
@@ -143,10 +167,14 @@ def impute_knn(df: DataFrame, cols: Sequence[str], k: int = 5, pivots: int = 64,
     def near(batches):
         for b in batches:
             u = b.column(2).to_numpy()
-            d = _gaps(_matrix(b.column(1)), lo, hi)
-            # a little room: box and row distances are rounded sums
-            i, j = np.nonzero((d <= u[:, None] * (1 + 1e-9)) & (d < FAR))
-            pair = np.unique(np.c_[i, cell[j]], axis=0) if len(i) else np.zeros((0, 2), np.int64)
+            pair = [np.zeros((0, 2), np.int64)]
+            for a, q in _slices(_matrix(b.column(1)), len(lo)):
+                d = _gaps(q, lo, hi)
+                # a little room: box and row distances are rounded sums
+                i, j = np.nonzero((d <= u[a:a + len(q), None] * (1 + 1e-9)) & (d < FAR))
+                if len(i):
+                    pair.append(np.unique(np.c_[a + i, cell[j]], axis=0))
+            pair = np.concatenate(pair)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pair[:, 0])), b.column(1).take(pa.array(pair[:, 0])), pa.array(pair[:, 1].astype(np.int32))],
                                              names=["qid", "x", "cell"])
 

@@ -152,3 +152,19 @@ def test_lags_past_any_month(spark):
     mean = {(r["customer_id"], r["date"], r["lag"]): r["target_lag"] for r in L.lags_long(df, 0, only_target=True).collect()}
     assert mean[1, 95, 89] == 5.0 and mean[1, 95, 90] == 6.0 and len(mean) == 90 + 95 + 92 + 93
     assert L.lags_long(df.where("date < 0"), 0, only_target=True).count() == 0
+
+
+def test_knn_cells_grow_with_the_vectors(spark, monkeypatch):
+    from tessera.operators import knn
+    made = []
+    deal = knn._with_cells
+    monkeypatch.setattr(knn, "_with_cells", lambda v, p: made.append(len(p)) or deal(v, p))
+    monkeypatch.setattr(knn, "CELLS_AT_ONCE", 50)
+    df = spark.range(900).select("id", F.when(F.col("id") % 9 != 0, F.col("id") * 3 % 101).cast("double").alias("a"), (F.col("id") * 7 % 1000).cast("double").alias("b"))
+    got = {r["id"]: r["a"] for r in knn.impute_knn(df, ["a", "b"], k=1, pivots=4, block=50).collect()}
+    assert made[0] >= 30                      # about the square root of the vectors, not 4
+    known = [(i * 7 % 1000, i * 3 % 101) for i in range(900) if i % 9]
+    for i in range(0, 900, 9):
+        best = min(abs(b - i * 7 % 1000) for b, _ in known)
+        near = [a for b, a in known if abs(b - i * 7 % 1000) == best]
+        assert abs(got[i] - sum(near) / len(near)) < 1e-9
