@@ -111,7 +111,7 @@ def test_substring_runs_are_not_stored(spark, monkeypatch):
     assert sum(s.count() for s in stored[:1]) <= len(terms)
 
 
-def test_chargrams_are_counted_in_their_batch(spark, monkeypatch):
+def test_chargrams_are_counted_as_numbers(spark, monkeypatch):
     from collections import Counter
 
     from tessera.plans import q_text
@@ -119,7 +119,7 @@ def test_chargrams_are_counted_in_their_batch(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     monkeypatch.setattr(q_text, "_docs", lambda spark, d: df)
     out = q_text.t5_chargram_counts(spark, "")
-    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()      # no row for every character
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()      # no array of texts to spread
     want = Counter(t[i:i + 3] for t in texts if t for i in range(len(t) - 2))
     assert {r["gram"]: r["cnt"] for r in out.collect()} == want
     monkeypatch.setattr(C, "GRAM_CHARS", 4)
