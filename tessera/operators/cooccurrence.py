@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
 from ..session import reliable_checkpoint
+from . import blocks as B
 from .decompose import fit_subspace, transform_subspace
 
 
@@ -47,7 +48,9 @@ def word_vectors(ppmi: DataFrame, dim: int = 50, seed: int = 1337) -> DataFrame:
     """(word, vec): U sqrt(S) of the PPMI matrix, by subspace iteration over its long table."""
     weights = reliable_checkpoint(ppmi.select(F.col("a").alias("word"), F.col("b").alias("term"), F.col("ppmi").alias("weight")))
     words = weights.select("word").distinct()
-    model = fit_subspace(weights, "word", dim, 0, seed=seed)
-    scores = transform_subspace(weights, words, "word", model, "v")
+    packed = B.packed(weights, "word")
+    model = fit_subspace(weights, "word", dim, 0, seed=seed, packed=packed)
+    scores = transform_subspace(weights, words, "word", model, "v", packed=packed)
+    packed[0].unpersist()
     root = [math.sqrt(s) for s in model["singular"]]
     return scores.select("word", F.array(*[(F.col(f"v{j}") / r if r > 1e-9 else F.lit(0.0)).alias(f"v{j}") for j, r in enumerate(root)]).alias("vec"))
