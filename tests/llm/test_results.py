@@ -25,7 +25,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark", "pages", "labels"):
+    for t in ("documents", "conversations", "benchmark", "pages", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     cur = con.execute(queries.ORACLE_SQL[name])
     cols = [d[0] for d in cur.description]
