@@ -2,7 +2,7 @@
 
 A caller-given dictionary is a literal map evaluated per token in generated code
 (its size is fixed in the plan); a lexicon *table* of unknown size is applied by
-exploding token positions, equi-joining and regrouping per document.
+joining it to the words of every block of texts, numbered in the block.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import posexplode_rows
 from ..functions.clean import _col
+from .blocks import coded, spelled
 
 
 def _map_lit(mapping: Mapping[str, str]) -> Column:
@@ -38,19 +39,15 @@ def map_tokens_by_table(df: DataFrame, key: str, tokens: str, table: DataFrame,
                         drop: DataFrame | None = None, drop_col: str | None = None) -> DataFrame:
     """Replace tokens through a (src -> dst) table of any size, keeping order;
     unmatched tokens are kept; tokens whose *result* is in ``drop`` are removed
-    (lemma + stop-lemma removal, T10).  Explode -> join -> regroup by document."""
+    (lemma + stop-lemma removal, T10).  The table meets the words of every block of texts,
+    the block's texts then meet their words."""
     out_col = out_col or tokens
-    pos = posexplode_rows(df, [key], F.col(tokens), "__p", "__t")
-    t = table.select(F.col(src).alias("__t"), F.col(dst).alias("__d")).dropDuplicates(["__t"])
-    j = pos.join(t, "__t", "left").withColumn("__r", F.coalesce("__d", "__t"))
+    rows, words = coded(df, key, tokens, [c for c in df.columns if c != out_col])
+    t = table.select(F.col(src).alias("__word"), F.col(dst).alias("__d")).dropDuplicates(["__word"])
+    held = words.join(t, "__word", "left").withColumn("__to", F.coalesce("__d", "__word"))
     if drop is not None:
-        j = j.join(drop.select(F.col(drop_col).alias("__r")).distinct(), "__r", "left_anti")
-    j = j.where(F.length("__r") > 0)
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", "__r"))).alias("__s"))
-    return (df.join(g, key, "left")
-            .withColumn(out_col, F.coalesce(F.transform("__s", lambda s: s["__r"]),
-                                            F.array().cast("array<string>")))
-            .drop("__s"))
+        held = held.join(drop.select(F.col(drop_col).alias("__to")).distinct(), "__to", "left_anti")
+    return spelled(df, rows, held.where(F.length("__to") > 0), key, out_col)
 
 
 _PIECES = r"[^\x00-\x7F]+|[\x00-\x7F]+"

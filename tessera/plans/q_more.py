@@ -12,6 +12,7 @@ from ..functions import readability as RD, rules as R, tokens as T
 from ..functions.arrays import explode_rows
 from ..operators import encoders as A, lexicon as LX
 from ..operators.graph import keyterm_scores
+from ..session import reliable_checkpoint
 from ..sources.tables import read_table
 from . import q_vectors  # noqa: F401  (its twins are used below)
 from .catalog import ORACLE_SQL, register
@@ -96,7 +97,8 @@ def t9_stem_by_table(spark, sf_dir):
 def t9_stem_porter2(spark, sf_dir):
     """Porter2 stems: the algorithm runs once per distinct token, the table is joined back."""
     d = _docs(spark, sf_dir).select("doc_id", T.words("text").alias("tok"))
-    vocab = explode_rows(d, [], F.col("tok"), "token").distinct()
+    # stored: in one plan with the lookup the stems would be worked out before the tokens are distinct
+    vocab = reliable_checkpoint(explode_rows(d, [], F.col("tok"), "token").distinct())
     out = LX.map_tokens_by_table(d, "doc_id", "tok", vocab.select("token", stem("token").alias("stem")), "token", "stem")
     return out.select("doc_id", F.array_join("tok", " ").alias("text"))
 
