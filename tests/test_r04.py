@@ -20,3 +20,25 @@ def test_topics_keep_nothing_of_their_start(spark, monkeypatch):
     assert all(len(x) == 1 for x in of) and len(set.union(*of)) == 3
     assert all({top[1000 + i]} == of[i % 3] for i in range(rare))
     assert len(passes) >= 11                 # ten passes over all texts, and their shares
+
+
+def test_lexicon_is_looked_up_in_bytes(spark, monkeypatch):
+    from tessera.operators import corpus as C, substrings as SU
+    rnd = np.random.default_rng(5)
+    letters = ["a", "b", " ", "é", "\U0001F642", "ab", "http://example.org/"]
+    draw = lambda n: "".join(letters[i] for i in rnd.choice(7, n, p=[.3, .25, .15, .1, .05, .1, .05]))
+    texts = [(i, draw(int(rnd.integers(0, 60)))) for i in range(120)] + [(0, "ab" * 30), (1, None), (None, "abab"), (2, ""), (3, "\x00a\x00")]
+    whole = "".join(t or "" for _, t in texts)
+    cuts = [(int(a), int(n)) for a, n in zip(rnd.integers(0, len(whole), 250), rnd.integers(1, 40, 250))]
+    terms = sorted({whole[a:a + n] for a, n in cuts} | {draw(3) for _ in range(50)} | {"http://example.org/a", "http://example.org/zz", "\x00a", "a\x00"} - {""})
+    df = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    lex = spark.createDataFrame([(t,) for t in [*terms, "", None, terms[0]]], "term string")
+    want = sorted((k, t) for k, x in texts if k is not None and x for t in terms if t and t in x)
+    for scan, shard in ((SU.SCAN_BYTES, C.LEXICON_BYTES), (300, 700)):
+        monkeypatch.setattr(SU, "SCAN_BYTES", scan)
+        monkeypatch.setattr(C, "LEXICON_BYTES", shard)
+        out = C.lexicon_substring_matrix(df, "id", F.col("t"), lex)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Generate" not in plan        # no candidate is spread out, none is shuffled
+        assert sorted(tuple(r) for r in out.collect()) == want
+    assert C.lexicon_substring_matrix(df, "id", F.col("t"), lex.where("term is null")).count() == 0
