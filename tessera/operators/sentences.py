@@ -7,10 +7,10 @@ the table of abbreviations meets the words that end in a period by an equi-join.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import posexplode_rows
+from ..functions.arrays import explode_rows, posexplode_rows
 from ..functions.tokens import whitespace_split
 from ..functions.treebank import treebank_tokens
 from ..session import broadcast_few, reliable_checkpoint
@@ -47,31 +47,64 @@ def fit_abbreviations(df: DataFrame, text: str) -> DataFrame:
     return counts.where(F.col("word").rlike(r"\p{L}") & (F.col("dot") > 0)).select("word", score.alias("score")).where(F.col("score") >= LEAST_SCORE)
 
 
+def _keys(df: DataFrame, key: str) -> tuple[bool, bool]:
+    """Whether a key repeats, and whether one is null."""
+    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.col("n") > 1).alias("more"), F.max(F.col(key).isNull()).alias("none")).first()
+    return bool(r["more"]), bool(r["none"])
+
+
+def _words(df: DataFrame, key: str, text: str, more: bool) -> DataFrame:
+    """(key, __w): the words of every text; where keys repeat (``more``), one row for each key with the words of
+    all its texts, by place."""
+    if not more:
+        return df.select(key, whitespace_split(F.col(text)).alias("__w"))
+    of = df.groupBy(key).agg(F.collect_list(whitespace_split(F.col(text))).alias("__a"))
+    placed = F.transform("__a", lambda w: F.transform(w, lambda t, i: F.struct(i.alias("p"), t.alias("t"))))
+    merged = F.transform(F.sort_array(F.flatten(placed)), lambda x: x["t"])
+    return of.select(key, F.when(F.size("__a") == 1, F.col("__a")[0]).otherwise(merged).alias("__w"))
+
+
+def _stops(t: Column, following: Column, short: Column) -> Column:
+    """Whether a sentence ends behind the word ``t``."""
+    end = F.regexp_extract(t, r"([.!?]+)[\"'\)\]\}}»”]*$", 1)
+    kind = _kind(t)
+    capital = F.coalesce(following, F.lit("")).rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
+    known = kind.endswith(".") & F.array_contains(short, _bare(kind))
+    return (F.when(end == "", False).when(end.rlike("[!?]"), True).when(F.length(end) > 1, capital)
+            .otherwise(~known & ~kind.rlike(r"^\p{L}\.$")))
+
+
+def _in_sentences(df: DataFrame, key: str, text: str, abbreviations: DataFrame, more: bool, none: bool) -> DataFrame:
+    """(key, __s): the sentences of every text that has words (others: null), one row for each key.  The texts' words
+    stay in their array; only the words that end in a period are spread out, once a text, to meet the
+    abbreviations, and the few that are known come back to their text."""
+    words = _words(df, key, text, more)
+    kinds = F.transform(F.filter("__w", lambda t: F.contains(t, F.lit("."))), _kind)
+    ended = F.array_distinct(F.transform(F.filter(kinds, lambda k: k.endswith(".")), _bare))
+    met = explode_rows(words, [F.col(key).alias("__k")], ended, "__b")
+    met = met.join(broadcast_few(abbreviations.select(F.col("word").alias("__w")), "__w"), F.col("__b") == F.col("__w"))
+    met = met.groupBy("__k").agg(F.collect_set("__b").alias("__short")).hint("shuffle_hash")
+    words = words.join(met, F.col(key).eqNullSafe(F.col("__k")) if none else F.col(key) == F.col("__k"), "left")
+    short = F.coalesce("__short", F.array().cast("array<string>"))
+    words = words.select(key, "__w", short.alias("__short"), F.size("__w").alias("__n"))
+    # no word has a line break: one stands behind every word that ends a sentence, but the last
+    marked = F.transform("__w", lambda t, i: F.when((i < F.col("__n") - 1) & t.rlike("[.!?]") & _stops(t, F.get(F.col("__w"), i + 1), F.col("__short")),
+                                                    F.concat(t, F.lit("\n"))).otherwise(t))
+    return words.select(key, F.when(F.col("__n") > 0, F.split(F.array_join(marked, " "), "\n ")).alias("__s"))
+
+
 def split_sentences(df: DataFrame, key: str, text: str, abbreviations: DataFrame) -> DataFrame:
     """(key, no, sentence): words with single blanks; a sentence ends behind ``!``, ``?`` or a period,
     unless the word before the period is an abbreviation or a single letter; behind an ellipsis
     where a capital follows."""
-    pos = posexplode_rows(df, [key], whitespace_split(F.col(text)), "p", "t").withColumn("k", _kind(F.col("t")))
-    short = abbreviations.select(F.col("word").alias("__w"), F.lit(True).alias("__short"))
-    # words without a period meet nothing: a key with a blank, which no word has, spreads them over
-    # the tasks (as nulls they would all be one task's)
-    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(key, "p"), F.lit(4096)).cast("string"))
-    pos = pos.withColumn("__k", F.when(F.col("k").endswith("."), _bare(F.col("k"))).otherwise(spread))
-    pos = pos.join(broadcast_few(short, "__w"), F.col("__k") == F.col("__w"), "left")
-    by = Window.partitionBy(key).orderBy("p")        # a text's words
-    end = F.regexp_extract("t", r"([.!?]+)[\"'\)\]\}»”]*$", 1)
-    capital = F.coalesce(F.lead("t").over(by), F.lit("")).rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
-    stops = (F.when(end == "", False).when(end.rlike("[!?]"), True).when(F.length(end) > 1, capital)
-             .otherwise(F.col("__short").isNull() & ~F.col("k").rlike(r"^\p{L}\.$")))
-    pos = pos.select(key, "p", "t", stops.alias("s"))
-    no = F.coalesce(F.sum(F.col("s").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pos = pos.select(key, "p", "t", no.cast("int").alias("no"))
-    return pos.groupBy(key, "no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]), " ").alias("sentence"))
+    return posexplode_rows(_in_sentences(df, key, text, abbreviations, *_keys(df, key)), [key], F.col("__s"), "no", "sentence")
 
 
 def tokenize_texts(df: DataFrame, key: str, text: str, abbreviations: DataFrame | None = None, out_col: str = "tokens") -> DataFrame:   # T1
     """(key, tokens): the Treebank tokens of every sentence of every text, in order."""
     known = fit_abbreviations(df, text) if abbreviations is None else abbreviations
-    s = split_sentences(df, key, text, known).select(key, "no", treebank_tokens("sentence").alias("w"))
-    all_words = s.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("no", "w"))), lambda x: x["w"])).alias(out_col))
-    return df.select(key).join(all_words, key, "left").select(key, F.coalesce(out_col, F.array().cast("array<string>")).alias(out_col))
+    more, none = _keys(df, key)
+    empty = F.array().cast("array<string>")
+    tokens = F.when(F.col(key).isNotNull(), F.flatten(F.transform("__s", treebank_tokens)))
+    s = _in_sentences(df, key, text, known, more, none).select(key, F.coalesce(tokens, empty).alias(out_col))
+    return df.select(key).join(s, key, "left").select(key, F.coalesce(out_col, empty).alias(out_col)) if more else s

@@ -42,3 +42,20 @@ def test_lexicon_is_looked_up_in_bytes(spark, monkeypatch):
         assert "Join" not in plan and "Generate" not in plan        # no candidate is spread out, none is shuffled
         assert sorted(tuple(r) for r in out.collect()) == want
     assert C.lexicon_substring_matrix(df, "id", F.col("t"), lex.where("term is null")).count() == 0
+
+
+def test_words_of_a_text_stay_in_its_row(spark):
+    from tessera.operators.sentences import split_sentences, tokenize_texts
+    abbr = spark.createDataFrame([("dr", 1.0), ("no", 1.0)], "word string, score double")
+    df = spark.createDataFrame([(1, "We met Dr. Smith. He left... then (no. 5) came"), (2, None), (3, " "), (4, "One dr.")], "id long, t string")
+    out = tokenize_texts(df, "id", "t", abbr)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan        # no word is sorted or gathered again
+    want = {1: "We met Dr. Smith . He left ... then ( no. 5 ) came".split(), 2: [], 3: [], 4: ["One", "dr", "."]}
+    assert {r["id"]: r["tokens"] for r in out.collect()} == want
+    # rows of one key have the words of all, by place; a row without a key has none
+    many = df.union(spark.createDataFrame([(4, "b. C"), (None, "no. x"), (None, "Yes! y")], "id long, t string"))
+    got = sorted((r["id"] or 0, r["tokens"]) for r in tokenize_texts(many, "id", "t", abbr).collect())
+    assert got == [(0, []), (0, []), (1, want[1]), (2, []), (3, []), *[(4, ["One", "b.", "C", "dr", "."])] * 2]
+    s = split_sentences(many, "id", "t", abbr).collect()
+    assert sorted((r["id"] or 0, r["no"], r["sentence"]) for r in s)[:2] == [(0, 0, "Yes!"), (0, 1, "no. x y")]
