@@ -14,24 +14,26 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_rows, posexplode_rows
+from ..functions.arrays import explode_rows
 from ..functions.clean import _col
 from ..session import reliable_checkpoint
 from .ranking import global_index
+from .tokencodes import coded_tokens, counted, decoded
 
 
 def char_tokens(c, lower: bool = True) -> Column:
     """Character-level tokens (code points), lower-cased like a char-level tokenizer."""
     x = F.lower(_col(c)) if lower else _col(c)
-    return F.regexp_extract_all(x, F.lit("(?s)."), 0)
+    return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ""))
 
 
 def fit_vocabulary(df: DataFrame, key: str, tokens: str) -> DataFrame:   # E1
     """(word, count, index): index from 1 by descending corpus count, ties by first
     occurrence in (key, position) order."""
-    pos = posexplode_rows(df, [key], F.col(tokens), "__p", "word")
-    counts = pos.groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("count"),
-                                     F.min(F.struct(F.col(key).alias("k"), F.col("__p").alias("p"))).alias("__first"))
+    # a row for each distinct word of a text
+    words = explode_rows(df, [key], counted(F.col(tokens)), "__c").select(key, "__c.*")
+    counts = words.groupBy("word").agg(F.sum("n").cast("bigint").alias("count"),
+                                       F.min(F.struct(F.col(key).alias("k"), F.col("first").alias("p"))).alias("__first"))
     ranked = global_index(counts, [F.col("count").desc(), F.col("__first").asc()], name="index", start=1)
     return ranked.select("word", "count", "index")
 
@@ -42,15 +44,18 @@ def texts_to_sequences(df: DataFrame, key: str, tokens: str, vocab: DataFrame,
     v = vocab.select("word", "index")
     if num_words is not None:
         v = v.where(F.col("index") < num_words)
-    # stored, the vocabulary has a size Spark can plan by; beside a broadcast one word rows stay where their text is and are gathered per text
-    # before any shuffle
-    pos = posexplode_rows(df, [key], F.col(tokens), "__p", "word")
-    hit = pos.join(reliable_checkpoint(v), "word")
-    seqs = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", "index"))).alias("__s"))
-    return (df.join(seqs, key, "left")
-            .withColumn(out_col, F.coalesce(F.transform("__s", lambda s: s["index"]),
-                                            F.array().cast("array<bigint>")))
-            .drop("__s"))
+    # stored, the vocabulary has a size Spark can plan by; only a text's distinct words meet it.  The numbers of the
+    # words travel beside them, packed, and become indices in the row of the text
+    words = df.select(F.col(key).alias("__k"), F.monotonically_increasing_id().alias("rid"), coded_tokens(F.col(tokens)).alias("__c"))
+    words = explode_rows(words, ["__k", "rid"], F.col("__c"), "c").select("__k", "rid", "c.*")
+    v = reliable_checkpoint(v).select(F.col("word").alias("__word"), "index")
+    # the packed numbers meet nothing: as nulls they would all be one task's
+    beside = F.when(F.col("j") < 0, F.concat(F.lit("\x00"), F.col("rid").cast("string"))).otherwise(F.col("word"))
+    met = words.withColumn("__w", beside).join(v, (F.col("__w") == F.col("__word")) & (F.col("j") >= 0), "left")
+    met = met.where((F.col("j") < 0) | F.col("__word").isNotNull()).groupBy("__k").agg(
+        F.collect_list(F.struct("rid", "j", F.col("index").cast("bigint").alias("index"), "codes")).alias("__s"))
+    out = df.join(met, F.col(key) == F.col("__k"), "left").drop("__k")
+    return out.withColumn(out_col, decoded("__s")).drop("__s")
 
 
 def pad_sequences(seq, maxlen: int, value: int = 0, padding: str = "pre",

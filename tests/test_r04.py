@@ -59,3 +59,34 @@ def test_words_of_a_text_stay_in_its_row(spark):
     assert got == [(0, []), (0, []), (1, want[1]), (2, []), (3, []), *[(4, ["One", "b.", "C", "dr", "."])] * 2]
     s = split_sentences(many, "id", "t", abbr).collect()
     assert sorted((r["id"] or 0, r["no"], r["sentence"]) for r in s)[:2] == [(0, 0, "Yes!"), (0, 1, "no. x y")]
+
+
+def test_sequences_from_distinct_tokens(spark, monkeypatch):
+    from tessera.operators import sequences as S, tokencodes as K
+    long = [f"x{i % 700}" for i in range(1500)]
+    rows = [(1, ["b", "a", "b", None, ""]), (2, []), (3, None), (4, long), (None, ["a", "q"]), (1, ["a", "a", "c"]), (5, ["\x00"])]
+    df = spark.createDataFrame(rows, "id long, tok array<string>").coalesce(2)
+    order, counts = {}, {}
+    for k, toks in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for p, t in enumerate(toks or []):
+            counts[t] = counts.get(t, 0) + 1
+            first = (k is not None, k or 0, p)
+            order[t] = min(order.get(t, first), first)
+    for chunk in (K.CHUNK_TOKENS, 3):
+        monkeypatch.setattr(K, "CHUNK_TOKENS", chunk)
+        vocab = S.fit_vocabulary(df, "id", "tok")
+        got = {r["word"]: (r["count"], r["index"]) for r in vocab.collect()}
+        assert {t: n for t, (n, _) in got.items()} == counts
+        ranked = sorted(got, key=lambda t: got[t][1])
+        assert [(-counts[t], order[t]) for t in ranked] == sorted((-counts[t], order[t]) for t in ranked)
+        out = S.texts_to_sequences(df, "id", "tok", vocab, num_words=650)
+        index = {t: i for t, (_, i) in got.items() if i < 650 and t is not None}
+        def of(k):
+            return [x for _, x in sorted((p, index[t]) for k2, toks in rows if k2 == k for p, t in enumerate(toks or []) if t in index)] if k else []
+        assert sorted((r["id"] or 0, r["seq"]) for r in out.collect()) == sorted((k or 0, of(k)) for k, _ in rows)
+    assert "posexplode" not in vocab._jdf.queryExecution().toString() + out._jdf.queryExecution().toString()
+    # a word that the vocabulary lists twice has both its indices
+    two = spark.createDataFrame([("a", 2), ("a", 9), ("b", 5)], "word string, index int")
+    assert {tuple(r["seq"]) for r in S.texts_to_sequences(df.where("id = 1"), "id", "tok", two).collect()} == {(2, 5, 9, 2, 2, 9, 9, 5)}
+    chars = [r[0] for r in spark.createDataFrame([("aÉ\U0001F642\n",), ("",), (None,)], "t string").select(S.char_tokens("t")).collect()]
+    assert chars == [["a", "é", "\U0001F642", "\n"], [], None]
