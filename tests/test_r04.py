@@ -1,5 +1,6 @@
 """Whole work and growth (round 4)."""
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
@@ -90,3 +91,35 @@ def test_sequences_from_distinct_tokens(spark, monkeypatch):
     assert {tuple(r["seq"]) for r in S.texts_to_sequences(df.where("id = 1"), "id", "tok", two).collect()} == {(2, 5, 9, 2, 2, 9, 9, 5)}
     chars = [r[0] for r in spark.createDataFrame([("aÉ\U0001F642\n",), ("",), (None,)], "t string").select(S.char_tokens("t")).collect()]
     assert chars == [["a", "é", "\U0001F642", "\n"], [], None]
+
+
+def test_terms_travel_in_packed_pieces(spark, monkeypatch):
+    from collections import Counter
+
+    from tessera.operators import blocks as B, corpus as C, exchange as X
+    rnd = np.random.default_rng(3)
+    texts = [(i % 90 if i != 50 else None, [["a", "é", "", "w%d" % rnd.integers(0, 40), None, "only%d" % i][j] for j in rnd.integers(0, 6, int(rnd.integers(0, 30)))]) for i in range(100)]
+    texts += [(200, []), (201, None)]
+    df = spark.createDataFrame(texts, "id long, tok array<string>").repartition(3)
+    tf = {}
+    for k, t in texts:
+        tf.setdefault(k, Counter()).update(x for x in t or [] if x is not None)
+    freq = Counter(t for c in tf.values() for t in c)
+    monkeypatch.setattr(B, "BLOCK_TOKENS", 150)
+    pieces = X.counted_blocks(df, "id", "tok")
+    assert pieces.select("blk").distinct().count() > 4 and pieces.select("shard").distinct().count() > 3
+    for lo, hi, norm in ((2, 0.5, "l2"), (0.05, 1.0, None), (1, 3, "l1")):
+        out = C.tfidf(df, "id", F.col("tok"), min_df=lo, max_df=hi, norm=norm)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(term" not in plan and "hashpartitioning(__word" not in plan       # terms are no rows of a shuffle
+        a, z = lo if isinstance(lo, int) else int(np.ceil(102 * lo)), hi if isinstance(hi, int) else int(np.floor(102 * hi))
+        want = {}
+        for k, c in tf.items():
+            w = {t: n * (np.log(103 / (1 + freq[t])) + 1) for t, n in c.items() if a <= freq[t] <= z}
+            size = {"l2": np.sqrt(sum(x * x for x in w.values())), "l1": sum(w.values()), None: 1.0}[norm]
+            want.update({(k, t): (c[t], freq[t], round(x / size, 9)) for t, x in w.items()})
+        rows = out.collect()
+        assert {(r["id"], r["term"]): (r["tf"], r["df"], round(r["weight"], 9)) for r in rows} == want and len(rows) == len(want)
+    a = pa.array(["x", "", "yz", "é"] * 2)
+    assert X.strings(*X.string_arrays(a[1:6])).to_pylist() == a[1:6].to_pylist()
+    assert [x.tolist() for x in X.unpack(X.pack(np.arange(3, dtype=np.uint32), np.zeros(0)))] == [[0, 1, 2], []]
