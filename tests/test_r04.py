@@ -123,3 +123,31 @@ def test_terms_travel_in_packed_pieces(spark, monkeypatch):
     a = pa.array(["x", "", "yz", "é"] * 2)
     assert X.strings(*X.string_arrays(a[1:6])).to_pylist() == a[1:6].to_pylist()
     assert [x.tolist() for x in X.unpack(X.pack(np.arange(3, dtype=np.uint32), np.zeros(0)))] == [[0, 1, 2], []]
+
+
+def test_own_rows_are_not_multiplied_again(spark, monkeypatch):
+    from tessera.operators import blocks as B, decompose as D
+    runs, beside = [], B.beside
+    monkeypatch.setattr(B, "beside", lambda *a, **kw: runs.append(1) or beside(*a, **kw))
+    rnd = np.random.default_rng(7)
+    m = rnd.poisson(np.outer(rnd.random(30) * 4, rnd.random(12)))
+    df = spark.createDataFrame([(i, [f"t{j}" for j in range(12) for _ in range(m[i, j])]) for i in range(30)], "id long, tok array<string>")
+    for method in ("svd", "pca"):
+        runs.clear()
+        got = np.array([r[1:] for r in D.reduced_text(df, "id", "tok", k=2, method=method).orderBy("id").collect()])
+        u, s, _ = np.linalg.svd(m - m.mean(axis=0) if method == "pca" else m, full_matrices=False)
+        assert np.abs(np.abs(got) - np.abs(u[:, :2] * s[:2])).max() < 1e-6 * s[0]
+        assert len(runs) == 5               # four steps and the scores
+
+
+def test_topic_passes_deal_the_texts_once(spark):
+    from tessera.operators import blocks as B
+    docs = spark.createDataFrame([(0, ["a", "b"]), (1, ["b"])], "blk int, tok array<string>").repartition(2, "blk").persist()
+    held = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b")], "blk int, word string")
+    import pyarrow as pa
+    out = B.met(docs, held, 2, lambda a, w: pa.table({"n": [a.num_rows * 10 + w.num_rows]}), "n long")
+    assert sorted(r["n"] for r in out.collect()) == [11, 12]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("== Final Plan") if "== Final Plan" in plan else 0:].split("== Initial Plan")[0]
+    assert "InMemoryTableScan" in plan and "Exchange" not in plan.split("InMemoryTableScan")[0]
+    docs.unpersist()
